@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.plans import flow_queries  # noqa: F401
+from sluice.plans import flow_queries, table_queries  # noqa: F401
 from sluice.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
