@@ -1,0 +1,20 @@
+"""Joins on keys of which one may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+SALTS = 32
+
+
+def salted_left_join(rows: DataFrame, lookup: DataFrame, key: Sequence[str], spread_by: str,
+                     salts: int = SALTS) -> DataFrame:
+    """Left join with a table of one row per key; rows of one key go to ``salts`` tasks.
+
+    The lookup is repeated once per salt, so it should be far smaller than the rows.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*key, "_salt"], "left").drop("_salt")
