@@ -57,7 +57,7 @@ from {events}"""
 # eighths, so every engine holds them exactly, and each row's sum to 1.
 _PREDICTIONS = """
 select event_id as row_id, m.model, cast(event_id % 5 as int) as fold,
- case when event_id % 4 = 0 then 'test' else 'train' end as split, label,
+ case when event_id % 7 < 2 then 'test' else 'train' end as split, label,
  cast(case when (event_id + m.k) % m.wrong = 0 then (label + 1 + event_id % 3) % 5 else label end as int) as prediction,
  m.k as k
 from (select event_id, cast(case event_type when 'click' then 0 when 'view' then 0 when 'error' then 1
