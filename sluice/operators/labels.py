@@ -73,7 +73,7 @@ def label_sets(train: DataFrame, test: DataFrame) -> DataFrame:
             .unionByName(b.subtract(a).withColumn("found_in", F.lit("test"))))
 
 
-def encode(df: DataFrame, classes: list[str], column: str = TARGET, out: str = "label") -> DataFrame:
+def encode(df: DataFrame, classes: list[str], column: str = TARGET, out: str = "label_index") -> DataFrame:
     """Class index by position in the sorted class list; an unknown class is an error."""
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(column)).cast("int")
     known = F.when(position > 0, position - 1).otherwise(
