@@ -60,10 +60,10 @@ def exact_medians(df: DataFrame, columns: Sequence[str], direct_rows: int = DIRE
     if not columns:
         return {}
     values = df.select(*[finite(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
-    counts = values.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(columns))]).first()
-    if max(counts) <= direct_rows:
+    if values.count() <= direct_rows:
         medians = values.agg(*[F.median(f"v{i}").alias(f"v{i}") for i in range(len(columns))]).first()
         return dict(zip(columns, medians))
+    counts = values.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(columns))]).first()
     found = {i: _Search(n, inside=n) for i, n in enumerate(counts) if n}
     while wide := {i: s for i, s in found.items() if s.inside > direct_rows and s.lo < s.hi}:
         _narrow(values, wide)

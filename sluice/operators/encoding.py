@@ -72,7 +72,8 @@ class FlowPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         columns = [c for c in dataset.columns if c not in skip]
         leakage = selection.leakage_columns(columns)
         columns = [c for c in columns if c not in leakage]
-        constant = selection.constant_columns(dataset, columns)
+        extremes = selection.extremes(dataset, columns)
+        constant = [c for c in columns if extremes[c].is_constant]
         columns = [c for c in columns if c not in constant]
         numeric = [c for c in numeric_columns(dataset) if c in columns]
         text = [c for c in columns if c not in numeric]
@@ -86,8 +87,8 @@ class FlowPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         if not numeric and not text:
             raise ValueError("no usable features remain after preprocessing")
         # Filling with the median, a value between the extremes, leaves the extremes as they are.
-        ranges = {c: (m, m) if r[0] is None else r
-                  for (c, r), m in zip(fit_minmax(dataset, numeric).items(), (medians[c] for c in numeric))}
+        ranges = {c: (medians[c], medians[c]) if extremes[c].finite_lo is None
+                  else (extremes[c].finite_lo, extremes[c].finite_hi) for c in numeric}
         state = {
             "dropped": {"leakage": leakage, "constant": constant, "high_correlation": correlated},
             "numeric": numeric, "text": text, "medians": {c: float(medians[c]) for c in numeric},

@@ -18,7 +18,8 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice import workdir
@@ -101,7 +102,8 @@ def _elsewhere(pivots: np.ndarray, cells: Mapping[str, Mapping[int, tuple[int, f
 def _nearest_in_block(k: int, exclude_self: bool):
     def run(_key, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
-            return pd.DataFrame({"id": [], "dist": [], "rid": [], "rtag": [], "rvec": []})
+            return pd.DataFrame({"id": [], "dist": [], "rid": [], "rtag": [], "rvec": []}).astype(
+                {"id": object, "rid": object, "rvec": object, "rtag": "int32"})
         block = block.sort_values("id")
         m, ids, tags = _matrix(block["vec"]), block["id"].to_numpy(), block["tag"].to_numpy()
         out = []
@@ -219,7 +221,7 @@ class KnnClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return KnnModel(path=path, **{p: self.getOrDefault(p) for p in ("k", "idCol", "nClasses")})
 
 
-class KnnModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+class KnnModel(Model, MLWritable, MLReadable):
     k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
     idCol = Param(Params._dummy(), "idCol", "unique row id", TypeConverters.toString)
     nClasses = Param(Params._dummy(), "nClasses", "number of classes", TypeConverters.toInt)
@@ -241,6 +243,33 @@ class KnnModel(Model, DefaultParamsReadable, DefaultParamsWritable):
                              (F.array_position("_p", F.array_max("_p")) - 1).cast("double").alias("prediction"))
 
 
+    def write(self) -> MLWriter:
+        return _KnnWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _KnnReader()
+
+
+class _KnnWriter(MLWriter):
+    """Saves the reference rows with the model, so that it does not depend on scratch storage."""
+
+    def __init__(self, model: KnnModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.sparkSession.read.parquet(self.model.getOrDefault("path")).write.parquet(f"{path}/rows")
+
+
+class _KnnReader(MLReader):
+    def load(self, path: str) -> KnnModel:
+        model = KnnModel()
+        DefaultParamsReader.getAndSetParams(model, DefaultParamsReader.loadMetadata(path, self.sparkSession))
+        return model._set(path=f"{path}/rows")
+
+
 def _vectors(df: DataFrame, rid: str, label: str | None) -> DataFrame:
     tag = F.col(label).cast("int") if label else F.lit(0)
     return df.select(F.lit("all").alias("grp"), F.col(rid).cast("string").alias("id"),

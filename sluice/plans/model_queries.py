@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from sluice.operators import neighbours as N
-from sluice.plans import bindings as B
+from sluice import workdir
+from sluice.functions.scalars import col
+from sluice.operators import detection, encoding, labels, metrics as M, models, neighbours as N
+from sluice.plans import bindings as B, training as T
 from sluice.plans.registry import query
+from sluice.plans.source_queries import _feature_files, _stage, labelled_features
+from sluice.schemas import CATEGORY, FEATURES, TARGET, TrainingConfig
+from sluice.sources import datasets, registry
 
 # ---- k-NN over three whole-number features of the events; the class is the event type ----
 
@@ -46,3 +52,107 @@ def _(spark, sf):
     rows = N.smote(_points(spark, sf).drop("event_id"), "tag", "id", k=3)
     return rows.groupBy("tag").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("id").startswith("synthetic")).alias("synthetic"),
                                    F.round(F.avg(F.get("vec", F.lit(0))), 6).alias("mean_x0"))
+
+
+# ---- training: flows with 77 features, labelled by service port; the label is learned from the other columns ----
+
+_CONFIG = TrainingConfig(cv_folds=3, search_iter=2, parallelism=4)
+_FOREST = {"trees": 20, "depth": 8}
+
+
+def _train_test(spark, sf):
+    """Every flow is in one of the two splits."""
+    rows = _staged_features(spark, sf)
+    held = F.pmod(F.xxhash64("src_ip", "dst_ip", "src_port", "dst_port", "first_ts"), F.lit(5)) == 0
+    keep = [col(f) for f in FEATURES]
+    return rows.where(~held).select(*keep, TARGET), rows.where(held).select(*keep, TARGET)
+
+
+def _staged_features(spark, sf):
+    return spark.read.parquet(_stage(spark, sf, "labelled-features", lambda p: labelled_features(spark, sf).write.parquet(p)))
+
+
+def _fit_and_score(spark, sf, name: str, setting: dict):
+    """One candidate fitted on the training split and measured on the test split."""
+    train, test = _train_test(spark, sf)
+    splits = T.prepare_splits(train, test)
+    rows = T.training_rows(splits, _CONFIG)
+    candidate = next(c for c in models.candidates(len(splits.classes)) if c.name == name)
+    model = T.final_model(rows, candidate, setting, _CONFIG)
+    scored = models.as_predictions(model.transform(T.test_rows(splits)), model=name)
+    return M.evaluate(workdir.materialize(scored, "scored"), len(splits.classes), ["model"])
+
+
+def _register_model(key: str, name: str, setting: dict) -> None:
+    @query(key)
+    def _(spark, sf):
+        return _fit_and_score(spark, sf, name, setting)
+
+
+_register_model("train_random_forest", "Random Forest", _FOREST)
+_register_model("train_extra_trees", "Extra Trees", _FOREST)
+_register_model("train_gbt", "XGBoost", {"maxIter": 10, "maxDepth": 3, "stepSize": 0.3})
+_register_model("train_mlp", "MLP Classifier", {"hidden": [32, 16], "maxIter": 60})
+_register_model("train_knn", "KNN", {})
+
+
+@query("candidate_grid", "select unnest(['Random Forest', 'KNN', 'Extra Trees', 'MLP Classifier', 'XGBoost', 'Random Forest + SMOTE', "
+                         "'Extra Trees + SMOTE']) as name, count(*) as rows from events group by 1")
+def _(spark, sf):
+    n = B.table(spark, sf, "events").count()
+    return spark.createDataFrame([(c.name, n) for c in models.candidates(7)], "name string, rows long")
+
+
+@query("random_search")
+def _(spark, sf):
+    splits = T.prepare_splits(*_train_test(spark, sf))
+    rows = T.training_rows(splits, _CONFIG)
+    folds = [T.Fold(rows, f, _CONFIG) for f in range(_CONFIG.cv_folds)]
+    small = models.Candidate("Random Forest", "Random Forest", lambda **p: models.random_forest(**p),
+                             models.FOREST_GRID | {"trees": [10, 20], "min_leaf": [1, 8]})
+    return T.search(folds, small, len(splits.classes), _CONFIG)[1]
+
+
+@query("final_fit_select")
+def _(spark, sf):
+    settings = {"Random Forest": [_FOREST], "Extra Trees": [_FOREST], "Random Forest + SMOTE": [_FOREST]}
+    return T.train_and_rank(*_train_test(spark, sf), workdir.new_path(spark, "models"), _CONFIG,
+                            chosen=list(settings), settings=settings)
+
+
+def _live_model(spark, sf):
+    collected = labels.deployment_only(labels.rename_or_keep(_train_test(spark, sf)[1], CATEGORY))
+    sample = datasets.deployment_sample(spark, _feature_files(spark, sf), 3000)
+    folder = workdir.new_path(spark, "live-model")
+    return T.train_live_lab(collected, sample, folder, trees=20, depth=12), folder
+
+
+@query("train_live_lab")
+def _(spark, sf):
+    predictions, _folder = _live_model(spark, sf)
+    return M.summarise(predictions, ["model"])
+
+
+@query("score_flows")
+def _(spark, sf):
+    """Saved deployment model applied to all flows, and the decisions that follow."""
+    _predictions, folder = _live_model(spark, sf)
+    model = registry.load_model("selected_model", folder)
+    classes = sorted(["Benign", "LDAP Flood", "MSSQL Flood", "UDP Flood"])
+    scored = detection.decide_by_threshold(detection.score(T.score_flows(model, _staged_features(spark, sf)), classes), 0.8)
+    return scored.groupBy("prediction", "is_attack").agg(F.count(F.lit(1)).alias("flows"))
+
+
+@query("model_save_load")
+def _(spark, sf):
+    """Predictions of a pipeline before and after it is saved and loaded."""
+    train, _test = _train_test(spark, sf)
+    rows = labels.encode(labels.to_category(train), labels.class_list(labels.to_category(train)), out=models.LABEL)
+    rows = rows.withColumns({models.WEIGHT: F.lit(1.0)})
+    pre = encoding.FlowPreprocessor(ignoreCols=[models.LABEL, models.WEIGHT, TARGET]).fit(rows)
+    model = PipelineModel([pre, models.random_forest(trees=10, depth=6).fit(pre.transform(rows))])
+    folder = workdir.new_path(spark, "saved")
+    registry.save_model(model, "Random Forest + SMOTE", folder)
+    again = registry.load_model("random_forest_smote", folder)
+    parts = [m.transform(rows).groupBy("prediction").agg(F.count(F.lit(1)).alias(n)) for m, n in ((model, "saved"), (again, "loaded"))]
+    return parts[0].join(parts[1], "prediction", "full")
