@@ -210,19 +210,24 @@ class FlowClock:
     packets: int = 0
     is_open: bool = False
 
+    def begins_flow(self, tick_start: int) -> bool:
+        """Whether packets of a tick that starts then belong to a new flow."""
+        return not self.is_open or tick_start - self.last > FlowParams.micros(self.params.timeout)
+
+    def is_large(self) -> bool:
+        return (self.last - self.start >= FlowParams.micros(self.params.min_duration)
+                and self.packets >= self.params.min_packets)
+
     def advance(self, tick_start: int, first: int, last: int, n: int) -> tuple[bool, bool]:
         """Takes in the packets of one tick. Returns (a new flow began, the flow was cut)."""
-        if self.is_open and tick_start - self.last > FlowParams.micros(self.params.timeout):
-            self.is_open = False
-        began = not self.is_open
+        began = self.begins_flow(tick_start)
         if began:
             self.flow_no += 1
             self.start, self.packets, self.is_open = first, 0, True
         self.seg_no += 1
         self.last = last
         self.packets += n
-        cut = (self.last - self.start >= FlowParams.micros(self.params.min_duration)
-               and self.packets >= self.params.min_packets)
+        cut = self.is_large()
         if cut:
             self.is_open = False
         return began, cut

@@ -115,7 +115,7 @@ def _(spark, sf):
 
 @query("final_fit_select")
 def _(spark, sf):
-    settings = {"Random Forest": [_FOREST], "Extra Trees": [_FOREST], "Random Forest + SMOTE": [_FOREST]}
+    settings = {"Random Forest": [_FOREST], "Random Forest + SMOTE": [_FOREST]}
     return T.train_and_rank(*_train_test(spark, sf), workdir.new_path(spark, "models"), _CONFIG,
                             chosen=list(settings), settings=settings)
 
