@@ -21,9 +21,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sluice.functions.scalars import has_flag
 from sluice.schemas import FLAG_BITS, FlowParams
 
 KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port", "proto"]
@@ -61,115 +60,104 @@ def capture_filter(packets: DataFrame, victim_ip: str) -> DataFrame:
 
 def with_endpoints(packets: DataFrame) -> DataFrame:
     """Adds the direction-free key and ``dir`` (0 when the source is the lower endpoint)."""
-    src, dst = F.struct("src_ip", "src_port"), F.struct("dst_ip", "dst_port")
-    low_first = src <= dst
-    return packets.withColumns({
-        "ts_us": F.unix_micros("ts"),
-        "dir": F.when(low_first, 0).otherwise(1),
-        "lo_ip": F.when(low_first, F.col("src_ip")).otherwise(F.col("dst_ip")),
-        "lo_port": F.when(low_first, F.col("src_port")).otherwise(F.col("dst_port")),
-        "hi_ip": F.when(low_first, F.col("dst_ip")).otherwise(F.col("src_ip")),
-        "hi_port": F.when(low_first, F.col("dst_port")).otherwise(F.col("src_port")),
-    })
+    marked = packets.selectExpr(
+        "*", "unix_micros(ts) as ts_us",
+        "case when src_ip < dst_ip or (src_ip = dst_ip and src_port <= dst_port) then 0 else 1 end as dir")
+    turned = [f"case when dir = 0 then {a} else {b} end as {name}" for name, a, b in (
+        ("lo_ip", "src_ip", "dst_ip"), ("lo_port", "src_port", "dst_port"),
+        ("hi_ip", "dst_ip", "src_ip"), ("hi_port", "dst_port", "src_port"))]
+    return marked.selectExpr("*", *turned)
 
 
-def _square(c: Column) -> Column:
-    wide = c.cast("decimal(18,0)")
-    return wide * wide
+def _square(c: str) -> str:
+    return f"cast({c} as decimal(18,0)) * cast({c} as decimal(18,0))"
 
 
-def _segment_totals() -> list[Column]:
+def _segment_totals() -> list[str]:
     """Totals of one slice part. ``iat`` is the time since the previous packet in it."""
-    out = [F.min("ts_us").alias("first_ts"), F.max("ts_us").alias("last_ts"),
-           (F.min(F.col("rn") * 2 + F.col("dir")) % 2).alias("first_dir")]
+    out = ["min(ts_us) as first_ts", "max(ts_us) as last_ts", "min(rn * 2 + dir) % 2 as first_dir"]
     for d in (0, 1):
-        mine = F.col("dir") == d
-
-        def pick(c: Column) -> Column:
-            return F.when(mine, c)
-
-        length, header, iat = pick(F.col("ip_len")), pick(F.col("header_len")), pick(F.col("iat"))
-        opening = F.when(mine & (F.col("tcp_window") >= 0),
-                         F.col("rn") * _WINDOW_RANGE + F.col("tcp_window"))
-        totals = {
-            "n": F.count(length), "bytes": F.sum(length.cast("long")),
-            "len_sq": F.sum(length.cast("long") * length), "len_max": F.max(length), "len_min": F.min(length),
-            "hdr": F.sum(header.cast("long")), "hdr_min": F.min(header),
-            "data": F.count(F.when(mine & (F.col("payload_len") > 0), 1)),
-            "win": F.min(opening) % _WINDOW_RANGE,
-            "iat_n": F.count(iat), "iat_sum": F.sum(iat), "iat_sq": F.sum(_square(iat)),
-            "iat_max": F.max(iat), "iat_min": F.min(iat),
-        }
-        out += [c.alias(f"{name}_{d}") for name, c in totals.items()]
-    idle = F.when(F.col("iat") >= _SECOND, F.col("iat"))
-    out += [F.count(idle).alias("idle_n"), F.sum(idle).alias("idle_sum"), F.sum(_square(idle)).alias("idle_sq"),
-            F.max(idle).alias("idle_max"), F.min(idle).alias("idle_min")]
-    out += [F.count(F.when(has_flag(F.col("tcp_flags"), bit), 1)).alias(f"{flag.lower()}_count")
-            for flag, bit in FLAG_BITS.items()]
-    return out
+        mine = f"filter (where dir = {d})"
+        out += [
+            f"count(*) {mine} as n_{d}",
+            f"sum(cast(ip_len as bigint)) {mine} as bytes_{d}",
+            f"sum(cast(ip_len as bigint) * ip_len) {mine} as len_sq_{d}",
+            f"max(ip_len) {mine} as len_max_{d}",
+            f"min(ip_len) {mine} as len_min_{d}",
+            f"sum(cast(header_len as bigint)) {mine} as hdr_{d}",
+            f"min(header_len) {mine} as hdr_min_{d}",
+            f"count(*) filter (where dir = {d} and payload_len > 0) as data_{d}",
+            f"min(rn * {_WINDOW_RANGE} + tcp_window) filter (where dir = {d} and tcp_window >= 0) % {_WINDOW_RANGE} as win_{d}",
+            f"count(iat) {mine} as iat_n_{d}",
+            f"sum(iat) {mine} as iat_sum_{d}",
+            f"sum({_square('iat')}) {mine} as iat_sq_{d}",
+            f"max(iat) {mine} as iat_max_{d}",
+            f"min(iat) {mine} as iat_min_{d}",
+        ]
+    idle = f"filter (where iat >= {_SECOND})"
+    out += [f"count(*) {idle} as idle_n", f"sum(iat) {idle} as idle_sum", f"sum({_square('iat')}) {idle} as idle_sq",
+            f"max(iat) {idle} as idle_max", f"min(iat) {idle} as idle_min"]
+    return out + [f"count_if((tcp_flags & {bit}) <> 0) as {flag.lower()}_count" for flag, bit in FLAG_BITS.items()]
 
 
 def segments(packets: DataFrame, slice_us: int, gap_us: int | None) -> DataFrame:
     """One row of totals per endpoint pair, time slice and, with ``gap_us``, unbroken run in it."""
-    p = with_endpoints(packets).withColumn("slice", F.expr(f"ts_us div {slice_us}"))
-    w = Window.partitionBy(*KEY, "slice").orderBy("ts_us", "pkt_id")
-    p = p.withColumns({"rn": F.row_number().over(w).cast("long"), "since": F.col("ts_us") - F.lag("ts_us").over(w)})
+    p = with_endpoints(packets).selectExpr("*", f"ts_us div {slice_us} as slice")
+    w = f"over (partition by {', '.join(KEY)}, slice order by ts_us, pkt_id)"
+    p = p.selectExpr("*", f"cast(row_number() {w} as bigint) as rn", f"ts_us - lag(ts_us) {w} as since")
     if gap_us is None:
-        p = p.withColumns({"part": F.lit(0), "iat": F.col("since")})
+        p = p.selectExpr("*", "0 as part", "since as iat")
     else:
-        gap = F.coalesce(F.col("since") > gap_us, F.lit(False))
-        p = p.withColumns({"part": F.sum(gap.cast("int")).over(w), "iat": F.when(~gap, F.col("since"))})
-    return p.groupBy(*KEY, "slice", "part").agg(*_segment_totals())
+        p = p.selectExpr("*", f"sum(case when since > {gap_us} then 1 else 0 end) {w} as part",
+                         f"case when since <= {gap_us} then since end as iat")
+    return p.groupBy(*KEY, "slice", "part").agg(*map(F.expr, _segment_totals()))
 
 
-def _merge(parts: DataFrame, extra: list[Column] | None = None) -> DataFrame:
-    """Adds up segments of a flow. ``bridge`` is the time since the segment before it."""
-    combine = {"sum": F.sum, "max": F.max, "min": F.min}
-    out = [F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-           (F.min(F.col("seg_no") * 2 + F.col("first_dir")) % 2).alias("fdir")]
-    idle_bridge = F.when(F.col("bridge") >= _SECOND, F.col("bridge"))
-
-    def with_bridge(name: str, base: str, bridge: Column) -> Column:
-        c = F.col(name)
-        if base.endswith("_n"):
-            return c + F.when(bridge.isNotNull(), 1).otherwise(0)
-        if base.endswith("_sum"):
-            return F.coalesce(c, F.lit(0)) + F.coalesce(bridge, F.lit(0))
-        if base.endswith("_sq"):
-            return F.coalesce(c, F.lit(0)) + F.coalesce(_square(bridge), F.lit(0))
-        return F.greatest(c, bridge) if base.endswith("_max") else F.least(c, bridge)
+def _combine(base: str, how: str, name: str, bridge: str | None) -> str:
+    """Aggregate of one total over the segments of a flow, with the time between segments where it counts."""
+    if bridge is None:
+        return f"{how}({name}) as {name}"
+    if base.endswith("_n"):
+        return f"sum({name} + case when {bridge} is not null then 1 else 0 end) as {name}"
+    if base.endswith("_sum"):
+        return f"sum(coalesce({name}, 0) + coalesce({bridge}, 0)) as {name}"
+    if base.endswith("_sq"):
+        return f"sum(coalesce({name}, 0) + coalesce({_square(bridge)}, 0)) as {name}"
+    return f"{how}({'greatest' if how == 'max' else 'least'}({name}, {bridge})) as {name}"
+
 
+def _merge(parts: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Adds up segments of a flow. ``bridge`` is the time since the segment before it."""
+    out = ["min(first_ts) as first_ts", "max(last_ts) as last_ts", "min(seg_no * 2 + first_dir) % 2 as fdir"]
+    bridges = [f"case when first_dir = {d} then bridge end as bridge_{d}" for d in (0, 1)]
+    parts = parts.selectExpr("*", *bridges, f"case when bridge >= {_SECOND} then bridge end as bridge_idle")
     for d in (0, 1):
         for base, how in _BY_DIRECTION.items():
-            name = f"{base}_{d}"
-            c = F.col(name)
-            if base.startswith("iat_"):
-                c = with_bridge(name, base, F.when(F.col("first_dir") == d, F.col("bridge")))
             if base == "win":
-                c = F.col("seg_no") * _WINDOW_RANGE + c
-            out.append((combine[how](c) % _WINDOW_RANGE if base == "win" else combine[how](c)).alias(name))
-    for base, how in _POOLED.items():
-        c = with_bridge(base, base, idle_bridge) if base.startswith("idle_") else F.col(base)
-        out.append(combine[how](c).alias(base))
-    return parts.groupBy(*KEY, "flow_no").agg(*out, *(extra or []))
+                out.append(f"min(seg_no * {_WINDOW_RANGE} + win_{d}) % {_WINDOW_RANGE} as win_{d}")
+            else:
+                out.append(_combine(base, how, f"{base}_{d}", f"bridge_{d}" if base.startswith("iat_") else None))
+    out += [_combine(base, how, base, "bridge_idle" if base.startswith("idle_") else None) for base, how in _POOLED.items()]
+    return parts.groupBy(*KEY, "flow_no").agg(*map(F.expr, [*out, *(extra or [])]))
+
+
+_ZERO_WHEN_SILENT = {"n", "bytes", "len_sq", "hdr", "data", "iat_n", "iat_sum"}
 
 
 def _orient(merged: DataFrame, carry: list[str]) -> DataFrame:
     """Names the two directions forward and backward after the flow's first packet."""
-    low_is_fwd = F.col("fdir") == 0
-
-    def turn(a: str, b: str) -> Column:
-        return F.when(low_is_fwd, F.col(a)).otherwise(F.col(b))
+    def turn(a: str, b: str) -> str:
+        return f"case when fdir = 0 then {a} else {b} end"
 
-    cols = [turn("lo_ip", "hi_ip").alias("src_ip"), turn("hi_ip", "lo_ip").alias("dst_ip"),
-            turn("lo_port", "hi_port").alias("src_port"), turn("hi_port", "lo_port").alias("dst_port"),
-            F.col("proto"), "first_ts", "last_ts"]
+    cols = [f"{turn('lo_ip', 'hi_ip')} as src_ip", f"{turn('hi_ip', 'lo_ip')} as dst_ip",
+            f"{turn('lo_port', 'hi_port')} as src_port", f"{turn('hi_port', 'lo_port')} as dst_port",
+            "proto", "first_ts", "last_ts"]
     for base in _BY_DIRECTION:
         for side, (a, b) in {"fwd": (0, 1), "bwd": (1, 0)}.items():
-            cols.append(turn(f"{base}_{a}", f"{base}_{b}").alias(f"{side}_{base}"))
-    flows = merged.select(*cols, *_POOLED, *carry)
-    zero = [f"{side}_{b}" for side in ("fwd", "bwd") for b in ("n", "bytes", "len_sq", "hdr", "data", "iat_n", "iat_sum")]
-    return flows.na.fill(0, subset=[*zero, "idle_sum"])
+            value = turn(f"{base}_{a}", f"{base}_{b}")
+            cols.append(f"coalesce({value}, 0) as {side}_{base}" if base in _ZERO_WHEN_SILENT else f"{value} as {side}_{base}")
+    pooled = [f"coalesce({c}, 0) as {c}" if c == "idle_sum" else c for c in _POOLED]
+    return merged.selectExpr(*cols, *pooled, *carry)
 
 
 def aggregate_flows(packets: DataFrame, params: FlowParams = FlowParams(), as_of_us: int | None = None) -> DataFrame:
@@ -180,14 +168,10 @@ def aggregate_flows(packets: DataFrame, params: FlowParams = FlowParams(), as_of
     """
     gap_us = params.micros(params.timeout)
     segs = segments(packets, params.micros(params.slice_seconds), gap_us)
-    w = Window.partitionBy(*KEY).orderBy("slice", "part")
-    since = F.col("first_ts") - F.lag("last_ts").over(w)
-    segs = segs.withColumns({"seg_no": F.row_number().over(w).cast("long"), "since": since})
-    new_flow = F.coalesce(F.col("since") > gap_us, F.lit(True))
-    segs = segs.withColumns({
-        "bridge": F.when(~new_flow, F.col("since")),
-        "flow_no": F.sum(new_flow.cast("long")).over(w),
-    })
+    w = f"over (partition by {', '.join(KEY)} order by slice, part)"
+    segs = segs.selectExpr("*", f"cast(row_number() {w} as bigint) as seg_no", f"first_ts - lag(last_ts) {w} as since")
+    segs = segs.selectExpr("*", f"case when since <= {gap_us} then since end as bridge",
+                           f"sum(case when since <= {gap_us} then 0 else 1 end) {w} as flow_no")
     flows = _orient(_merge(segs), [])
     if as_of_us is not None:
         flows = flows.where(F.lit(as_of_us) - F.col("last_ts") > gap_us)
@@ -272,7 +256,7 @@ def aggregate_flows_on_ticks(packets: DataFrame, params: FlowParams = FlowParams
         T.StructField("bridge", T.LongType()), T.StructField("cut", T.BooleanType())])
     walked = (segs.repartition(*[F.col(k) for k in KEY]).sortWithinPartitions(*KEY, "slice")
               .mapInPandas(_tick_flows(params), schema))
-    merged = _merge(walked, [F.max("cut").alias("was_cut")])
+    merged = _merge(walked, ["max(cut) as was_cut"])
     flows = _orient(merged, ["was_cut"])
     if as_of_us is not None:
         last_tick = as_of_us // tick_us * tick_us
@@ -286,8 +270,7 @@ def window_flows(packets: DataFrame, window_seconds: float = 10.0) -> DataFrame:
     """Flows of fixed capture windows: every window starts afresh."""
     width = FlowParams.micros(window_seconds)
     segs = (segments(packets, width, None)
-            .withColumns({"flow_no": F.col("slice"), "seg_no": F.lit(1).cast("long"),
-                          "bridge": F.lit(None).cast("long")}))
+            .selectExpr("*", "slice as flow_no", "1L as seg_no", "cast(null as bigint) as bridge"))
     merged = _merge(segs).withColumn("window_start_us", F.col("flow_no") * width)
     return _orient(merged, ["window_start_us"])
 

@@ -287,8 +287,7 @@ def _feature_query(name: str, belongs) -> None:
 
     @query(name, f"with {FLOW} select {ID}, {feature_select(names)} from flow")
     def _(spark, sf):
-        exprs = FE.feature_columns()
-        return _flows(spark, sf).select(*_ID, *[exprs[n].alias(n) for n in names])
+        return FE.flow_features(_flows(spark, sf), _ID, names)
 
 
 _feature_query("features_77", lambda n: True)
@@ -312,8 +311,8 @@ _LEGACY = [FSQL[n] for n in (
 @query("features_legacy_32", f"with {FLOW} select {ID}, " + ", ".join(
     f"{e} as v{i:02d}" for i, e in enumerate(_LEGACY)) + " from flow")
 def _(spark, sf):
-    vec = _flows(spark, sf).select(*_ID, FE.legacy_vector().alias("v"))
-    return vec.select(*_ID, *[F.col("v")[i].alias(f"v{i:02d}") for i in range(32)])
+    vec = _flows(spark, sf).selectExpr(*_ID, f"{FE.legacy_vector()} as v")
+    return vec.selectExpr(*_ID, *[f"v[{i}] as v{i:02d}" for i in range(32)])
 
 
 _SUMMARY = ["Total Fwd Packets", "Total Backward Packets", "Fwd Packets Length Total", "Bwd Packets Length Total",
