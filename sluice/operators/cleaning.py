@@ -43,6 +43,7 @@ class _Search:
     lo: float = float("-inf")
     hi: float = float("inf")
     margin: float = 4e-4
+    settled: bool = False
 
     @property
     def ranks(self) -> tuple[int, int]:
@@ -65,7 +66,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], direct_rows: int = DIRE
         return dict(zip(columns, medians))
     counts = values.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(columns))]).first()
     found = {i: _Search(n, inside=n) for i, n in enumerate(counts) if n}
-    while wide := {i: s for i, s in found.items() if s.inside > direct_rows and s.lo < s.hi}:
+    while wide := {i: s for i, s in found.items() if s.inside > direct_rows and not s.settled}:
         _narrow(values, wide)
     return {c: m for c, m in zip(columns, _middles(values, found, len(columns)))}
 
@@ -85,12 +86,12 @@ def _narrow(values: DataFrame, wide: Mapping[int, _Search]) -> None:
     tallies = iter(values.agg(*checks).first())
     for (s, (lo, hi)) in zip(wide.values(), brackets):
         below, inside = next(tallies), next(tallies)
-        holds = below <= s.ranks[0] and s.ranks[1] < below + inside
-        if holds and inside < s.inside:
-            s.below, s.inside, s.lo, s.hi, s.margin = below, inside, lo, hi, 4e-4
-        else:
-            # The bracket missed the middle or did not shrink: ask for a wider or narrower one.
-            s.margin = s.margin * 4 if not holds else s.margin / 4
+        if not (below <= s.ranks[0] and s.ranks[1] < below + inside):
+            s.margin *= 4  # the bracket missed the middle
+            continue
+        # A bracket that no longer shrinks holds few distinct values, each with many copies.
+        s.settled = lo == hi or inside >= s.inside
+        s.below, s.inside, s.lo, s.hi, s.margin = below, inside, lo, hi, 4e-4
 
 
 def _middles(values: DataFrame, found: Mapping[int, _Search], n_columns: int) -> list[float | None]:

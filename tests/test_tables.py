@@ -129,7 +129,8 @@ def test_group_rank_is_a_permutation(spark):
 
 def test_attack_quotas():
     assert sampling.attack_quotas({"a": 5, "b": 3}, 10) == {"a": 5, "b": 3}
-    assert sampling.attack_quotas({"a": 1000, "b": 10, "c": 400}, 300) == {"a": 151, "b": 10, "c": 139}
+    # 100, 10 and 100 first; of the 90 left a gets round(90 * 900 / 1200) = round(67.5) = 68, half to even.
+    assert sampling.attack_quotas({"a": 1000, "b": 10, "c": 400}, 300) == {"a": 168, "b": 10, "c": 122}
     # More classes than rows to give: every class still gets one.
     assert sum(sampling.attack_quotas({c: 9 for c in "abcdef"}, 3).values()) == 6
     rng = random.Random(0)
