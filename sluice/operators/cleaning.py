@@ -11,7 +11,7 @@ from sluice.functions.scalars import col, finite, floating_columns, is_infinite,
 from sluice.schemas import EXTRACTOR_COLUMNS, FEATURES, TARGET, TIME_FEATURES
 
 # Up to this many values per column Spark's own exact median (one buffer per column) is used.
-DIRECT_MEDIAN_ROWS = 1_000_000
+DIRECT_MEDIAN_ROWS = 250_000
 
 
 def _all_columns(df: DataFrame, changed: Mapping[str, Column]) -> DataFrame:

@@ -54,6 +54,13 @@ def _(spark, sf):
                                    F.round(F.avg(F.get("vec", F.lit(0))), 6).alias("mean_x0"))
 
 
+@query("smote_class_sizes", f"""with t as (select {_TYPE} as tag, count(*) as n from events group by 1)
+  select tag, max(n) over () as rows, max(n) over () - n as synthetic from t""")
+def _(spark, sf):
+    rows = N.smote(_points(spark, sf).drop("event_id"), "tag", "id", k=3)
+    return rows.groupBy("tag").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("id").startswith("synthetic")).alias("synthetic"))
+
+
 # ---- training: flows with 77 features, labelled by service port; the label is learned from the other columns ----
 
 _CONFIG = TrainingConfig(cv_folds=3, search_iter=2, parallelism=4)

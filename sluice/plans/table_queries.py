@@ -271,7 +271,10 @@ def _(spark, sf):
     return profiling.label_distribution(B.flows(spark, sf))
 
 
-@query("profile_dtypes")
+@query("profile_dtypes", f"""with {B.FLOWS_CTE}, t as (select distinct unnest([{', '.join(f"typeof({c})" for c in (
+    'l_orderkey', 'l_linenumber', *B.FEATURE_COLS, 'Label', 'split'))}]) as ty, unnest(range(11)) as i from flows)
+  select case ty when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' else 'string' end as dtype,
+  count(*) as columns from t group by 1""")
 def _(spark, sf):
     return profiling.dtype_counts(B.flows(spark, sf))
 
@@ -599,6 +602,15 @@ def _(spark, sf):
     return sampling.group_folds(B.scored(spark, sf).select("event_id", "src_ip", "prediction"), "prediction", "src_ip", 5)
 
 
+@query("kfold_group_whole", f"""with {B.SCORED_CTE} select src_ip, 1 as folds, count(*) as rows, true as fold_in_range
+  from scored group by src_ip""")
+def _(spark, sf):
+    """Whole groups: every source is in exactly one of the five folds."""
+    folds = sampling.group_folds(B.scored(spark, sf).select("event_id", "src_ip", "prediction"), "prediction", "src_ip", 5)
+    return folds.groupBy("src_ip").agg(F.countDistinct("fold").alias("folds"), F.count(F.lit(1)).alias("rows"),
+                                       F.max("fold").between(0, 4).alias("fold_in_range"))
+
+
 @query("shuffle_rows", f"with {B.SCORED_CTE} select event_id, prediction from scored")
 def _(spark, sf):
     return sampling.shuffle_rows(_events_by_class(spark, sf), ["event_id"])
