@@ -117,7 +117,9 @@ def roc_auc_weighted(predictions: DataFrame, n_classes: int, by: Sequence[str] =
 def evaluate(predictions: DataFrame, n_classes: int, by: Sequence[str] = ()) -> DataFrame:
     """The six metrics per group."""
     base, auc = summarise(predictions, by), roc_auc_weighted(predictions, n_classes, by)
-    return base.join(auc, list(by)) if by else base.crossJoin(auc)  # one row each
+    if by:
+        return base.join(auc, list(by))
+    return base.withColumn("_one", F.lit(1)).join(auc.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def across_folds(fold_metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -62,7 +62,9 @@ select event_id as row_id, m.model, cast(event_id % 5 as int) as fold,
  m.k as k
 from (select event_id, cast(case event_type when 'click' then 0 when 'view' then 0 when 'error' then 1
                                  when 'signup' then 2 else 3 + event_id % 2 end as int) as label from {events})
-cross join (values ('forest', 1, 7), ('boosted', 2, 9)) as m(model, k, wrong)"""
+{models}"""
+_MODELS_SPARK = ("lateral view inline(array(struct('forest', 1, 7), struct('boosted', 2, 9))) m as model, k, wrong")
+_MODELS_SQL = "cross join (values ('forest', 1, 7), ('boosted', 2, 9)) as m(model, k, wrong)"
 
 
 def _sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
@@ -78,6 +80,10 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, _FLOWS, lineitem=table(spark, sf_dir, "lineitem"))
 
 
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, _PREDICTIONS.replace("{models}", _MODELS_SPARK), events=table(spark, sf_dir, "events"))
+
+
 def scored(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     src = table(spark, sf_dir, "events") if events is None else events
     return _sql(spark, _SCORED, events=src)
@@ -105,4 +111,6 @@ raw_train as (select * exclude (split, Label), {_HARMONISE_SQL} as Label from fl
               where split = 'training' and Label <> 'WebDDoS'),
 raw_test as (select * exclude (split) from flows where split = 'testing')""")
 
+PREDICTIONS_CTE = "pred0 as (" + _PREDICTIONS.replace("{events}", "events").replace("{models}", _MODELS_SQL) + ")"
+
 FEATURE_COLS = ["f_qty", "f_price", "f_price2", "f_disc", "f_tax", "f_ratio", "f_const"]

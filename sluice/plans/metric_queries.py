@@ -13,13 +13,12 @@ _A = "(3 + (row_id * k) % 5)"
 _OTHER = "((prediction + 1 + row_id % 4) % 5)"
 _P = [f"(case when prediction = {c} then {_A} when {_OTHER} = {c} then 8 - {_A} else 0 end / 8.0{{d}})" for c in range(_N)]
 
-PRED_CTE = "pred0 as (" + B._PREDICTIONS.replace("{events}", "events") + ")" + (
+PRED_CTE = B.PREDICTIONS_CTE + (
     ", pred as (select *, [" + ", ".join(p.format(d="::double") for p in _P) + "] as probability from pred0)")
 
 
 def predictions(spark, sf):
-    df = B._sql(spark, B._PREDICTIONS, events=B.table(spark, sf, "events"))
-    return df.withColumn("probability", F.array(*[F.expr(p.format(d="D")) for p in _P])).drop("k")
+    return B.predictions(spark, sf).withColumn("probability", F.array(*[F.expr(p.format(d="D")) for p in _P])).drop("k")
 
 
 def _per_class_sql(by: str, src: str = "pred") -> str:

@@ -96,7 +96,7 @@ def _named(spark, sf):
 def _(spark, sf):
     named = _named(spark, sf)
     kept = labels.deployment_only(named).groupBy(TARGET).agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(True))
-    dropped = (named.join(F.broadcast(labels.unsupported_labels(named)), TARGET).groupBy(TARGET)
+    dropped = (named.join(labels.unsupported_labels(named), TARGET).groupBy(TARGET)
                .agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(False)))
     return kept.unionByName(dropped)
 
@@ -203,8 +203,8 @@ _MED = "round(quantile_cont(%s, 0.5), 9)"
                           "where isinf(f_ratio)) as infinite from flows")
 def _(spark, sf):
     flows = B.flows(spark, sf)
-    return (cleaning.invalid_to_null(flows).select(*_ROWC, "f_ratio")
-            .crossJoin(F.broadcast(cleaning.count_infinite(flows))))  # one row
+    infinite = cleaning.count_infinite(flows).first()["infinite"]
+    return cleaning.invalid_to_null(flows).select(*_ROWC, "f_ratio", F.lit(infinite).alias("infinite"))
 
 
 _IMPUTED = ["f_qty", "f_price", "f_disc", "f_tax", "f_ratio"]
