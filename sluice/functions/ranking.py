@@ -11,8 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Quotas for up to this many groups travel as literals; more are joined part by part.
-LITERAL_GROUPS = 1_000
+from sluice import workdir
 
 
 def key_hash(seed: int, keys: Sequence[str]) -> Column:
@@ -46,44 +45,27 @@ def with_group_rank(df: DataFrame, group: str, keys: Sequence[str], seed: int, r
 
 def mark_quota(df: DataFrame, group: str, quotas: Mapping, keys: Sequence[str], seed: int,
                flag: str = "taken") -> DataFrame:
-    """Flags exactly ``quotas[g]`` rows of each group g (all of them if it has fewer)."""
+    """Flags exactly ``quotas[g]`` rows of each group g (all of them if it has fewer).
+
+    Counts of the parts give each group's border part: parts before it are taken whole, parts after it not at all,
+    and only rows of the border part are ranked. The table of borders has one row per group and is written before
+    it is joined, so its size decides how.
+    """
     rows = _hashed(df, keys, seed)
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(g, int(q)) for g, q in quotas.items()],
-                                   f"_g {df.schema[group].dataType.simpleString()}, _quota long")
-    plan = (_offsets(rows, group).join(F.broadcast(wanted) if len(quotas) <= LITERAL_GROUPS else wanted,
-                                       F.col(group) == F.col("_g"))
-            .withColumn("_need", F.greatest(F.lit(0), F.least("_n", F.col("_quota") - F.col("_before"))))
-            .select("_g", F.col("_part").alias("_p"), "_n", "_need"))
-    if len(quotas) <= LITERAL_GROUPS:
-        # One border part per group: whole parts before it are taken, rows of it by rank.
-        border = (plan.where(F.col("_need") < F.col("_n")).groupBy("_g")
-                  .agg(F.min(F.struct("_p", "_need")).alias("b")).select("_g", "b._p", "b._need"))
-        borders = {r["_g"]: (r["_p"], r["_need"]) for r in border.collect()}
-        border_part = _literal_case({g: b[0] for g, b in borders.items()}, F.col(group), 1 << 16)
-        need = _literal_case({g: b[1] for g, b in borders.items()}, F.col(group), 0)
-        known = F.coalesce(F.col(group).isin(list(quotas)), F.lit(False)) if quotas else F.lit(False)
-        split = rows.withColumns({"_border": border_part})
-        sure = (split.where(F.col("_part") != F.col("_border"))
-                .withColumn(flag, known & (F.col("_part") < F.col("_border"))))
-        w = Window.partitionBy(group, "_part").orderBy("_h", *keys)
-        edge = (split.where(F.col("_part") == F.col("_border"))
-                .withColumn(flag, F.row_number().over(w) <= need))
-        out = sure.unionByName(edge).drop("_border")
-    else:
-        w = Window.partitionBy(group, "_part").orderBy("_h", *keys)
-        ranked = rows.withColumn("_rn", F.row_number().over(w))
-        out = (ranked.join(plan, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")), "left")
-               .withColumn(flag, F.coalesce(F.col("_rn") <= F.col("_need"), F.lit(False)))
-               .drop("_rn", "_g", "_p", "_n", "_need"))
-    return out.drop("_h", "_part")
-
-
-def _literal_case(values: Mapping, on: Column, default: int) -> Column:
-    out = F.lit(default)
-    for k, v in values.items():
-        out = F.when(on == k, F.lit(int(v))).otherwise(out)
-    return out
+    kind = df.schema[group].dataType.simpleString()
+    wanted = df.sparkSession.createDataFrame([(g, int(q)) for g, q in quotas.items()], f"_g {kind}, _quota long")
+    short = (_offsets(rows, group).join(wanted, F.col(group) == F.col("_g"))
+             .where(F.col("_before") + F.col("_n") > F.col("_quota"))
+             .groupBy("_g").agg(F.min(F.struct("_part", "_before")).alias("_first")))
+    borders = wanted.join(short.withColumnRenamed("_g", "_s"), F.col("_g") == F.col("_s"), "left").select(
+        "_g", F.coalesce("_first._part", F.lit(1 << 16)).alias("_border"),
+        (F.col("_quota") - F.coalesce("_first._before", F.lit(0))).alias("_need"))
+    split = rows.join(workdir.materialize(borders, "quota-borders"), F.col(group) == F.col("_g"), "left")
+    inside = F.col("_border").isNotNull() & (F.col("_part") == F.col("_border"))
+    w = Window.partitionBy(group, "_part").orderBy("_h", *keys)
+    edge = split.where(inside).withColumn(flag, F.row_number().over(w) <= F.col("_need"))
+    sure = split.where(~inside).withColumn(flag, F.coalesce(F.col("_part") < F.col("_border"), F.lit(False)))
+    return sure.unionByName(edge).drop("_h", "_part", "_g", "_border", "_need")
 
 
 def take_quota(df: DataFrame, group: str, quotas: Mapping, keys: Sequence[str], seed: int) -> DataFrame:

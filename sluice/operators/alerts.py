@@ -154,7 +154,7 @@ def alerts_after_cooldown(events: DataFrame, key: Sequence[str] = ("src_ip", "pr
 
 
 def alert_message() -> Column:
-    """The text shown to the operator."""
+    """The text shown to the operator (a fixed value)."""
     return F.concat(F.lit("Attack type: "), F.col("prediction"), F.lit("\nSource IP: "), F.col("src_ip"),
                     F.lit("\nTarget IP: "), F.col("dst_ip"), F.lit("\nConfidence: "),
                     S.percent_text(F.col("confidence"), 1), F.lit("\n\nSystem action: Blocking attacker IP..."))

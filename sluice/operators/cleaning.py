@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sluice.functions.scalars import col, finite, floating_columns, is_infinite, numeric_columns, to_finite
 from sluice.schemas import EXTRACTOR_COLUMNS, FEATURES, TARGET, TIME_FEATURES
 
-# Up to this many values per column Spark's own exact median (one buffer per column) is used.
-DIRECT_MEDIAN_ROWS = 250_000
+# Rounds of narrowing end once so few values are left around the middle.
+MIDDLE_VALUES = 250_000
 
 
 def _all_columns(df: DataFrame, changed: Mapping[str, Column]) -> DataFrame:
@@ -43,6 +43,7 @@ class _Search:
     lo: float = float("-inf")
     hi: float = float("inf")
     margin: float = 4e-4
+    bracketed: bool = False
     settled: bool = False
 
     @property
@@ -50,23 +51,23 @@ class _Search:
         return (self.n - 1) // 2, self.n // 2
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], direct_rows: int = DIRECT_MEDIAN_ROWS) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: Sequence[str], middle_values: int = MIDDLE_VALUES) -> dict[str, float | None]:
     """Median per column over valid values, the mean of the middle two; None if there are none.
 
-    Spark's exact median holds all distinct values of a column in one task. Beyond
-    ``direct_rows`` values, an approximate quantile only brackets the middle; the
-    exact middle is then picked among the few values inside the bracket.
+    Approximate quantiles bracket the middle; the exact middle is then picked among the few values inside. The
+    first bracket comes with the counts, in one pass; brackets that miss the middle or hold more than
+    ``middle_values`` values are narrowed again.
     """
     columns = list(columns)
     if not columns:
         return {}
     values = df.select(*[finite(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
-    if values.count() <= direct_rows:
-        medians = values.agg(*[F.median(f"v{i}").alias(f"v{i}") for i in range(len(columns))]).first()
-        return dict(zip(columns, medians))
-    counts = values.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(columns))]).first()
-    found = {i: _Search(n, inside=n) for i, n in enumerate(counts) if n}
-    while wide := {i: s for i, s in found.items() if s.inside > direct_rows and not s.settled}:
+    margin = _Search(0).margin
+    first = values.agg(*[a for i in range(len(columns)) for a in (F.count(f"v{i}"), F.percentile_approx(
+        f"v{i}", [0.5 - margin, 0.5 + margin], 10_000))]).first()
+    found = {i: _Search(first[2 * i], inside=first[2 * i]) for i in range(len(columns)) if first[2 * i]}
+    _check(values, found, [first[2 * i + 1] for i in found])
+    while wide := {i: s for i, s in found.items() if not s.settled and (not s.bracketed or s.inside > middle_values)}:
         _narrow(values, wide)
     return {c: m for c, m in zip(columns, _middles(values, found, len(columns)))}
 
@@ -78,20 +79,24 @@ def _narrow(values: DataFrame, wide: Mapping[int, _Search]) -> None:
         quantiles = [max(0.0, at - s.margin), min(1.0, at + s.margin + 1.0 / s.inside)]
         asks.append(F.percentile_approx(F.when(F.col(f"v{i}").between(s.lo, s.hi), F.col(f"v{i}")),
                                         quantiles, 10_000).alias(f"v{i}"))
-    brackets = values.agg(*asks).first()
+    _check(values, wide, values.agg(*asks).first())
+
+
+def _check(values: DataFrame, searches: Mapping[int, _Search], brackets: Sequence) -> None:
+    """Counts what lies below and inside each bracket and keeps it if it holds the middle."""
     checks = []
-    for (i, s), (lo, hi) in zip(wide.items(), brackets):
+    for (i, s), (lo, hi) in zip(searches.items(), brackets):
         v = F.col(f"v{i}")
         checks += [F.count(F.when(v < lo, 1)), F.count(F.when(v.between(lo, hi), 1))]
-    tallies = iter(values.agg(*checks).first())
-    for (s, (lo, hi)) in zip(wide.values(), brackets):
+    tallies = iter(values.agg(*checks).first() if checks else ())
+    for s, (lo, hi) in zip(searches.values(), brackets):
         below, inside = next(tallies), next(tallies)
         if not (below <= s.ranks[0] and s.ranks[1] < below + inside):
             s.margin *= 4  # the bracket missed the middle
             continue
         # A bracket that no longer shrinks holds few distinct values, each with many copies.
-        s.settled = lo == hi or inside >= s.inside
-        s.below, s.inside, s.lo, s.hi, s.margin = below, inside, lo, hi, 4e-4
+        s.settled = lo == hi or (s.bracketed and inside >= s.inside)
+        s.below, s.inside, s.lo, s.hi, s.margin, s.bracketed = below, inside, lo, hi, 4e-4, True
 
 
 def _middles(values: DataFrame, found: Mapping[int, _Search], n_columns: int) -> list[float | None]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,8 +41,8 @@ def combine_splits(train: DataFrame, test: DataFrame) -> DataFrame:
             .unionByName(test.withColumn("split_rank", F.lit(1)), allowMissingColumns=True))
 
 
-def _feature_tuple(columns: Sequence[str], alias: str) -> tuple[Column, Column]:
-    refs = [F.col(f"{alias}.`{c}`") for c in columns]
+def _feature_tuple(types: Mapping[str, str], alias: str) -> tuple[Column, Column]:
+    refs = [F.col(f"{alias}.`{c}`").cast(kind) for c, kind in types.items()]
     return F.xxhash64(*refs), F.struct(*refs)
 
 
@@ -57,12 +57,19 @@ def _seen_join(train: DataFrame, test: DataFrame, columns: Sequence[str], how: s
     is compared as well, so equal hashes of different rows do no harm. Distinct tuples
     on the right leave only the test side to be hot, which AQE splits.
     """
-    seen = train.select(*[F.col(f"`{c}`") for c in columns]).distinct().alias("a")
-    ha, ta = _feature_tuple(columns, "a")
-    hb, tb = _feature_tuple(columns, "b")
+    types = _common_types(train, test, columns)
+    seen = train.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in columns]).distinct().alias("a")
+    ha, ta = _feature_tuple(types, "a")
+    hb, tb = _feature_tuple(types, "b")
     return test.alias("b").join(seen, (ha == hb) & ta.eqNullSafe(tb), how)
 
 
+def _common_types(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The type each column has in a union of both sides; equal values of different types hash alike only in it."""
+    both = train.select(*[F.col(f"`{c}`") for c in columns]).limit(0).union(test.select(*[F.col(f"`{c}`") for c in columns]).limit(0))
+    return {c: f.dataType.simpleString() for c, f in zip(columns, both.schema.fields)}
+
+
 def remove_seen_in_training(train: DataFrame, test: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Test rows whose features do not occur in training, whatever their label."""
     columns = common_features(train, test) if columns is None else columns

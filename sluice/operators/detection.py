@@ -94,6 +94,10 @@ def confirmed(threshold: float) -> Column:
             & (F.coalesce(F.col("confidence"), F.lit(0.0)) >= threshold))
 
 
-def on_each_batch(callback: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A user callback as ``foreachBatch`` function: it gets each batch of new events."""
-    return lambda batch, _batch_id: callback(batch)
+def on_each_batch(callback: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A user callback as ``foreachBatch`` function: it gets each batch of new events and its number.
+
+    A batch that is run again after a failure comes with the same number, so that a callback which stores it can
+    replace what the first try left.
+    """
+    return lambda batch, batch_id: callback(batch, batch_id)

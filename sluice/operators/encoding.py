@@ -35,13 +35,20 @@ def apply_minmax(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> Da
                        for c in df.columns])
 
 
-def fit_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted categories per column."""
+# One-hot columns are made for vocabularies; a text column with more values has no place among them.
+MOST_CATEGORIES = 10_000
+
+
+def fit_categories(df: DataFrame, columns: Sequence[str], most: int = MOST_CATEGORIES) -> dict[str, list[str]]:
+    """Sorted categories per column. More than ``most`` in all are refused, before they reach the driver."""
     out: dict[str, list[str]] = {c: [] for c in columns}
     if columns:
         pairs = F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in columns])
         found = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("v").isNotNull()).distinct()
-        for r in found.orderBy("c", "v").collect():
+        rows = found.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} categories in columns {list(columns)}; drop or group free text first")
+        for r in sorted(rows):
             out[r["c"]].append(r["v"])
     return out
 

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluice import workdir
 
-# Up to this many distinct (class, score) rows one task per class adds up the ranks.
-DIRECT_RANK_ROWS = 1_000_000
 _CHUNKS = 256
 
 METRICS = ["accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "f1_macro"]
@@ -60,30 +58,27 @@ def summarise(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return averages(per_class(confusion(predictions, by), by), by)
 
 
-def _below(counts: DataFrame, groups: Sequence[str], direct_rows: int) -> DataFrame:
+def _below(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Adds ``neg_below``, the negatives with a lower score in the same group.
 
-    Many distinct scores are cut at their quantiles into chunks, so one class with very
-    many of them is spread over many tasks.
+    Distinct scores are cut at their quantiles into chunks, so one class with very many
+    of them is spread over many tasks.
     """
     def upto(w):
         return F.sum("neg").over(w) - F.col("neg")
 
-    if counts.count() <= direct_rows:
-        return counts.withColumn("neg_below", upto(Window.partitionBy(*groups).orderBy("score")))
     cuts = counts.groupBy(*groups).agg(F.percentile_approx(
         "score", [i / _CHUNKS for i in range(1, _CHUNKS)], 10_000).alias("_cuts"))
-    chunked = counts.join(F.broadcast(cuts), groups)  # one row per class
+    chunked = counts.join(workdir.materialize(cuts, "score-cuts"), groups)  # one row per group
     chunked = chunked.withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
     totals = chunked.groupBy(*groups, "_chunk").agg(F.sum("neg").alias("neg"))
     before = totals.select(*groups, "_chunk", upto(Window.partitionBy(*groups).orderBy("_chunk")).alias("_before"))
     inside = chunked.withColumn("_inside", upto(Window.partitionBy(*groups, "_chunk").orderBy("score")))
-    return (inside.join(F.broadcast(before), [*groups, "_chunk"])
+    return (inside.join(before, [*groups, "_chunk"])
             .withColumn("neg_below", F.col("_before") + F.col("_inside")).drop("_chunk", "_before", "_inside"))
 
 
-def class_auc(predictions: DataFrame, n_classes: int, by: Sequence[str] = (), probability: str = "probability",
-              direct_rows: int = DIRECT_RANK_ROWS) -> DataFrame:
+def class_auc(predictions: DataFrame, n_classes: int, by: Sequence[str] = (), probability: str = "probability") -> DataFrame:
     """One-vs-rest area under the ROC curve per class, ties counting half.
 
     Rows are first counted per (class, score), then ranked by running sums over scores.
@@ -93,20 +88,19 @@ def class_auc(predictions: DataFrame, n_classes: int, by: Sequence[str] = (), pr
     positive = (F.col("label") == F.col("class")).cast("long")
     counts = scores.groupBy(*groups, "score").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
     counts = workdir.materialize(counts, "score-counts")
-    ranked = _below(counts, groups, direct_rows)
+    ranked = _below(counts, groups)
     pairs = (F.col("pos").cast("decimal(19,0)") * (F.col("neg_below") * 2 + F.col("neg")).cast("decimal(19,0)"))
     sums = ranked.groupBy(*groups).agg(F.sum(pairs).alias("_won2"), F.sum("pos").alias("support"), F.sum("neg").alias("_neg"))
     won = F.col("_won2").cast("double") / 2
     return sums.select(*groups, "support", F.try_divide(won, F.col("support").cast("double") * F.col("_neg")).alias("auc"))
 
 
-def roc_auc_weighted(predictions: DataFrame, n_classes: int, by: Sequence[str] = (), probability: str = "probability",
-                     direct_rows: int = DIRECT_RANK_ROWS) -> DataFrame:
+def roc_auc_weighted(predictions: DataFrame, n_classes: int, by: Sequence[str] = (), probability: str = "probability") -> DataFrame:
     """Prevalence-weighted mean of the class AUCs; for two classes that of class 1.
 
     Null when a class has no rows or all rows, where it is undefined.
     """
-    auc = class_auc(predictions, n_classes, by, probability, direct_rows)
+    auc = class_auc(predictions, n_classes, by, probability)
     if n_classes == 2:
         return auc.where(F.col("class") == 1).select(*by, F.col("auc").alias("roc_auc_ovr_weighted"))
     whole = F.count(F.when(F.col("auc").isNotNull(), 1)) == n_classes
@@ -181,8 +175,9 @@ def selected(table: DataFrame) -> DataFrame:
 
 
 def best_by(table: DataFrame, column: str) -> DataFrame:
-    """The model with the largest value of one metric."""
-    return table.agg(F.max_by("Model", F.col(f"`{column}`")).alias("model"), F.max(F.col(f"`{column}`")).alias("value"))
+    """The model with the largest value of one metric, the first by name on ties."""
+    best = F.min(F.struct((-F.col(f"`{column}`")).alias("less"), F.col("Model").alias("model")))
+    return table.where(F.col(f"`{column}`").isNotNull()).agg(best.alias("b")).select("b.model", (-F.col("b.less")).alias("value"))
 
 
 def metric_column(columns: Sequence[str], metric: str) -> str | None:

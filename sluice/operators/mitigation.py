@@ -8,6 +8,7 @@ from sluice.functions import scalars as S
 from sluice.functions.skew import salted_left_join
 from sluice.schemas import ATTACK_THRESHOLD
 
+# Messages and, below, command texts.
 SIMULATED_BLOCK = "SIMULATION: firewall command was not executed."
 SIMULATED_UNBLOCK = "SIMULATION: unblock command was not executed."
 

@@ -40,13 +40,10 @@ def leakage_columns(columns: Iterable[str], patterns: Iterable[str] = LEAKAGE_PA
 
 def group_column(df: DataFrame) -> str | None:
     """First column fit to group rows that has more than one value."""
-    for c in df.columns:
-        if _matches(c, GROUP_PATTERNS):
-            text = F.coalesce(col(c).cast("string"), F.lit("nan"))
-            lo, hi = df.agg(F.min(text), F.max(text)).first()
-            if lo != hi:
-                return c
-    return None
+    names = [c for c in df.columns if _matches(c, GROUP_PATTERNS)]
+    texts = [F.coalesce(col(c).cast("string"), F.lit("nan")) for c in names]
+    row = df.agg(*[a for t in texts for a in (F.min(t), F.max(t))]).first() if names else ()
+    return next((c for k, c in enumerate(names) if row[2 * k] != row[2 * k + 1]), None)
 
 
 @dataclass(frozen=True)

@@ -37,7 +37,7 @@ select l_orderkey, l_linenumber, l_quantity as f_qty, l_extendedprice as f_price
  l_discount as f_disc, l_tax as f_tax,
  case when l_tax = 0 and l_linenumber = 1 then cast('Infinity' as double) when l_tax = 0 then null
       else l_discount / l_tax end as f_ratio, cast(0 as double) as f_const,
- case when l_returnflag = 'N' then 'Benign' when l_linenumber = 1 then 'WebDDoS'
+ case when l_returnflag = 'N' then 'Benign' when l_linenumber = 1 and l_orderkey % 5 = 0 then 'WebDDoS'
       when l_returnflag = 'R' and l_linestatus = 'F' then 'DrDoS_UDP' when l_returnflag = 'R' then 'UDP-lag'
       when l_linestatus = 'F' and l_linenumber > 5 then 'NetBIOS' when l_linestatus = 'F' then 'DrDoS_LDAP'
       else 'Syn' end as Label,
@@ -94,7 +94,7 @@ _HARMONISE_SQL = "case Label " + " ".join(f"when '{a}' then '{b}'" for a, b in H
 
 def raw_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training half with training label names; it never holds the test-only label."""
-    f = flows(spark, sf_dir).where("split = 'training' and Label <> 'WebDDoS'")
+    f = flows(spark, sf_dir).where("split = 'training'")
     return f.withColumn("Label", F.expr(_HARMONISE_SQL)).drop("split")
 
 
@@ -108,7 +108,7 @@ FLOWS_CTE = "flows as (" + _FLOWS.replace("{lineitem}", "lineitem") + ")"
 SCORED_CTE = "scored as (" + _SCORED.replace("{events}", "events") + ")"
 SPLITS_CTE = (FLOWS_CTE + f""",
 raw_train as (select * exclude (split, Label), {_HARMONISE_SQL} as Label from flows
-              where split = 'training' and Label <> 'WebDDoS'),
+              where split = 'training'),
 raw_test as (select * exclude (split) from flows where split = 'testing')""")
 
 PREDICTIONS_CTE = "pred0 as (" + _PREDICTIONS.replace("{events}", "events").replace("{models}", _MODELS_SQL) + ")"

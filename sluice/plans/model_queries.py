@@ -103,11 +103,18 @@ _register_model("train_mlp", "MLP Classifier", {"hidden": [32, 16], "maxIter": 6
 _register_model("train_knn", "KNN", {})
 
 
-@query("candidate_grid", "select unnest(['Random Forest', 'KNN', 'Extra Trees', 'MLP Classifier', 'XGBoost', 'Random Forest + SMOTE', "
-                         "'Extra Trees + SMOTE']) as name, count(*) as rows from events group by 1")
+@query("candidate_grid", f"with t as (select {_TYPE} as tag, count(*) as n from events group by 1), c as (select * from (values "
+       "('Random Forest', false), ('KNN', false), ('Extra Trees', false), ('MLP Classifier', false), ('XGBoost', false), "
+       "('Random Forest + SMOTE', true), ('Extra Trees + SMOTE', true)) c(name, more)) "
+       "select name, tag, case when more then max(n) over () else n end as rows from t, c")
 def _(spark, sf):
-    n = B.table(spark, sf, "events").count()
-    return spark.createDataFrame([(c.name, n) for c in models.candidates(7)], "name string, rows long")
+    """Rows of each class that each candidate is fitted on."""
+    points = _points(spark, sf).drop("event_id")
+    classes = points.groupBy("tag").agg(F.count(F.lit(1)).alias("plain")).join(
+        N.smote(points, "tag", "id", k=3).groupBy("tag").agg(F.count(F.lit(1)).alias("more")), "tag")
+    fits = F.array(*[F.struct(F.lit(c.name).alias("name"), (F.col("more") if c.oversample else F.col("plain")).alias("rows"))
+                     for c in models.candidates(7)])
+    return classes.select("tag", F.inline(fits)).select("name", "tag", "rows")
 
 
 @query("random_search")

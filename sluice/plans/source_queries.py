@@ -32,15 +32,17 @@ def _stage(spark: SparkSession, sf: str, name: str, write) -> str:
 # ---- labelled files: families by label, not all of them in both splits ----
 
 _FAMILY = "replace(Label, '-', '')"
-_FILES_CTE = B.FLOWS_CTE + f""", files as (select *, {_FAMILY} as family from flows
-  where not (split = 'training' and Label = 'UDP-lag') and not (split = 'testing' and Label = 'NetBIOS')),
+# One label of each half bears another's name, so that its family is in the other half only.
+_MOVED = ("case when split = 'training' and Label = 'UDP-lag' or split = 'testing' and Label = 'NetBIOS' then 'Syn' "
+          "else Label end")
+_FILES_CTE = B.FLOWS_CTE + f""", moved as (select * replace ({_MOVED} as Label) from flows),
+files as (select *, {_FAMILY} as family from moved),
 common as (select * from files where family in (select family from files group by family having count(distinct split) = 2))"""
 
 
 def _dataset(spark, sf):
     def write(path):
-        named = B.flows(spark, sf).where("not (split = 'training' and Label = 'UDP-lag')").where(
-            "not (split = 'testing' and Label = 'NetBIOS')").withColumn(
+        named = B.flows(spark, sf).withColumn(TARGET, F.expr(_MOVED)).withColumn(
             "file", F.expr(f"concat({_FAMILY}, '-', split, '.parquet')"))
         # The training files have no f_const and the testing files no f_price2.
         for split, absent in (("training", "f_const"), ("testing", "f_price2")):
@@ -220,12 +222,12 @@ def _(spark, sf):
     return datasets.labelled_csv(spark, _labelled_csv(spark, sf))
 
 
-@query("sink_labelled_append", f"with {_LABELLED} select Label, count(*) as n, sum(fwd_n)::double as fwd from lc where Label in "
-                               "('Benign', 'UDP Flood') group by Label")
+@query("sink_labelled_append", f"with {_LABELLED} select Label, count(*) as n, sum(fwd_n)::double as fwd from lc where Label is not null "
+                               "group by Label")
 def _(spark, sf):
     rows = labelled_features(spark, sf)
     path = workdir.new_path(spark, "collected")
-    for raw in ("Benign", "UDP"):
+    for raw in [r[0] for r in rows.select(TARGET).distinct().collect() if r[0] in CATEGORY]:
         datasets.append_labelled(rows.where(F.col(TARGET) == raw).drop(TARGET), CATEGORY[raw], path)
     return spark.read.parquet(path).groupBy(TARGET).agg(F.count(F.lit(1)).alias("n"),
                                                         F.sum(col("Total Fwd Packets")).alias("fwd"))
@@ -325,12 +327,13 @@ def _(spark, sf):
     return out.select("l_orderkey", "l_linenumber", *[F.round(c, 9).alias(c) for c in _SC])
 
 
-# Categories are learned without one of the event types, which then is unknown.
+# Categories are learned with one event type under another's name, which then is unknown.
 @query("encode_onehot", "select event_id, " + ", ".join(
     f"case when event_type = '{t}' then 1.0::double else 0.0::double end as \"event_type_{t}\"" for t in ("click", "error", "signup", "view")) + " from events")
 def _(spark, sf):
     ev = B.table(spark, sf, "events").select("event_id", "event_type")
-    known = encoding.fit_categories(ev.where("event_type in ('click', 'error', 'signup', 'view')"), ["event_type"])
+    known = encoding.fit_categories(ev.withColumn("event_type", F.expr(
+        "case when event_type in ('click', 'error', 'signup') then event_type else 'view' end")), ["event_type"])
     return ev.select("event_id", *[c.alias(n) for n, c in encoding.onehot_columns(known).items()])
 
 

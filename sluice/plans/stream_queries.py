@@ -73,9 +73,9 @@ def _(spark, sf):
 def _(spark, sf):
     """A user callback that stores what it is handed."""
     path, checkpoint = workdir.new_path(spark, "callback"), workdir.new_path(spark, "callback-checkpoint")
-    hook = detection.on_each_batch(lambda batch: batch.select("prediction").write.mode("append").parquet(path))
+    hook = detection.on_each_batch(lambda batch, n: batch.select("prediction").write.mode("overwrite").parquet(f"{path}/{n}"))
     runs.start_batches(_attacks(spark, sf).where("is_attack"), hook, checkpoint).awaitTermination()
-    return spark.read.parquet(path).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.option("recursiveFileLookup", True).parquet(path).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_event_log", f"with {EVENTS_CTE} select cast(event_id as varchar) as model, src_ip, prediction from ev")

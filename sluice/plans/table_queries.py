@@ -76,12 +76,15 @@ def _(spark, sf):
     return labels.rename_or_keep(B.flows(spark, sf)).select(*_ROWC)
 
 
-# Training without one class, so that test labels unseen in training exist.
-@query("label_drop_unseen_test", f"with {LABELLED_CTE}, seen as (select * from train_cat where Label <> 'LDAP Flood') "
+# One training class bears another's name, so that test labels unseen in training exist.
+_RENAMED = "case when Label = 'LDAP Flood' then 'UDP Flood' else Label end"
+
+
+@query("label_drop_unseen_test", f"with {LABELLED_CTE}, seen as (select {_RENAMED} as Label from train_cat) "
                                  f"select {_ROW} from test_cat where Label in (select Label from seen)")
 def _(spark, sf):
     train, test = _cat(spark, sf)
-    return labels.drop_unseen(train.where(F.col(TARGET) != "LDAP Flood"), test).select(*_ROWC)
+    return labels.drop_unseen(train.withColumn(TARGET, F.expr(_RENAMED)), test).select(*_ROWC)
 
 
 _DEPLOY = f"{B.FLOWS_CTE}, named as (select *, coalesce({_map_sql(CATEGORY | {'DrDoS_UDP': 'UDP Flood'})}, Label) as cat from flows)"
@@ -159,8 +162,9 @@ def _(spark, sf):
     return dedup.keep_first(combined, _KEY3, ["split_rank", "l_orderkey", "l_linenumber"])
 
 
-# The test half keeps only some quantities of the training half in common, nulls included.
-_SEEN = """, tr as (select f_qty, f_disc, f_ratio, Label from raw_train where l_orderkey % 7 <> 0),
+# Part of the training half has other quantities, so that some test tuples are unseen; nulls are matched.
+_SHIFTED = "case when (l_orderkey + l_linenumber) % 3 = 0 then f_qty else f_qty + 50 end"
+_SEEN = f""", tr as (select {_SHIFTED} as f_qty, f_disc, f_ratio, Label from raw_train),
 te as (select f_qty, f_disc, f_ratio, l_orderkey, l_linenumber, Label from raw_test),
 seen as (select distinct f_qty, f_disc, f_ratio from tr)"""
 _MATCH = " and ".join(f"s.{c} is not distinct from t.{c}" for c in ("f_qty", "f_disc", "f_ratio"))
@@ -168,7 +172,7 @@ _SEENC = ["f_qty", "f_disc", "f_ratio"]
 
 
 def _seen_pair(spark, sf):
-    train = B.raw_train(spark, sf).where("l_orderkey % 7 <> 0").select(*_SEENC, TARGET)
+    train = B.raw_train(spark, sf).withColumn("f_qty", F.expr(_SHIFTED)).select(*_SEENC, TARGET)
     return train, B.raw_test(spark, sf).select(*_SEENC, "l_orderkey", "l_linenumber", TARGET)
 
 
@@ -271,10 +275,13 @@ def _(spark, sf):
     return profiling.label_distribution(B.flows(spark, sf))
 
 
-@query("profile_dtypes", f"""with {B.FLOWS_CTE}, t as (select distinct unnest([{', '.join(f"typeof({c})" for c in (
-    'l_orderkey', 'l_linenumber', *B.FEATURE_COLS, 'Label', 'split'))}]) as ty, unnest(range(11)) as i from flows)
+_ALL = ["l_orderkey", "l_linenumber", *B.FEATURE_COLS, "Label", "split"]
+_TYPES_SQL = " union all ".join(f"select typeof({c}) as ty, '{c}' as \"column\", count({c}) as cells from flows group by 1" for c in _ALL)
+
+
+@query("profile_dtypes", f"""with {B.FLOWS_CTE}, t as ({_TYPES_SQL})
   select case ty when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' else 'string' end as dtype,
-  count(*) as columns from t group by 1""")
+  count(*) as columns, sum(cells)::bigint as cells from t group by 1""")
 def _(spark, sf):
     return profiling.dtype_counts(B.flows(spark, sf))
 
@@ -292,16 +299,14 @@ def _(spark, sf):
                                  "column string, class string")
 
 
-@query("select_dtypes_split", f"""with {B.FLOWS_CTE} select distinct unnest(['l_orderkey', 'l_linenumber', 'f_qty', 'f_price',
-  'f_price2', 'f_disc', 'f_tax', 'f_ratio', 'f_const', 'Label', 'split']) as "column", unnest([{', '.join(
-    f"case when typeof({c}) = 'VARCHAR' then 'categorical' else 'numeric' end" for c in (
-        'l_orderkey', 'l_linenumber', 'f_qty', 'f_price', 'f_price2', 'f_disc', 'f_tax', 'f_ratio', 'f_const', 'Label', 'split'))}])
-  as class from flows""")
+@query("select_dtypes_split", f"""with {B.FLOWS_CTE}, t as ({_TYPES_SQL})
+  select "column", case when ty = 'VARCHAR' then 'categorical' else 'numeric' end as class, cells from t""")
 def _(spark, sf):
     flows = B.flows(spark, sf)
     numeric = set(S.numeric_columns(flows))
-    return spark.createDataFrame([(c, "numeric" if c in numeric else "categorical") for c in flows.columns],
-                                 "column string, class string")
+    kinds = [F.struct(F.lit(c).alias("column"), F.lit("numeric" if c in numeric else "categorical").alias("class"),
+                      F.count(S.col(c)).alias("cells")) for c in flows.columns]
+    return flows.agg(F.array(*kinds).alias("k")).select(F.inline("k"))
 
 
 @query("profile_missing", f"with {B.FLOWS_CTE} select count(*) as rows, sum(case when f_ratio is null or isnan(f_ratio) "
@@ -444,9 +449,11 @@ def _leaky(spark, sf):
                                      F.col("f_qty").alias("transport"), F.col("f_qty").alias("Fwd Seg"))
 
 
-@query("leakage_columns", "select unnest(['Label', 'Flow ID', 'Src_IP', 'transport']) as \"column\"")
+@query("leakage_columns", f"with {B.FLOWS_CTE} select * exclude (Label), f_qty as \"Fwd Seg\" from flows")
 def _(spark, sf):
-    return spark.createDataFrame([(c,) for c in selection.leakage_columns(_leaky(spark, sf).columns)], "column string")
+    """The rows without the columns that would leak: the label, Flow ID, Src_IP and transport."""
+    df = _leaky(spark, sf)
+    return selection.drop_columns(df, selection.leakage_columns(df.columns))
 
 
 @query("group_column_infer", "select 'Flow ID' as \"column\", count(distinct l_orderkey) as groups from lineitem")
@@ -597,7 +604,11 @@ def _(spark, sf):
     return sampling.stratified_folds(_events_by_class(spark, sf), "prediction", ["event_id"], 5)
 
 
-@query("kfold_stratified_group")
+@query("kfold_stratified_group", f"""with {B.SCORED_CTE}, cells as (select src_ip, prediction, count(*) as n from scored group by all),
+  g as (select src_ip, sum(n) as size, arg_min(prediction, (-n, prediction)) as cls from cells group by src_ip),
+  r as (select src_ip, (row_number() over (partition by cls order by size desc, {_hash_sql(42, "src_ip")}, src_ip) - 1) % 10 as place from g)
+  select event_id, src_ip, prediction, cast(case when place < 5 then place else 9 - place end as int) as fold
+  from scored join r using (src_ip)""")
 def _(spark, sf):
     return sampling.group_folds(B.scored(spark, sf).select("event_id", "src_ip", "prediction"), "prediction", "src_ip", 5)
 

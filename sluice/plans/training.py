@@ -9,9 +9,10 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sluice import workdir
+from sluice.functions.copies import number_copies
 from sluice.functions.scalars import col
 from sluice.operators import cleaning, dedup, encoding, labels, metrics, models, neighbours, profiling, sampling, selection
 from sluice.schemas import FEATURES, TARGET, TrainingConfig
@@ -46,9 +47,8 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def _number_copies(df: DataFrame) -> DataFrame:
-    """Makes the ids of repeated rows different; a row has few copies by construction."""
-    copy = F.row_number().over(Window.partitionBy("row_id").orderBy("row_id"))
-    return df.withColumn("row_id", F.concat_ws("-", "row_id", copy.cast("string")))
+    """Makes the ids of repeated rows different."""
+    return number_copies(df, "_copy").withColumn("row_id", F.concat_ws("-", "row_id", F.col("_copy").cast("string"))).drop("_copy")
 
 
 def training_rows(splits: Splits, config: TrainingConfig) -> DataFrame:

@@ -154,6 +154,7 @@ DEPLOYMENT_CLASSES = [
 # TCP flag bits.
 FLAG_BITS = {"FIN": 1, "SYN": 2, "RST": 4, "PSH": 8, "ACK": 16, "URG": 32, "ECE": 64, "CWE": 128}
 
+# Fields of a detection event.
 EVENT_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("src_ip", T.StringType()),

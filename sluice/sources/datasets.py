@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sluice.functions.copies import number_copies
 from sluice.functions.scalars import col
 from sluice.operators import labels, sampling
 from sluice.schemas import CATEGORY, DEPLOYMENT_CLASSES, FEATURES, TARGET
@@ -79,8 +80,9 @@ def deployment_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def deployment_sample(spark: SparkSession, folder: str, per_class: int = 3000, seed: int = 42) -> DataFrame:
-    """At most ``per_class`` rows of each deployment class."""
-    return sampling.sample_per_class(deployment_rows(spark, folder), TARGET, per_class, FEATURES, seed)
+    """At most ``per_class`` rows of each deployment class. Each copy of a row is drawn on its own."""
+    rows = number_copies(deployment_rows(spark, folder), "_copy")
+    return sampling.sample_per_class(rows, TARGET, per_class, [*FEATURES, "_copy"], seed).drop("_copy")
 
 
 def labelled_csv(spark: SparkSession, path: str) -> DataFrame:

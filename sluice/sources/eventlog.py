@@ -12,9 +12,14 @@ from sluice.schemas import EVENT_FIELDS
 _TEXT_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in EVENT_FIELDS])
 
 
+def _reader(spark: SparkSession):
+    """Batches of a stream are folders inside the log, not partitions of it."""
+    return spark.read.option("header", True).option("recursiveFileLookup", True)
+
+
 def _header(spark: SparkSession, path: str) -> list[str] | None:
     try:
-        return spark.read.option("header", True).csv(path).columns
+        return _reader(spark).csv(path).columns
     except AnalysisException:
         return None
 
@@ -28,7 +33,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     if not header:
         rows = spark.createDataFrame([], _TEXT_SCHEMA)
     else:
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        raw = _reader(spark).option("mode", "PERMISSIVE").csv(path)
         extra = [c for c in ("actual_label",) if c in raw.columns]
         rows = raw.select(*[F.col(f) if f in header else F.lit(None).cast("string").alias(f)
                             for f in EVENT_FIELDS if f != "source" or "source" in header], *extra)
@@ -43,7 +48,11 @@ def _fields(events: DataFrame) -> list:
 
 def append_events(events: DataFrame, path: str) -> None:
     """Adds events in field order, absent values as empty text."""
-    events.select(*_fields(events)).write.mode("append").option("header", True).option("emptyValue", "").csv(path)
+    _write(events, path, "append")
+
+
+def _write(events: DataFrame, path: str, mode: str) -> None:
+    events.select(*_fields(events)).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 
 def reset_log(spark: SparkSession, path: str) -> None:
@@ -59,12 +68,17 @@ def ensure_log(spark: SparkSession, path: str) -> bool:
     return False
 
 
-def batch_appender(path: str, callback: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that appends each batch of events and hands it to a callback."""
-    def run(batch: DataFrame, _batch_id: int) -> None:
-        append_events(batch, path)
+def batch_appender(path: str, callback: Callable[[DataFrame, int], None] | None = None,
+                   stream: str = "stream") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that adds each batch of events to the log and hands it to a callback.
+
+    A batch has its own folder, named by stream and number; a batch that is run again replaces it. Streams with
+    checkpoints of their own need names of their own.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        _write(batch, f"{path}/{stream}-{batch_id:012d}", "overwrite")
         if callback is not None:
-            callback(batch)
+            callback(batch, batch_id)
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,8 +15,8 @@ _roots: dict[str, str] = {}
 def root(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A temporary folder on this machine is used only when that setting is absent
-    and Spark itself runs on this machine only.
+    Only where that setting is absent and Spark runs in this one process, as in tests, a temporary folder takes its
+    place; it is removed when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -25,6 +27,7 @@ def root(spark: SparkSession) -> str:
     app = spark.conf.get("spark.app.id", "app")
     if app not in _roots:
         _roots[app] = tempfile.mkdtemp(prefix="sluice-")
+        atexit.register(shutil.rmtree, _roots[app], ignore_errors=True)
     return _roots[app]
 
 

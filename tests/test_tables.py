@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.functions import ranking, scalars
-from sluice.operators import cleaning, dedup, encoding, labels, profiling, sampling, selection
+from sluice.functions import copies, ranking, scalars
+from sluice.operators import cleaning, dedup, encoding, labels, metrics, profiling, sampling, selection
 from sluice.schemas import EXTRACTOR_COLUMNS, FEATURES, TIME_FEATURES, TrainingConfig
 
 INF, NAN = float("inf"), float("nan")
@@ -57,7 +57,7 @@ def test_narrowed_medians_are_exact(spark, n):
     a, b, c = rng.normal(size=n), rng.integers(0, 3, n).astype(float), np.full(n, 4.0)
     rows = [(float(x), float(y), float(z), None) for x, y, z in zip(a, b, c)] + [(NAN, INF, None, None)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
-    got = cleaning.exact_medians(df, list("abcd"), direct_rows=50)
+    got = cleaning.exact_medians(df, list("abcd"), middle_values=5)
     assert got == {"a": np.median(a), "b": np.median(b), "c": 4.0, "d": None}
     assert cleaning.exact_medians(df, list("abcd")) == pytest.approx(got)
 
@@ -107,9 +107,7 @@ def holdout(counts):
     return sum(sampling.holdout_quotas(counts, 0.2).values())
 
 
-@pytest.mark.parametrize("literal", [1000, 0])
-def test_quota_is_exact_on_both_paths(spark, monkeypatch, literal):
-    monkeypatch.setattr(ranking, "LITERAL_GROUPS", literal)
+def test_quota_is_exact(spark):
     df = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'x' when id % 7 = 0 then 'y' else 'hot' end as g")
     quotas = {"x": 100, "y": 10_000, "hot": 0}
     got = ranking.take_quota(df, "g", quotas, ["id"], 1)
@@ -159,6 +157,51 @@ def test_folds(spark):
     assert {r["count"] for r in grouped.groupBy("fold").count().collect()} == {250}
 
 
+def test_group_folds_differ_by_a_group_at_most(spark):
+    rows = [(g, "a" if g % 3 else "b") for g in range(60) for _ in range(1 + (g * 7) % 23)] + [(99, None)] * 5
+    df = spark.createDataFrame(rows, "ip long, Label string")
+    folds = sampling.group_folds(df, "Label", "ip", 3).collect()
+    assert len(folds) == len(rows)
+    for c in "ab":
+        sizes = [sum(r["fold"] == f and r["Label"] == c for r in folds) for f in range(3)]
+        assert max(sizes) - min(sizes) <= 23
+
+
+def test_number_copies(spark):
+    df = spark.createDataFrame([(1.0, "x")] * 25 + [(NAN, None)] * 3 + [(2.0, "y")], "a double, b string")
+    got = copies.number_copies(df, "n", chunk=10).collect()
+    assert sorted(r["n"] for r in got if r["b"] == "x") == list(range(1, 26))
+    assert sorted(r["n"] for r in got if r["b"] is None) == [1, 2, 3]
+    assert len(got) == 29 and copies.number_copies(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_copies_get_their_share_of_a_sample(spark, seed):
+    """Half of a class is one row."""
+    df = spark.range(4000).selectExpr("cast(greatest(id, 2000) as double) as f", "'a' as Label")
+    rows = copies.number_copies(df, "_copy")
+    got = sampling.sample_per_class(rows, "Label", 600, ["f", "_copy"], seed)
+    assert got.count() == 600 and 230 < got.where("f = 2000").count() < 370
+
+
+def test_anti_join_aligns_types(spark):
+    train = spark.createDataFrame([(1, "5", "x")], "a int, b string, Label string")
+    test = spark.createDataFrame([(1.0, "5", "x"), (2.0, "5", "x")], "a double, b string, Label string")
+    assert [r["a"] for r in dedup.remove_seen_in_training(train, test).collect()] == [2.0]
+
+
+def test_best_of_equals_is_the_first(spark):
+    table = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.1), ("d", None)], "Model string, m double")
+    assert tuple(metrics.best_by(table, "m").first()) == ("a", 0.5)
+
+
+def test_free_text_is_no_category(spark):
+    df = spark.range(30).selectExpr("cast(id as string) as c")
+    with pytest.raises(ValueError):
+        encoding.fit_categories(df, ["c"], most=20)
+    assert len(encoding.fit_categories(df, ["c"])["c"]) == 30
+
+
 def test_addresses(spark):
     ips = ["239.1.1.1", "10.0.0.255", "223.0.0.1", "ff02::fb", "bad.255", "10.0.0.256", " 10.0.0.255", None, "01.2.3.255"]
     df = spark.createDataFrame([(i,) for i in ips], "ip string")
