@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,36 +25,40 @@ import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sluice.llm.text import PART, PieceTable, bare_words, groups, parts, short_batches, text_column
+from sluice.llm.text import bare_words, groups, parts, short_batches, text_column
 from sluice.workdir import new_path
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 
 
+def _turned(words: np.ndarray) -> np.ndarray:
+    """Each 64-bit word as an 8 x 8 matrix of bits, one byte a row, transposed: bit k of byte j becomes bit j of byte k."""
+    x = words.copy()
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x ^= t ^ (t << np.uint64(shift))
+    return x
+
+
 def to_planes(ids: np.ndarray) -> list[bytes]:
     """Bit planes of unsigned 32-bit ids, lowest first, as many as the largest id needs."""
     width = int(ids.max()).bit_length() if len(ids) else 0
-    if not width:
-        return []
-    octets = (width + 7) // 8
-    low = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :octets].T)
-    bits = np.unpackbits(low[:, :, None], axis=2, bitorder="little")  # octet, id, bit
-    planes = np.packbits(bits.transpose(0, 2, 1).reshape(octets * 8, len(ids)), axis=1, bitorder="little")
+    octets, n8 = (width + 7) // 8, (len(ids) + 7) // 8
+    low = np.zeros((octets, n8 * 8), np.uint8)
+    low[:, :len(ids)] = ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :octets].T
+    planes = _turned(low.view("<u8")).view(np.uint8).reshape(octets, n8, 8).transpose(0, 2, 1).reshape(octets * 8, n8)
     return [planes[k].tobytes() for k in range(width)]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
-    if not planes:
-        return np.zeros(n, "<u4")
-    octets = (len(planes) + 7) // 8
-    rows = np.zeros((octets * 8, (n + 7) // 8), np.uint8)
+    octets, n8 = (len(planes) + 7) // 8, (n + 7) // 8
+    rows = np.zeros((octets * 8, n8), np.uint8)
     for k, plane in enumerate(planes):
         rows[k] = np.frombuffer(plane, np.uint8)
-    bits = np.unpackbits(rows, axis=1, count=n, bitorder="little").reshape(octets, 8, n).transpose(0, 2, 1)
-    low = np.packbits(bits, axis=2, bitorder="little")[:, :, 0]
+    low = _turned(np.ascontiguousarray(rows.reshape(octets, 8, n8).transpose(0, 2, 1)).view("<u8").reshape(octets, n8)).view(np.uint8)
     out = np.zeros((n, 4), np.uint8)
-    out[:, :octets] = low.T
+    out[:, :octets] = low[:, :n].T
     return out.reshape(-1).view("<u4")
 
 
@@ -127,28 +133,71 @@ def read_file(source, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
         rest = ids[n:]
 
 
-@lru_cache(maxsize=4)
-def _word_ids(path: str) -> PieceTable:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+# Characters that lower-case and normalise one by one and whose kind (letter, digit, mark, white space) is plain.
+_LETTERS, _SPACES = "a-z\xdf-\xf6\xf8-\xff", "\t-\r "
+_strange = re.compile(f"[^!-~A-Z\xc0-\xd6\xd8-\xde\u2010-\u2027{_LETTERS}{_SPACES}]|<[|]")
+#: The tokenizer's own pattern (a fixed value) on lower-cased texts of such characters.
+_runs = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_SPACES}{_LETTERS}0-9]+")
+
+
+class WordIds:
+    """Ids (as bytes) of texts for a tokenizer that lower-cases, drops white space and never joins words across it.
+
+    Texts of plain characters are cut into the tokenizer's own pieces; letters go straight to its model, other pieces
+    through all of it. Texts with other characters or with what begins a special string go through it word by word.
+    Each distinct piece or word is encoded when first met; the tables are emptied at a bound.
+    """
+
+    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tokenizer = Tokenizer.from_file(path)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        model = tokenizer.model
 
-    tokenizer = Tokenizer.from_file(path)
+        def whole(text: str) -> bytes:
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        def piece(run: str) -> bytes:
+            if not run.isalpha():
+                return whole(run)
+            return array("I", [t.id for t in model.tokenize(run if run.isascii() else run.translate(shown))]).tobytes()
 
-    return PieceTable(encode)
+        self.pieces, self.words = Known(piece, most, longest), Known(whole, most // 4, longest)
+
+    def encode(self, text: str) -> bytes:
+        if _strange.search(text):
+            return b"".join(map(self.words.__getitem__, bare_words(text)))
+        return b"".join(map(self.pieces.__getitem__, _runs.findall(text.lower())))
+
+
+class Known(dict):
+    """What ``compute`` gives for keys, kept for short keys up to a bound."""
+
+    def __init__(self, compute, most: int, longest: int):
+        super().__init__()
+        self.compute, self.most, self.longest = compute, most, longest
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = found
+        return found
+
+
+@lru_cache(maxsize=4)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
-def encode_words(table: PieceTable, texts: list[str], end_id: int | None) -> list[np.ndarray]:
-    """Ids of whole texts for a tokenizer that drops white space and never joins words across it."""
+def encode_words(table: WordIds, texts: list[str], end_id: int | None) -> list[np.ndarray]:
+    """Ids of whole texts; long ones are taken in parts."""
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    if len(texts) == 1 and len(texts[0]) > PART:
-        found = [encode_words(table, [part], None)[0].tobytes() for part in parts(texts[0])]
-        return [np.frombuffer(b"".join(found) + end, "<u4")]
-    lists = [bare_words(t) for t in texts]
-    of = table.learn(lists).__getitem__
-    return [np.frombuffer(b"".join(map(of, words)) + end, "<u4") for words in lists]
+    return [np.frombuffer(b"".join(map(table.encode, parts(text))) + end, "<u4") for text in texts]
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, block: int = BLOCK,

@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _led = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _word = re.compile(f"[^{SPACE}]+")
+_no_space = re.compile("[\x1c-\x1f]")
 _edge = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
 #: Characters that are cut into pieces at once; longer texts go in parts.
@@ -42,7 +43,7 @@ def led_words(text: str) -> list[str]:
 
 
 def bare_words(text: str) -> list[str]:
-    return _word.findall(text)
+    return _word.findall(text) if _no_space.search(text) else text.split()
 
 
 class PieceTable:
