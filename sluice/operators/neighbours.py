@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,14 +21,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
                              MLReadable, MLReader, MLWritable, MLWriter)
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluice import workdir
 from sluice.functions import ranking
 
 BLOCK_ROWS = 2_000
 QUERIES_PER_TASK = 50_000
-MAX_PIVOTS = 256
 _BATCH = 512
 
 _ROW = "grp string, id string, vec array<double>, tag int"
@@ -102,8 +102,7 @@ def _elsewhere(pivots: np.ndarray, cells: Mapping[str, Mapping[int, tuple[int, f
 def _nearest_in_block(k: int, exclude_self: bool):
     def run(_key, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
-            return pd.DataFrame({"id": [], "dist": [], "rid": [], "rtag": [], "rvec": []}).astype(
-                {"id": object, "rid": object, "rvec": object, "rtag": "int32"})
+            return pd.DataFrame({"id": [], "dist": [], "rid": [], "rtag": []}).astype({"id": object, "rid": object, "rtag": "int32"})
         block = block.sort_values("id")
         m, ids, tags = _matrix(block["vec"]), block["id"].to_numpy(), block["tag"].to_numpy()
         out = []
@@ -118,7 +117,7 @@ def _nearest_in_block(k: int, exclude_self: bool):
             keep = np.isfinite(d[qi, ri])
             qi, ri = qi[keep], ri[keep]
             out.append(pd.DataFrame({"id": q["id"].to_numpy()[qi], "dist": np.sqrt(d[qi, ri]), "rid": ids[ri],
-                                     "rtag": tags[ri], "rvec": block["vec"].to_numpy()[ri]}))
+                                     "rtag": tags[ri]}))
         return pd.concat(out, ignore_index=True)
 
     return run
@@ -144,13 +143,14 @@ def _probe(queries: DataFrame, refs: DataFrame, sizes: Mapping[tuple[str, int],
                                   "turn": F.pmod(F.xxhash64("id"), tasks).cast("int")})
     by = ["grp", "cell", "block", "turn"]
     return asking.groupBy(*by).cogroup(served.groupBy(*by)).applyInPandas(
-        _nearest_in_block(k, exclude_self), "id string, dist double, rid string, rtag int, rvec array<double>")
+        _nearest_in_block(k, exclude_self), "id string, dist double, rid string, rtag int")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest over all blocks of a query, ties by reference id."""
-    entries = F.array_sort(F.collect_list(F.struct("dist", "rid", "rtag", "rvec")))
-    return found.groupBy("id").agg(F.slice(entries, 1, k).alias("near"))
+    """The k nearest over all blocks of a query, ties by reference id; each task passes on k of a query at most."""
+    first = Window.partitionBy("id").orderBy("dist", "rid")
+    kept = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
+    return kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "rid", "rtag"))).alias("near"))
 
 
 def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool = False,
@@ -163,8 +163,8 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool = Fa
     queries = workdir.materialize(queries.selectExpr(*_select()), "knn-queries")
     n = refs.count()
     if n == 0:
-        return queries.select("id", F.expr("cast(array() as array<struct<dist:double,rid:string,rtag:int,rvec:array<double>>>)").alias("near"))
-    count = max(1, min(MAX_PIVOTS, n // block_rows))
+        return queries.select("id", F.expr("cast(array() as array<struct<dist:double,rid:string,rtag:int>>)").alias("near"))
+    count = max(1, min(math.isqrt(n), n // block_rows))  # grows with the rows, slower than the cells it cuts
     pivots = _matrix(pd.Series([r["vec"] for r in refs.select("vec", "id").orderBy(F.md5("id"), "id").limit(count).collect()]))
     celled = workdir.materialize(refs.mapInPandas(_assign(pivots), f"{_ROW}, cell int, dist double"), "knn-cells")
     stats = celled.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()
@@ -296,8 +296,8 @@ def smote(df: DataFrame, label: str, row_id: str, vector: str = "vec", k: int =
     near = nearest(points, points, k, exclude_self=True)
     ranked = ranking.with_group_rank(minority, label, ["id"], seed, "_rank").join(near, "id")
     kind = df.schema[label].dataType.simpleString()
-    draws = (df.sparkSession.createDataFrame([(c, n, top - n) for c, n in short.items()], f"_c {kind}, _n long, _need long")
-             .withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_need")))))
+    draws = reduce(DataFrame.unionByName, [df.sparkSession.range(1, top - n + 1).select(
+        F.lit(c).cast(kind).alias("_c"), F.lit(n).cast("long").alias("_n"), F.col("id").alias("_draw")) for c, n in short.items()])
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_c").cast("string"), F.col("_draw").cast("string")))
 
     def part(at: int) -> Column:
@@ -306,7 +306,10 @@ def smote(df: DataFrame, label: str, row_id: str, vector: str = "vec", k: int =
     draws = draws.select("_c", "_draw", (part(1) % F.col("_n") + 1).alias("_pick"), (part(9) % k).cast("int").alias("_which"),
                          (part(17).cast("double") / F.lit(2.0 ** 32)).alias("_u"))
     drawn = ranked.join(draws, (F.col(label) == F.col("_c")) & (F.col("_rank") == F.col("_pick")))
-    other = F.get("near", F.col("_which"))["rvec"]
+    drawn = drawn.withColumn("_rid", F.get("near", F.col("_which"))["rid"]).drop("near")
+    others = minority.select(F.col(label).alias("_oc"), F.col("id").alias("_oid"), F.col("vec").alias("_other"))
+    drawn = drawn.join(others, (F.col(label) == F.col("_oc")) & (F.col("_rid") == F.col("_oid")))
+    other = F.col("_other")
     made = drawn.select(label, F.concat_ws("-", F.lit("synthetic"), F.col("_c").cast("string"), "_draw").alias("id"),
                         F.zip_with("vec", other, lambda a, b: a + F.col("_u") * (b - a)).alias("vec"))
     return rows.unionByName(made)

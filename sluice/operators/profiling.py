@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -76,6 +77,7 @@ def summary(**splits: DataFrame) -> DataFrame:
         cells = missing_and_infinite(df).selectExpr(
             "stack(3, 'rows', rows, 'missing', missing, 'infinite', infinite) as (metric, value)")
         dup = dedup.duplicate_count(df).selectExpr("'duplicates' as metric", "duplicates as value")
+        types = sorted(Counter(t for _, t in df.dtypes).items())
         categorical, numerical = column_classes(df)
         facts = [("columns", len(df.columns)), ("categorical_columns", len(categorical)),
                  ("numerical_columns", len(numerical))]
@@ -83,12 +85,10 @@ def summary(**splits: DataFrame) -> DataFrame:
         plain = cells.unionByName(dup).unionByName(shape).select(
             "metric", F.lit("").alias("item"), F.col("value").cast("double"))
         dist = label_distribution(df)
-        dist = (dist.select(F.lit("label_rows").alias("metric"), F.col(TARGET).alias("item"),
-                            F.col("count").cast("double").alias("value"))
-                .unionByName(dist.select(F.lit("label_percent").alias("metric"), F.col(TARGET).alias("item"),
-                                         F.col("percent").alias("value"))))
-        dtypes = dtype_counts(df).select(F.lit("dtype_columns").alias("metric"), F.col("dtype").alias("item"),
-                                         F.col("columns").cast("double").alias("value"))
+        dist = dist.selectExpr("stack(2, 'label_rows', cast(count as double), 'label_percent', percent) as (metric, value)",
+                               f"{TARGET} as item").select("metric", "item", "value")
+        dtypes = df.sparkSession.createDataFrame([("dtype_columns", t, float(n)) for t, n in types],
+                                                 "metric string, item string, value double")
         part = plain.unionByName(dist).unionByName(dtypes).withColumn("split", F.lit(split))
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from sluice import workdir
 from sluice.functions.scalars import col
 from sluice.operators import detection, encoding, labels, metrics as M, models, neighbours as N
-from sluice.plans import bindings as B, training as T
+from sluice.plans import batch, bindings as B, training as T
 from sluice.plans.registry import query
-from sluice.plans.source_queries import _feature_files, _stage, labelled_features
+from sluice.plans.flow_queries import FSQL
+from sluice.plans.source_queries import _DEP, _LABELLED, _feature_files, _stage, labelled_features
 from sluice.schemas import CATEGORY, FEATURES, TARGET, TrainingConfig
 from sluice.sources import datasets, registry
 
@@ -47,7 +51,23 @@ def _(spark, sf):
                       F.array_max(shares).alias("confidence"))
 
 
-@query("smote_oversample")
+def _draw_sql(at: int) -> str:
+    return f"('0x' || substr(h, {at}, 8))::bigint"
+
+
+# Which rows are drawn, which of their neighbours and where between them all follow from a hash.
+@query("smote_oversample", f"""with p as (select printf('%012d', event_id) as id, {', '.join(
+    f"{e.format(l='bigint')} as x{i}" for i, e in enumerate(_POINTS))}, {_TYPE} as tag from events),
+  c as (select tag, n, max(n) over () - n as need from (select tag, count(*) as n from p group by tag)),
+  s as (select p.*, row_number() over (partition by p.tag order by md5('42|' || id), id) as pick from p join c on c.tag = p.tag where need > 0),
+  near as (select a.id, b.x0 as y0, row_number() over (partition by a.id order by sqrt(((a.x0 - b.x0) * (a.x0 - b.x0)
+    + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2))::double), b.id) - 1 as which
+    from s a join s b on a.tag = b.tag and a.id <> b.id qualify which < 3),
+  d as (select tag, n, md5('42|' || tag || '|' || i) as h from c, unnest(range(1, need + 1)) as u(i) where need > 0),
+  made as (select s.tag, s.x0 + {_draw_sql(17)}::double / 4294967296.0 * (y0 - s.x0) as x0 from d
+    join s on s.tag = d.tag and s.pick = {_draw_sql(1)} % n + 1 join near on near.id = s.id and which = {_draw_sql(9)} % 3)
+  select tag, count(*) as rows, sum(synthetic) as synthetic, round(avg(x0), 6) as mean_x0
+  from (select tag, x0::double as x0, 0 as synthetic from p union all select tag, x0, 1 from made) group by tag""")
 def _(spark, sf):
     rows = N.smote(_points(spark, sf).drop("event_id"), "tag", "id", k=3)
     return rows.groupBy("tag").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("id").startswith("synthetic")).alias("synthetic"),
@@ -70,7 +90,7 @@ _FOREST = {"trees": 20, "depth": 8}
 def _train_test(spark, sf):
     """Every flow is in one of the two splits."""
     rows = _staged_features(spark, sf)
-    held = F.pmod(F.xxhash64("src_ip", "dst_ip", "src_port", "dst_port", "first_ts"), F.lit(5)) == 0
+    held = F.col("first_ts") % 5 == 0
     keep = [col(f) for f in FEATURES]
     return rows.where(~held).select(*keep, TARGET), rows.where(held).select(*keep, TARGET)
 
@@ -79,6 +99,26 @@ def _staged_features(spark, sf):
     return spark.read.parquet(_stage(spark, sf, "labelled-features", lambda p: labelled_features(spark, sf).write.parquet(p)))
 
 
+_TUPLE = "{" + ", ".join(f"'x{i}': {FSQL[n]}" for i, n in enumerate(FEATURES)) + "}"
+# Test rows per class: no duplicates, no label that test names lack, no features that training has.
+_SUPPORT = f"""with {_LABELLED}, t as (select {_TUPLE} as x, raw_label, Label, first_ts % 5 = 0 as held from lc),
+  seen as (select distinct x from t where not held),
+  left_over as (select distinct x, Label from t where held and raw_label <> 'Portmap'),
+  support as (select l.Label, count(*) as support from left_over l anti join seen s on l.x is not distinct from s.x group by l.Label)"""
+
+
+def _facts(scored, classes):
+    """Per class the test rows, those with a class and probabilities that sum to 1, and whether the model
+    does at least as well as always naming the commonest class."""
+    everything = Window.partitionBy(F.lit(1))
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    whole = (F.abs(total - 1) < 1e-9) & F.col("prediction").between(0, len(classes) - 1)
+    rows = scored.groupBy("label").agg(F.count(F.lit(1)).alias("support"), F.count_if(whole).alias("scored"),
+                                       F.count_if(F.col("label") == F.col("prediction")).alias("_hits"))
+    useful = F.sum("_hits").over(everything) >= F.max("support").over(everything)
+    return rows.select(labels.class_name(F.col("label"), classes).alias(TARGET), "support", "scored", useful.alias("useful"))
+
+
 def _fit_and_score(spark, sf, name: str, setting: dict):
     """One candidate fitted on the training split and measured on the test split."""
     train, test = _train_test(spark, sf)
@@ -87,11 +127,11 @@ def _fit_and_score(spark, sf, name: str, setting: dict):
     candidate = next(c for c in models.candidates(len(splits.classes)) if c.name == name)
     model = T.final_model(rows, candidate, setting, _CONFIG)
     scored = models.as_predictions(model.transform(T.test_rows(splits)), model=name)
-    return M.evaluate(workdir.materialize(scored, "scored"), len(splits.classes), ["model"])
+    return _facts(workdir.materialize(scored, "scored"), splits.classes)
 
 
 def _register_model(key: str, name: str, setting: dict) -> None:
-    @query(key)
+    @query(key, f"{_SUPPORT} select Label, support, support as scored, true as useful from support")
     def _(spark, sf):
         return _fit_and_score(spark, sf, name, setting)
 
@@ -117,21 +157,77 @@ def _(spark, sf):
     return classes.select("tag", F.inline(fits)).select("name", "tag", "rows")
 
 
-@query("random_search")
+@query("random_search", f"{_SUPPORT} select unnest([0, 1]) as setting, (select count(distinct Label) from t where not held) as classes, "
+                        "true as in_range")
 def _(spark, sf):
     splits = T.prepare_splits(*_train_test(spark, sf))
     rows = T.training_rows(splits, _CONFIG)
     folds = [T.Fold(rows, f, _CONFIG) for f in range(_CONFIG.cv_folds)]
     small = models.Candidate("Random Forest", "Random Forest", lambda **p: models.random_forest(**p),
                              models.FOREST_GRID | {"trees": [10, 20], "min_leaf": [1, 8]})
-    return T.search(folds, small, len(splits.classes), _CONFIG)[1]
+    table = T.search(folds, small, len(splits.classes), _CONFIG)[1]
+    bounded = [F.col(c).between(0, 1) for c in table.columns if c.endswith("_mean")]
+    return table.select("setting", F.lit(len(splits.classes)).cast("long").alias("classes"), reduce(and_, bounded).alias("in_range"))
+
 
+_CHOSEN = ["Random Forest", "Random Forest + SMOTE"]
 
-@query("final_fit_select")
+
+@query("final_fit_select", f"{_SUPPORT} select unnest([{', '.join(map(repr, _CHOSEN))}]) as \"Model\", sum(support)::bigint as test_rows, "
+                           "true as ranked, true as useful from support")
 def _(spark, sf):
-    settings = {"Random Forest": [_FOREST], "Random Forest + SMOTE": [_FOREST]}
-    return T.train_and_rank(*_train_test(spark, sf), workdir.new_path(spark, "models"), _CONFIG,
-                            chosen=list(settings), settings=settings)
+    """Ranked by selection score, saved, and the best one stored as the selected model."""
+    settings = {name: [_FOREST] for name in _CHOSEN}
+    folder = workdir.new_path(spark, "models")
+    train, test = _train_test(spark, sf)
+    table = T.train_and_rank(train, test, folder, _CONFIG, chosen=_CHOSEN, settings=settings)
+    splits = T.prepare_splits(train, test)
+    held = T.test_rows(splits)
+    best = table.first()
+    chosen = registry.load_model("selected_model", folder).transform(held).select("row_id", F.col("prediction").alias("_a"))
+    same = registry.load_model(best["Model"], folder).transform(held).select("row_id", F.col("prediction").alias("_b"))
+    rows = chosen.join(same, "row_id").where("_a = _b").count()
+    commonest = max(r["count"] for r in held.groupBy(TARGET).count().collect()) / max(rows, 1)
+    scores = [r["Selection Score"] for r in table.collect()]
+    return table.select("Model", F.lit(rows).cast("long").alias("test_rows"), F.lit(scores == sorted(scores, reverse=True)).alias("ranked"),
+                        (F.col("Test Accuracy") >= commonest).alias("useful"))
+
+
+def _families(spark, sf):
+    """Files of the flows by family, in both splits."""
+    def write(path):
+        rows = _staged_features(spark, sf)
+        split = F.when(F.col("first_ts") % 5 == 0, "testing").otherwise("training")
+        named = rows.select(*[col(f) for f in FEATURES], TARGET, F.concat(TARGET, F.lit("-"), split, F.lit(".parquet")).alias("file"))
+        named.write.partitionBy("file").parquet(path)
+
+    return _stage(spark, sf, "families", write)
+
+
+@query("batch_run_tables", f"""{_SUPPORT}, sizes as (select 'train' as part, Label, count(*) as n
+    from (select distinct x, Label from t where not held) group by Label union all select 'test', Label, support from support)
+  select 'class_distribution' as result, part, Label as class, n from sizes
+  union all select 'training_balance_before_after', 'train_before_balance', Label, n from sizes where part = 'train'
+  union all select 'test_per_class_metrics', 'Random Forest', Label, n from sizes where part = 'test'
+  union all select 'robust_model_summary', 'all', 'Random Forest', 1
+  union all select 'data_profile', 'train', 'rows', count(*) from t where not held
+  union all select 'data_profile', 'test', 'rows', count(*) from t where held""")
+def _(spark, sf):
+    """The whole batch run, seen through the tables it writes."""
+    out = workdir.new_path(spark, "batch")
+    batch.run_batch(spark, _families(spark, sf), out, _CONFIG, chosen=["Random Forest"], settings={"Random Forest": [_FOREST]})
+
+    def read(name: str, part: str, item: str, n: str):
+        rows = batch.read_table(spark, out, name)
+        kept = rows.selectExpr(f"'{name}' as result", f"{part} as part", f"{item} as class", f"cast({n} as bigint) as n",
+                               "split" if "split" in rows.columns else "'' as split", "metric" if "metric" in rows.columns else "'' as metric",
+                               "stage" if "stage" in rows.columns else "'' as stage")
+        return kept
+
+    tables = [read("class_distribution", "split", "class", "count"), read("training_balance_before_after", "split", "item", "value").where("split = 'train_before_balance'"),
+              read("test_per_class_metrics", "model", "class", "support"), read("robust_model_summary", "'all'", "Model", "1"),
+              read("data_profile", "split", "metric", "value").where("metric = 'rows' and stage = 'raw'")]
+    return reduce(lambda a, b: a.unionByName(b), tables).select("result", "part", "class", "n").where("n > 0")
 
 
 def _live_model(spark, sf):
@@ -141,23 +237,31 @@ def _live_model(spark, sf):
     return T.train_live_lab(collected, sample, folder, trees=20, depth=12), folder
 
 
-@query("train_live_lab")
+_DEPLOYED = f"""with {_LABELLED}, t as (select Label, first_ts % 5 = 0 as held from lc where Label in ({_DEP})),
+  sizes as (select sum(least(n, 3000)) as n from (select count(*) as n from t group by Label)),
+  mixed as (select (select n from sizes) + (select count(*) from t where held) as n)"""
+
+
+@query("train_live_lab", f"{_DEPLOYED} select ceil(0.25 * n)::bigint as held_out, ceil(0.25 * n)::bigint as scored, true as useful from mixed")
 def _(spark, sf):
     predictions, _folder = _live_model(spark, sf)
-    return M.summarise(predictions, ["model"])
+    classes = sorted(["Benign", "LDAP Flood", "MSSQL Flood", "UDP Flood"])
+    facts = _facts(predictions, classes)
+    return facts.agg(F.sum("support").alias("held_out"), F.sum("scored").alias("scored"), F.bool_and("useful").alias("useful"))
 
 
-@query("score_flows")
+@query("score_flows", f"with {_LABELLED} select count(*) as flows, 0 as broken from lc")
 def _(spark, sf):
     """Saved deployment model applied to all flows, and the decisions that follow."""
     _predictions, folder = _live_model(spark, sf)
     model = registry.load_model("selected_model", folder)
     classes = sorted(["Benign", "LDAP Flood", "MSSQL Flood", "UDP Flood"])
     scored = detection.decide_by_threshold(detection.score(T.score_flows(model, _staged_features(spark, sf)), classes), 0.8)
-    return scored.groupBy("prediction", "is_attack").agg(F.count(F.lit(1)).alias("flows"))
+    attack = (F.col("prediction") != "Benign") & (F.col("confidence") >= 0.8)
+    return scored.agg(F.count(F.lit(1)).alias("flows"), F.count_if(~F.col("is_attack").eqNullSafe(attack)).alias("broken"))
 
 
-@query("model_save_load")
+@query("model_save_load", f"with {_LABELLED} select count(*) as rows, 0 as differing from lc where first_ts % 5 <> 0")
 def _(spark, sf):
     """Predictions of a pipeline before and after it is saved and loaded."""
     train, _test = _train_test(spark, sf)
@@ -168,5 +272,6 @@ def _(spark, sf):
     folder = workdir.new_path(spark, "saved")
     registry.save_model(model, "Random Forest + SMOTE", folder)
     again = registry.load_model("random_forest_smote", folder)
-    parts = [m.transform(rows).groupBy("prediction").agg(F.count(F.lit(1)).alias(n)) for m, n in ((model, "saved"), (again, "loaded"))]
-    return parts[0].join(parts[1], "prediction", "full")
+    both = again.transform(model.transform(rows).select(*rows.columns, F.col("prediction").alias("_saved"), F.col("probability").alias("_p")))
+    differs = (F.col("_saved") != F.col("prediction")) | (F.col("_p") != F.col("probability"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(differs).alias("differing"))

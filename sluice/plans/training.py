@@ -16,7 +16,7 @@ from sluice.functions.copies import number_copies
 from sluice.functions.scalars import col
 from sluice.operators import cleaning, dedup, encoding, labels, metrics, models, neighbours, profiling, sampling, selection
 from sluice.schemas import FEATURES, TARGET, TrainingConfig
-from sluice.sources import registry
+from sluice.sources import eventlog, registry
 
 _META = ["row_id", models.LABEL, models.WEIGHT, TARGET, "fold", "stopping"]
 
@@ -156,17 +156,20 @@ def final_model(rows: DataFrame, candidate: models.Candidate, setting: Mapping,
 
 
 def train_and_rank(train: DataFrame, test: DataFrame, folder: str, config: TrainingConfig = TrainingConfig(),
-                   chosen: Sequence[str] | None = None, settings: Mapping[str, Sequence[Mapping]] | None = None) -> DataFrame:
+                   chosen: Sequence[str] | None = None, settings: Mapping[str, Sequence[Mapping]] | None = None,
+                   tables: str | None = None) -> DataFrame:
     """Cross-validates, fits and evaluates the candidates; saves them and the best one.
 
     ``chosen`` limits the candidates; ``settings`` gives fixed settings per candidate name
-    instead of random ones. Returns the table of models, best first.
+    instead of random ones. ``tables`` is a folder for the result tables. Returns the table of models, best first.
     """
     spark = train.sparkSession
     splits = prepare_splits(train, test)
     n = len(splits.classes)
     rows = training_rows(splits, config)
     held_out = test_rows(splits)
+    if tables is not None:
+        _write_class_tables(splits, rows, tables, config)
     folds = [Fold(rows, r[0], config) for r in rows.select("fold").distinct().orderBy("fold").collect()]
     path, cv = workdir.new_path(spark, "predictions"), None
     for c in models.candidates(n, config.seed, config.enable_smote):
@@ -180,6 +183,8 @@ def train_and_rank(train: DataFrame, test: DataFrame, folder: str, config: Train
             setting, table = search(folds, c, n, config)
         best = table.orderBy(F.desc("cv_f1_weighted_mean"), "setting").limit(1).withColumn("model", F.lit(c.name))
         cv = best if cv is None else cv.unionByName(best)
+        if tables is not None:
+            eventlog.write_metric_table(table, tables, f"{registry.safe_name(c.name)}_randomized_search")
         model = final_model(rows, c, setting, config)
         registry.save_model(model, c.name, folder)
         for split, part in (("train", rows), ("test", held_out)):
@@ -189,11 +194,33 @@ def train_and_rank(train: DataFrame, test: DataFrame, folder: str, config: Train
     table = metrics.model_table(metrics.summarise(predictions.where("split = 'train'"), ["model"]), cv,
                                 metrics.evaluate(predictions.where("split = 'test'"), n, ["model"]))
     table = workdir.materialize(metrics.rank(table), "model-table")
+    if tables is not None:
+        _write_score_tables(table, predictions.where("split = 'test'"), splits.classes, tables)
     winner = metrics.selected(table).first()["Model"]
     registry.save_model(registry.load_model(winner, folder), "selected_model", folder, backup=True)
     return metrics.rank(table)
 
 
+def _write_class_tables(splits: Splits, rows: DataFrame, tables: str, config: TrainingConfig) -> None:
+    """Class distribution of both splits, and of training before and after balancing."""
+    distribution = (profiling.class_distribution(splits.train, splits.classes, "train", TARGET)
+                    .unionByName(profiling.class_distribution(splits.test, splits.classes, "test", TARGET)))
+    eventlog.write_metric_table(distribution, tables, "class_distribution")
+    report = workdir.materialize(sampling.balance_report(splits.train, rows, splits.classes, TARGET, config), "balance-report")
+    for name, part in (("training_balance_before_after", F.col("split") != "summary"), ("training_balance_summary", F.col("split") == "summary")):
+        eventlog.write_metric_table(report.where(part), tables, name)
+
+
+def _write_score_tables(table: DataFrame, test: DataFrame, classes: Sequence[str], tables: str) -> None:
+    """Model table, its cross-validation and its test scores, and the test scores per class."""
+    by_class = metrics.per_class(metrics.confusion(test, ["model"]), ["model"]).drop("correct")
+    named = by_class.withColumn("class", labels.class_name(F.col("class"), list(classes)))
+    for name, df in (("robust_model_summary", table), ("test_per_class_metrics", named),
+                     ("validation_scores", table.select("Model", *metrics.CV_COLUMNS)),
+                     ("test_scores", table.select("Model", *metrics.TEST_COLUMNS))):
+        eventlog.write_metric_table(df, tables, name)
+
+
 def train_live_lab(collected: DataFrame, sample: DataFrame | None, folder: str, holdout: float = 0.25,
                    live_weight: float = 10.0, trees: int = 600, depth: int = 30, seed: int = 42) -> DataFrame:
     """Deployment model from collected rows, weighted up, and a sample of the public data set.
