@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,10 +29,12 @@ HEADLINE = [
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    scratch = tempfile.TemporaryDirectory(prefix="sluice-bench-", ignore_cleanup_errors=True)
     cpus, runs = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "2"))
     spark = (SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus)
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", scratch.name).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
     for name in HEADLINE:

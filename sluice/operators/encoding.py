@@ -79,6 +79,8 @@ class FlowPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         columns = [c for c in dataset.columns if c not in skip]
         leakage = selection.leakage_columns(columns)
         columns = [c for c in columns if c not in leakage]
+        # Several passes follow; they read these columns as written here, not what made them.
+        dataset = workdir.materialize(dataset.select(*[col(c) for c in columns]), "preprocess-fit")
         extremes = selection.extremes(dataset, columns)
         constant = [c for c in columns if extremes[c].is_constant]
         columns = [c for c in columns if c not in constant]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.functions import scalars as S
-from sluice.functions.skew import salted_left_join
+from sluice import workdir
 from sluice.schemas import ATTACK_THRESHOLD
 
 # Messages and, below, command texts.
@@ -23,22 +23,21 @@ def block_first_per_source(events: DataFrame, threshold: float = ATTACK_THRESHOL
 
     With ``success``, a boolean column, attempts that fail do not count: the first
     successful one blocks, and ``attempted`` marks every event up to and including it.
-    The first event of a source is a minimum taken before the shuffle; it is put back by
-    the unique event id, so a source with very many events is no burden.
+    The first event of a source is a minimum taken before the shuffle. The table of first events is written, so
+    that its size decides how it meets the qualifying events; all others pass by. A source with very many events
+    is split by adaptive execution where that join is a shuffle.
     """
     ts, eid = order
-    hits = events.where(qualifies(threshold))
+    hit = F.coalesce(qualifies(threshold), F.lit(False))
+    hits, others = events.where(hit), events.where(~hit)
+    first = (hits if success is None else hits.where(F.col(success))).groupBy("src_ip").agg(F.min(F.struct(ts, eid)).alias("_first"))
+    first = workdir.materialize(first.withColumnRenamed("src_ip", "_src"), "first-blocks")
+    marked = hits.join(first, F.col("src_ip").eqNullSafe(F.col("_src")), "left")
+    flags = {"blocked": F.coalesce(F.col(f"_first.{eid}") == F.col(eid), F.lit(False))}
     if success is not None:
-        hits = hits.where(F.col(success))
-    first = hits.groupBy("src_ip").agg(F.min(F.struct(ts, eid)).alias("_first"))
-    if success is None:
-        ids = first.select(F.col(f"_first.{eid}").alias(eid), F.lit(True).alias("_hit"))
-        return events.join(ids, eid, "left").withColumn("blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
-    marked = salted_left_join(events, first, ["src_ip"], eid)
-    here = F.struct(ts, eid)
-    tried = qualifies(threshold) & (F.col("_first").isNull() | (here <= F.col("_first")))
-    return marked.withColumns({"attempted": tried, "blocked": F.coalesce(
-        F.col(f"_first.{eid}") == F.col(eid), F.lit(False))}).drop("_first")
+        flags = {"attempted": F.col("_first").isNull() | (F.struct(ts, eid) <= F.col("_first"))} | flags
+    plain = others.withColumns({name: F.lit(False) for name in flags})
+    return marked.withColumns(flags).drop("_first", "_src").unionByName(plain)
 
 
 def rule_name(ip: Column, prefix: str) -> Column:

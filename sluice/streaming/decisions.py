@@ -37,6 +37,9 @@ class Cooldown:
         self.cooldown = FlowParams.micros(seconds)
 
     def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
         kept = []
@@ -46,12 +49,20 @@ class Cooldown:
                 kept.append((*key, last, eid))
         if kept:
             state.update((last,))
+        if state.exists:
+            # Once the watermark is past the cooldown no event can fall into it any more.
+            over = -(-(last + self.cooldown) // 1000)
+            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(kept, columns=["src_ip", "prediction", "ts_us", "id"])
 
 
-def alerts_after_cooldown(events: DataFrame, cooldown_seconds: float = ALERT_COOLDOWN_SECONDS) -> DataFrame:
-    """Alerts of each (source, attack), at least one cooldown apart."""
-    rows = events.select("src_ip", "prediction", F.unix_micros("ts").alias("ts_us"), "event_id")
+def alerts_after_cooldown(events: DataFrame, cooldown_seconds: float = ALERT_COOLDOWN_SECONDS,
+                          delay: str = "0 seconds") -> DataFrame:
+    """Alerts of each (source, attack), at least one cooldown apart. A key is forgotten when its cooldown is over.
+
+    ``delay`` says how late events may come; later ones are left out.
+    """
+    rows = events.withWatermark("ts", delay).select("src_ip", "prediction", "ts", F.unix_micros("ts").alias("ts_us"), "event_id")
     return rows.groupBy("src_ip", "prediction").applyInPandasWithState(
         Cooldown(cooldown_seconds), "src_ip string, prediction string, ts_us long, id long", "last long", "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)

@@ -34,6 +34,8 @@ def windowed(packets: DataFrame, seconds: float, delay: str = "0 seconds") -> Da
 
 def sessions(packets: DataFrame, timeout_seconds: float, delay: str = "0 seconds") -> DataFrame:
     """Totals per endpoint pair and session, a session ending when idle for the timeout."""
+    # Sessions of a pair are merged before the shuffle, so a pair with very many packets sends few rows.
+    packets.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     p = with_endpoints(packets).withWatermark("ts", delay)
     return (p.groupBy(F.session_window("ts", f"{timeout_seconds} seconds").alias("w"), *KEY).agg(*_totals())
             .select(*KEY, "first_ts", "last_ts", "packets", "bytes", "syn_count"))

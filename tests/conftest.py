@@ -9,10 +9,11 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+               .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
