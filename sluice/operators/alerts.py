@@ -5,10 +5,10 @@ chain. To keep a key with very many events from becoming one long task, its time
 is cut into chunks:
 
 1. per (key, chunk) every event that could be the chunk's first alert is followed to the
-   last alert it leads to. Only events within one cooldown of the chunk's start qualify.
-2. per key these few candidates are walked in order, which fixes the true first alert of
-   each chunk.
-3. per (key, chunk) the alerts are marked, starting at that event.
+   last alert it leads to. Only events within one cooldown of the chunk's start qualify,
+   and those that lead to the same alert, most of them after a few steps, become one row.
+2. per key one step a chunk, a search among these rows, tells until when a chunk is silent.
+3. per (key, chunk) the alerts are marked, starting at the first event after that.
 """
 
 from __future__ import annotations
@@ -87,24 +87,35 @@ def _candidates(keys: Sequence[str], cooldown: int, width: int):
             keep = early.copy()
             keep[starts] = True
             keep[after[first_after]] = True
-            ts = pdf["ts_us"].to_numpy()
-            yield pdf.loc[keep, list(keys)].assign(start=ts[keep], leads_to=ts[last[:n]][keep])
+            ts, leads_to = pdf["ts_us"].to_numpy(), last[:n]
+            # Neighbouring candidates that lead to the same alert are one: the last of them stands for all.
+            held = np.flatnonzero(keep)
+            closes = np.append((group[held[1:]] != group[held[:-1]]) | (leads_to[held[1:]] != leads_to[held[:-1]]), True)
+            held = held[closes]
+            yield pdf.iloc[held][list(keys)].assign(upto=ts[held], leads_to=ts[leads_to[held]])
 
     return run
 
 
-def _walk(key: Sequence[str], cooldown: int):
+def _walk(key: Sequence[str], cooldown: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, silent_until, done = None, 0, None
         for pdf in batches:
-            chosen = np.zeros(len(pdf), dtype=bool)
-            rows = zip(zip(*(pdf[k] for k in key)), pdf["chunk"], pdf["start"], pdf["leads_to"])
-            for i, (k, chunk, start, leads_to) in enumerate(rows):
-                if k != current:
-                    current, silent_until, done = k, start, None
-                if chunk != done and start >= silent_until:
-                    chosen[i], done, silent_until = True, chunk, leads_to + cooldown
-            yield pdf.loc[chosen, [*key, "chunk", "start"]]
+            if pdf.empty:
+                continue
+            starts = _group_starts(pdf, [*key, "chunk"])
+            names = list(zip(*(pdf[k].iloc[starts] for k in key)))
+            chunks, upto, leads_to = (pdf[c].to_numpy() for c in ("chunk", "upto", "leads_to"))
+            chosen, since = [], []
+            for name, a, b in zip(names, starts, np.append(starts[1:], len(pdf))):
+                if name != current:
+                    current, silent_until, done = name, chunks[a] * width, None
+                at = a + np.searchsorted(upto[a:b], silent_until)
+                if chunks[a] != done and at < b:
+                    chosen.append(a)
+                    since.append(silent_until)
+                    done, silent_until = chunks[a], leads_to[at] + cooldown
+            yield pdf.iloc[chosen][[*key, "chunk"]].assign(since=np.array(since, dtype=np.int64))
 
     return run
 
@@ -115,14 +126,14 @@ def _mark(keys: Sequence[str], cooldown: int, width: int):
             nxt, group, starts, _offset = _next_alert(pdf, keys, cooldown, width)
             alerts = np.zeros(len(pdf), dtype=bool)
             ts = pdf["ts_us"].to_numpy()
-            # Row of each chunk's first alert: the first with its time.
-            is_start = np.flatnonzero(ts == pdf["start"].to_numpy())
+            # Row of each chunk's first alert: the first that is not silenced from before.
+            is_start = np.flatnonzero(ts >= pdf["since"].to_numpy())
             at = is_start[np.unique(group[is_start], return_index=True)[1]]
             while len(at):
                 alerts[at] = True
                 at = nxt[at]
                 at = at[at < len(pdf)]
-            yield pdf.loc[alerts].drop(columns=["start", "chunk"])
+            yield pdf.loc[alerts].drop(columns=["since", "chunk"])
 
     return run
 
@@ -145,11 +156,11 @@ def alerts_after_cooldown(events: DataFrame, key: Sequence[str] = ("src_ip", "pr
 
     by_chunk = rows.repartition(*groups).sortWithinPartitions(*groups, "ts_us", "id")
     candidates = by_chunk.select(*groups, "ts_us").mapInPandas(
-        _candidates(groups, cooldown, width), schema({"start": T.LongType(), "leads_to": T.LongType()}))
-    firsts = (candidates.repartition(*key).sortWithinPartitions(*key, "chunk", "start")
-              .mapInPandas(_walk(key, cooldown), schema({"start": T.LongType()})))
+        _candidates(groups, cooldown, width), schema({"upto": T.LongType(), "leads_to": T.LongType()}))
+    firsts = (candidates.repartition(*key).sortWithinPartitions(*key, "chunk", "upto")
+              .mapInPandas(_walk(key, cooldown, width), schema({"since": T.LongType()})))
     joined = rows.join(firsts, groups).sortWithinPartitions(*groups, "ts_us", "id")
-    return joined.select(*key, "ts_us", "id", "chunk", "start").mapInPandas(
+    return joined.select(*key, "ts_us", "id", "chunk", "since").mapInPandas(
         _mark(groups, cooldown, width), schema({"ts_us": T.LongType(), "id": types["id"]}, key))
 
 
