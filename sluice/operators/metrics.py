@@ -150,6 +150,21 @@ def model_table(train: DataFrame, cv: DataFrame, test: DataFrame) -> DataFrame:
         selection_score(tr, cvf, F.col("cv_f1_macro_mean"), F.col("cv_f1_weighted_std")).alias("Selection Score"))
 
 
+def table_of_splits(predictions: DataFrame, n_classes: int, fold: str = "fold") -> DataFrame:
+    """The model table of predictions with model, split (train, test) and fold.
+
+    Predictions are read once for the confusion counts and once for the scores, all models, splits and folds
+    together; the rest works on these counts.
+    """
+    by = ["model", "split", "_part"]
+    rows = predictions.withColumn("_part", F.when(F.col("split") == "train", F.col(fold)).otherwise(F.lit(-1)))
+    cells = workdir.materialize(confusion(rows, by), "confusion")
+    whole = workdir.materialize(averages(per_class(cells, by), by).join(roc_auc_weighted(rows, n_classes, by), by), "scores")
+    of = {split: whole.where(F.col("split") == split) for split in ("train", "test")}
+    fitted = cells.where("split = 'train'").groupBy("model", "label", "prediction").agg(F.sum("n").alias("n"))
+    return model_table(averages(per_class(fitted, ["model"]), ["model"]), across_folds(of["train"], ["model"]), of["test"])
+
+
 CV_COLUMNS = ["CV Accuracy Mean", "CV Accuracy Std", "CV F1-Score Mean", "CV F1-Score Std", "CV F1-Macro Mean"]
 TEST_COLUMNS = ["Test Accuracy", "Test Precision", "Test Recall", "Test F1-Score", "Test F1-Macro", "Test ROC-AUC"]
 

@@ -142,10 +142,7 @@ _TABC = ["Train Accuracy", "Train F1-Score", "CV Accuracy Mean", "CV Accuracy St
 
 
 def _table(spark, sf):
-    p = predictions(spark, sf)
-    train = p.where("split = 'train'")
-    return M.model_table(M.summarise(train, ["model"]), M.cross_validated(train, _N),
-                         M.evaluate(p.where("split = 'test'"), _N, ["model"]))
+    return M.table_of_splits(predictions(spark, sf), _N)
 
 
 @query("metric_table", f"{_TABLE} select \"Model\", {_rsql(_TABC)} from tab")
