@@ -8,10 +8,12 @@ from sluice import workdir
 from sluice.operators import detection
 from sluice.plans import bindings as B
 from sluice.plans.detect_queries import _COOL, _COOL_SQL, EVENTS_CTE
-from sluice.plans.flow_queries import _K, _TICK, _TO, ID, KEYED, SESS, ticks_cte
+from sluice.plans.flow_queries import _K, _TICK, _TO, FLOW, ID, KEYED, SESS, ticks_cte
 from sluice.plans.registry import query
+from sluice.plans.source_queries import _csv_folder
+from sluice.schemas import DEPLOYMENT_CLASSES
 from sluice.sources import eventlog
-from sluice.streaming import decisions, flows as SF, runs
+from sluice.streaming import decisions, flows as SF, live, runs
 
 
 def _events(spark, sf):
@@ -85,3 +87,24 @@ def _(spark, sf):
     rows = _attacks(spark, sf).withColumns({"timestamp": F.col("ts").cast("string"), "model": F.col("event_id")})
     runs.start_batches(rows, eventlog.batch_appender(path), checkpoint).awaitTermination()
     return eventlog.read_events(spark, path).select("model", "src_ip", "prediction")
+
+
+_IS_UDP = "least(src_port, dst_port) = 53 or greatest(src_port, dst_port) = 53"
+
+
+@query("stream_live_detection", f"with {FLOW} select src_ip, count(*) as events, count_if({_IS_UDP}) as attacks, "
+                                f"max(case when {_IS_UDP} then 1 else 0 end)::bigint as blocked from flow group by src_ip")
+def _(spark, sf):
+    """Extractor files window by window through scores, decisions and first blocks into the event log."""
+    def score(rows):
+        udp = F.array_contains(F.array("raw.src_port", "raw.dst_port"), "53")
+        return rows.withColumn("probability", F.transform(F.array(*[F.lit(c) for c in DEPLOYMENT_CLASSES]), lambda c: (
+            c == F.when(udp, F.lit("UDP Flood")).otherwise(F.lit("Benign"))).cast("double")))
+
+    csv, folder = _csv_folder(spark, sf), workdir.new_path(spark, "live")
+    columns = spark.read.option("header", True).csv(csv).columns
+    stream = runs.read_flow_csv(spark, csv, columns, files_per_trigger=2)
+    runs.start_batches(stream, live.WindowDetector(folder, score), workdir.new_path(spark, "live-checkpoint")).awaitTermination()
+    events = eventlog.read_events(spark, f"{folder}/events")
+    return events.groupBy("src_ip").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("is_attack") == "true").alias("attacks"),
+                                        F.count_if(F.col("blocked") == "true").alias("blocked"))

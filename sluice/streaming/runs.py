@@ -20,10 +20,11 @@ def read_files(spark: SparkSession, folder: str, schema: StructType, files: str
     return reader.parquet(folder)
 
 
-def read_flow_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_flow_csv(spark: SparkSession, path: str, columns: list[str], files_per_trigger: int = 1) -> DataFrame:
     """Stream over dropped extractor files, one per capture window; every column is text."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option(
+        "maxFilesPerTrigger", files_per_trigger).csv(path)
 
 
 def start_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,

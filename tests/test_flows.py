@@ -3,9 +3,12 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.operators import features, flows
 from sluice.schemas import FEATURES, PACKET_SCHEMA, FlowParams
+from sluice.sources import eventlog
+from sluice.streaming import live
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -164,3 +167,21 @@ def test_plan_shuffles_packets_once(spark):
     plan = flows.aggregate_flows(frame(spark, [packet(0, 0)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
     assert "SortAggregate" not in plan
+
+
+def test_a_failed_window_is_logged_and_left_out(spark, tmp_path):
+    """Every third window fails; a window that is run again leaves no second copy."""
+    rows = spark.createDataFrame([("10.0.0.1", "10.0.0.9", "53", "7", "6")], ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"])
+
+    def score(df):
+        if failing:
+            raise ValueError("no such model")
+        return df.withColumn("probability", F.array(*[F.lit(0.0)] * 5, F.lit(1.0), F.lit(0.0)))
+
+    detector = live.WindowDetector(str(tmp_path), score)
+    for batch, failing in ((0, False), (1, True), (2, False), (2, False)):
+        detector(rows, batch)
+    events = eventlog.read_events(spark, f"{tmp_path}/events").collect()
+    assert sorted((e["prediction"], e["blocked"]) for e in events) == [("UDP Flood", "false"), ("UDP Flood", "true")]
+    failures = spark.read.option("recursiveFileLookup", True).json(f"{tmp_path}/failures").collect()
+    assert [(f["batch"], f["error"]) for f in failures] == [(1, "ValueError")]
