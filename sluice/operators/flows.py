@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -28,6 +29,8 @@ from sluice.schemas import FLAG_BITS, FlowParams
 KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port", "proto"]
 _WINDOW_RANGE = 65_536  # a TCP window is 16 bits wide
 _SECOND = 1_000_000
+#: Parts of a tick or window that are reduced apart, at most.
+SUB_SLICES = 16
 
 # How totals of two parts of a flow combine.
 _BY_DIRECTION = {
@@ -113,6 +116,18 @@ def segments(packets: DataFrame, slice_us: int, gap_us: int | None) -> DataFrame
     return p.groupBy(*KEY, "slice", "part").agg(*map(F.expr, _segment_totals()))
 
 
+def slices(packets: DataFrame, width_us: int) -> DataFrame:
+    """One row of totals per endpoint pair and slice, added up from narrower slices.
+
+    A pair that sends very much in one slice is so dealt to several tasks, and only their totals meet.
+    """
+    k = next(k for k in range(SUB_SLICES, 0, -1) if width_us % k == 0)
+    parts = segments(packets, width_us // k, None).selectExpr("*", f"slice div {k} as flow_no")
+    w = f"over (partition by {', '.join(KEY)}, flow_no order by slice)"
+    parts = parts.selectExpr("*", f"cast(row_number() {w} as bigint) as seg_no", f"first_ts - lag(last_ts) {w} as bridge")
+    return _merge(parts).withColumnsRenamed({"flow_no": "slice", "fdir": "first_dir"}).withColumn("part", F.lit(0))
+
+
 def _combine(base: str, how: str, name: str, bridge: str | None) -> str:
     """Aggregate of one total over the segments of a flow, with the time between segments where it counts."""
     if bridge is None:
@@ -223,23 +238,37 @@ def _tick_flows(params: FlowParams):
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, clock = None, FlowClock(params)
         for pdf in batches:
-            flow_no, seg_no, bridge, cuts = [], [], [], []
-            rows = zip(zip(*(pdf[k] for k in KEY)), pdf["slice"], pdf["first_ts"], pdf["last_ts"],
-                       pdf["n_0"] + pdf["n_1"])
-            for k, tick, first, last, n in rows:
+            if pdf.empty:
+                continue
+            first, last = pdf["first_ts"].to_numpy(), pdf["last_ts"].to_numpy()
+            ticks, n = pdf["slice"].to_numpy(), (pdf["n_0"] + pdf["n_1"]).to_numpy()
+            # Pairs with one tick, whole in this batch, are settled together; only the others are followed.
+            flow_no, seg_no = np.ones(len(pdf), np.int64), np.ones(len(pdf), np.int64)
+            bridge = pd.array([None] * len(pdf), dtype="Int64")
+            cuts = (last - first >= params.micros(params.min_duration)) & (n >= params.min_packets)
+            for i in np.flatnonzero(~_alone(pdf)):
+                k = tuple(pdf[c].iat[i] for c in KEY)
                 if k != key:
                     key, clock = k, FlowClock(params)
                 before = clock.last
-                began, cut = clock.advance(tick * tick_us, first, last, n)
-                flow_no.append(clock.flow_no)
-                seg_no.append(clock.seg_no)
-                bridge.append(None if began else first - before)
-                cuts.append(cut)
-            yield pdf.assign(flow_no=flow_no, seg_no=seg_no, bridge=pd.array(bridge, dtype="Int64"), cut=cuts)
+                began, cuts[i] = clock.advance(int(ticks[i]) * tick_us, int(first[i]), int(last[i]), int(n[i]))
+                flow_no[i], seg_no[i] = clock.flow_no, clock.seg_no
+                if not began:
+                    bridge[i] = int(first[i]) - before
+            yield pdf.assign(flow_no=flow_no, seg_no=seg_no, bridge=bridge, cut=cuts)
 
     return assign
 
 
+def _alone(pdf: pd.DataFrame) -> np.ndarray:
+    """Rows that are all their pair has; the first and the last pair of a batch may have more in its neighbours."""
+    change = np.zeros(len(pdf) + 1, dtype=bool)
+    for c in KEY:
+        v = pdf[c].to_numpy()
+        change[1:-1] |= v[1:] != v[:-1]
+    return change[:-1] & change[1:]
+
+
 def aggregate_flows_on_ticks(packets: DataFrame, params: FlowParams = FlowParams(),
                              as_of_us: int | None = None) -> DataFrame:
     """Flows as a periodic check ends them: idle or long-and-large, seen at ticks only.
@@ -250,7 +279,7 @@ def aggregate_flows_on_ticks(packets: DataFrame, params: FlowParams = FlowParams
     tick_us = params.micros(params.tick)
     if as_of_us is not None:
         packets = packets.where(F.unix_micros("ts") <= as_of_us)
-    segs = segments(packets, tick_us, None)
+    segs = slices(packets, tick_us)
     schema = T.StructType(segs.schema.fields + [
         T.StructField("flow_no", T.LongType()), T.StructField("seg_no", T.LongType()),
         T.StructField("bridge", T.LongType()), T.StructField("cut", T.BooleanType())])
@@ -269,10 +298,8 @@ def aggregate_flows_on_ticks(packets: DataFrame, params: FlowParams = FlowParams
 def window_flows(packets: DataFrame, window_seconds: float = 10.0) -> DataFrame:
     """Flows of fixed capture windows: every window starts afresh."""
     width = FlowParams.micros(window_seconds)
-    segs = (segments(packets, width, None)
-            .selectExpr("*", "slice as flow_no", "1L as seg_no", "cast(null as bigint) as bridge"))
-    merged = _merge(segs).withColumn("window_start_us", F.col("flow_no") * width)
-    return _orient(merged, ["window_start_us"])
+    whole = slices(packets, width).withColumnRenamed("first_dir", "fdir").withColumn("window_start_us", F.col("slice") * width)
+    return _orient(whole, ["window_start_us"])
 
 
 def destination_ports(flows: DataFrame) -> DataFrame:
