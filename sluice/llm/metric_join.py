@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.llm.components import components
+from sluice.llm.text import first_by_hash
 from sluice.llm.vectors import lengths, packed, stacked, unit, width_of
 from sluice.workdir import materialize
 
@@ -95,7 +96,7 @@ def near_vectors(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector
     nodes = materialize(valid.groupBy("part", "vec").agg(F.min("key").alias("first_key"), F.count("*").alias("copies"))
                              .withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     n = nodes.count()
-    chosen = nodes.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(min(most_pivots, max(1, math.ceil(n / cell_rows))))
+    chosen = first_by_hash(nodes.select("vec").distinct(), n, min(most_pivots, max(1, math.ceil(n / cell_rows))), "vec")
     pivots: dict[int, np.ndarray] = {}
     for size, some in _by_size(chosen.toPandas().vec):
         pivots[size] = unit(stacked(some, kind))

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sluice.llm.text import first_by_hash
 from sluice.llm.vectors import lengths, packed, stacked, unit, width_of
 from sluice.workdir import materialize
 
@@ -108,7 +109,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     rows = materialize(rows, "one-bit-codes")
     n, n_queries = rows.agg(F.count("*"), F.count_if("asks")).first()
     blocks, query_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / query_rows))
-    sample = rows.select("row", "vec").orderBy(F.xxhash64("vec", "row")).limit(sample_rows).toPandas()
+    sample = first_by_hash(rows.select("row", "vec"), n, sample_rows, "vec", "row").toPandas()
 
     @F.pandas_udf("double")
     def threshold(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sluice.llm.text import short_batches
+from sluice.llm.text import first_by_hash, short_batches
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -436,8 +436,8 @@ def fit_labeller(pages: DataFrame, sample: int = 240, layouts: int = 3, column:
     Pages longer than 200 000 characters teach nothing (they are still extracted whole). The same pages give the
     same weights.
     """
-    rows = (pages.select(pages[column].cast("string").alias("html")).where("html is not null and length(html) between 1 and 200000")
-                 .orderBy(F.xxhash64("html"), "html").limit(sample)).toPandas()
+    given = pages.select(pages[column].cast("string").alias("html")).where("html is not null and length(html) between 1 and 200000")
+    rows = first_by_hash(given, given.count(), sample, "html").toPandas()
     return train(teaching_pages(rows.html.tolist(), layouts))
 
 
