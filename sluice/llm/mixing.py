@@ -25,7 +25,9 @@ SHARD_BLOCKS = 8
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of whole texts; each is replaced by one letter, so that no list of words is made of a long text."""
+    letters = F.translate(F.regexp_replace(text.cast("string"), WORD, "x"), " \t\n\x0b\f\r", "")
+    return F.coalesce(F.length(letters), F.lit(0)).cast("long")
 
 
 def order_hash(*parts: Column | str | int) -> Column:
@@ -138,7 +140,11 @@ def draw(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_
     taken over 3 times, and reruns agree. Documents without words belong to blocks like others; a source without
     words takes none. Rows with one doc_id and size are taken together. Columns named like the new ones are replaced.
     """
-    sized = docs.withColumn("size", word_count(docs["text"]))
+    return _drawn(docs.withColumn("size", word_count(docs["text"])), seed, block_words, shard_blocks)
+
+
+def _drawn(sized: DataFrame, seed: int, block_words: int, shard_blocks: int) -> DataFrame:
+    """``draw`` for rows with doc_id, source and size; names that begin with an underscore are its own."""
     rows = materialize(sized.select("doc_id", "source", "size"), "mix-rows")
     sources, draws, _ = plan_mix(rows, seed, block_words, shard_blocks)
     whole = draws.where("words is null")
@@ -170,6 +176,8 @@ def draw(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_
 
 def mix(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The mixed corpus: rows of ``docs``, as often as they are drawn, shard by shard, shuffled within each shard."""
-    taken = draw(docs, seed, block_words, shard_blocks).select(*docs.columns, F.explode("draws").alias("_draw"))
-    order = order_hash(seed, F.lit("order"), F.col("_draw.shard"), F.col("_draw.pass_no"), F.col("doc_id"))
-    return taken.repartition(F.col("_draw.shard")).sortWithinPartitions("_draw.shard", order).select(*docs.columns)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("packed_row")  # a row's columns may have any names
+    sized = docs.select(whole, docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"))
+    taken = _drawn(sized, seed, block_words, shard_blocks).select("packed_row", "doc_id", F.explode("draws").alias("draw"))
+    order = order_hash(seed, "order", F.col("draw.shard"), F.col("draw.pass_no"), F.col("doc_id"))
+    return taken.repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", order).select("packed_row.*")

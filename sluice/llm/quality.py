@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluice.llm.text import short_batches, text_column
+from sluice.llm.text import PART, parts, short_batches, text_column
 
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 _SENTENCE_MARKS = np.frombuffer(b".,;:!?", np.uint8)
@@ -26,7 +26,23 @@ STATISTICS = [
 
 
 def statistics(text: str) -> list[float]:
-    """The values of ``STATISTICS`` of one whole text; an empty text has finite ones too."""
+    """The values of ``STATISTICS`` of one whole text; an empty text has finite ones too.
+
+    A long text is taken in parts, so that its words are never held together: sizes and the longest word are those of
+    all parts, other values their mean by length.
+    """
+    if len(text) <= PART:
+        return _statistics(text)
+    pieces = [(len(p), _statistics(p)) for p in parts(text)]
+    values, weights = np.array([v for _, v in pieces]), [n for n, _ in pieces]
+    out = np.average(values, axis=0, weights=weights)
+    out[:3] = np.log1p(np.expm1(values[:, :3]).sum(axis=0))
+    longest = STATISTICS.index("longest_word")
+    out[longest] = values[:, longest].max()
+    return out.tolist()
+
+
+def _statistics(text: str) -> list[float]:
     data = text.encode("utf-8", "replace")
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     n = max(1, len(data))
@@ -154,10 +170,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> T
     return boost(rows[STATISTICS].to_numpy(np.float32), rows["_label"].to_numpy(np.float64))
 
 
-def score_quality(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs`` with score (0 to 1, higher: label 1 likelier) of the whole text; null texts count as empty.
+def score_quality(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
+    """``docs`` with a score (0 to 1, higher: label 1 likelier) of the whole text; null texts count as empty.
 
-    One pass without shuffle; the model travels with the task. A column named score is replaced.
+    One pass without shuffle; the model travels with the task. A column called ``name`` is replaced.
     """
     short_batches(docs.sparkSession)
 
@@ -166,4 +182,4 @@ def score_quality(docs: DataFrame, trees: Trees) -> DataFrame:
         for texts in batches:
             yield pd.Series(trees.score(matrix(list(texts))))
 
-    return docs.withColumn("score", score(text_column(docs)))
+    return docs.withColumn(name, score(text_column(docs)))

@@ -47,6 +47,18 @@ def test_stages_in_order_and_rows(spark):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == want
 
 
+def test_clashing_columns_pass_unchanged(spark):
+    """Extra columns named like what the stages add keep their values."""
+    extra = ["score", "size", "target", "draws", "draw", "fp", "root", "component_id", "n_tokens", "source_size", "blocks", "key"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[5:] == extra, name
+        docs = docs.cache()
+        assert docs.count() and docs.where(" and ".join(f"{c} = concat('{c} ', doc_id)" for c in extra)).count() == docs.count(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3, [(1, "one text only", "en", None, 3), (1, "one text only", "en", None, 3), (2, "", "en", "s", 0)]])
 def test_odd_tables(spark, tmp_path, rows):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from sluice.llm import quality
 from sluice.llm.queries import QUERIES
+from sluice.llm.text import parts
 from texts import odd_texts
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
@@ -63,6 +64,15 @@ def test_flat_trees_equal_plain_walk():
     assert ((trees.score(x) >= 0.5) == y).mean() > 0.95
 
 
+def test_long_texts_in_parts(monkeypatch):
+    text = " ".join(f"word{i % 70} ab." for i in range(4000))
+    whole = quality.statistics(text)
+    monkeypatch.setattr(quality, "PART", 5000)
+    monkeypatch.setattr(quality, "parts", lambda t: parts(t, 5000))
+    got = quality.statistics(text)
+    assert np.isfinite(got).all() and np.allclose(got[:2], whole[:2]) and np.allclose(got[3:9], whole[3:9], atol=1e-2)
+
+
 def test_statistics_are_finite():
     for t in odd_texts(400):
         got = quality.statistics(t)
