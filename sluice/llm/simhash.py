@@ -25,15 +25,15 @@ BITS = 64
 _blank = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: str, shingle: int = 3, part: int = 1 << 20) -> int:
-    """Fingerprint of a whole text, unsigned; bit i is set if it is in over half of the shingles' hashes.
+def shingle_hashes(text: str, shingle: int = 3, part: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Unsigned hashes of the shingles of a whole text: all words as one if there are fewer, none without words.
 
     Texts are taken in parts of about ``part`` bytes, each with the last words of the one before.
     """
     from xxhash import xxh64_intdigest
 
     data = text.encode("utf-8", "replace").lower()  # of bytes: A-Z only
-    ones, n, carry, at = np.zeros(BITS, np.int64), 0, [], 0
+    n, carry, at = 0, [], 0
     while at < len(data):
         cut = _blank.search(data, at + part) if len(data) - at > part else None
         end = cut.start() if cut else len(data)
@@ -46,11 +46,18 @@ def fingerprint(text: str, shingle: int = 3, part: int = 1 << 20) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         back = min(shingle, len(words)) - 1
-        hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[:len(words) - back].tolist(), ends[back:].tolist())),
-                             np.uint64, len(words) - back)
+        yield np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[:len(words) - back].tolist(), ends[back:].tolist())),
+                          np.uint64, len(words) - back)
+        n += len(words) - back
+        carry = words[len(words) - shingle + 1:] if shingle > 1 else []
+
+
+def fingerprint(text: str, shingle: int = 3, part: int = 1 << 20) -> int:
+    """Fingerprint of a whole text, unsigned; bit i is set if it is in over half of the shingles' hashes."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle, part):
         ones += _bits(hashes).sum(axis=0, dtype=np.int64)
         n += len(hashes)
-        carry = words[len(words) - shingle + 1:] if shingle > 1 else []
     return int((2 * ones > n) @ (1 << np.arange(BITS, dtype=object))) if n else 0
 
 
@@ -219,7 +226,11 @@ def keep_one(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
 
     Rows that repeat it with the same id and text go too. Only ids and hashes of the kept rows meet the texts again.
     """
-    groups = near_groups(docs, distance, shingle)
+    return first_of_groups(docs, near_groups(docs, distance, shingle))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``groups`` (doc_id, text_hash, root), as ``keep_one`` says."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     name = lambda doc_id, text_hash: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text_hash)
     kept = materialize(groups.groupBy("root").agg(first.alias("kept")).select(name(F.col("kept.doc_id"), F.col("kept.text_hash")).alias("_name")), "simhash-kept")
