@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +34,13 @@ def block_first_per_source(events: DataFrame, threshold: float = ATTACK_THRESHOL
         _block, "event_id long, src_ip string, blocked boolean", "done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+#: How late events may come where nothing else is said; a longer cooldown takes its place.
+LATENESS_SECONDS = 600.0
+
+
 class Cooldown:
+    """State: times of the alerts that an event may still fall beside, ascending."""
+
     def __init__(self, seconds: float):
         self.cooldown = FlowParams.micros(seconds)
 
@@ -40,29 +48,32 @@ class Cooldown:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        alerts = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
         kept = []
-        for ts, eid in zip(rows["ts_us"], rows["event_id"]):
-            if last is None or ts - last >= self.cooldown:
-                last = int(ts)
-                kept.append((*key, last, eid))
-        if kept:
-            state.update((last,))
-        if state.exists:
+        for ts, eid in zip(rows["ts_us"].tolist(), rows["event_id"].tolist()):
+            at = bisect_right(alerts, ts)
+            if (at == 0 or ts - alerts[at - 1] >= self.cooldown) and (at == len(alerts) or alerts[at] - ts >= self.cooldown):
+                alerts.insert(at, ts)
+                kept.append((*key, ts, eid))
+        if alerts:
             # Once the watermark is past the cooldown no event can fall into it any more.
-            over = -(-(last + self.cooldown) // 1000)
-            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+            now = state.getCurrentWatermarkMs()
+            over = -(-(alerts[-1] + self.cooldown) // 1000)
+            state.update(([t for t in alerts[:-1] if t + self.cooldown > now * 1000] + alerts[-1:],))
+            state.setTimeoutTimestamp(max(over, now + 1))
         yield pd.DataFrame(kept, columns=["src_ip", "prediction", "ts_us", "id"])
 
 
 def alerts_after_cooldown(events: DataFrame, cooldown_seconds: float = ALERT_COOLDOWN_SECONDS,
-                          delay: str = "0 seconds") -> DataFrame:
+                          delay: str | None = None) -> DataFrame:
     """Alerts of each (source, attack), at least one cooldown apart. A key is forgotten when its cooldown is over.
 
-    ``delay`` says how late events may come; later ones are left out.
+    ``delay`` says how late events may come (ten minutes, or the cooldown if that is longer); later ones are left out.
+    Alerts are sent at once: a late event alerts unless an alert already sent is less than a cooldown before or after it.
     """
+    delay = delay or f"{math.ceil(max(cooldown_seconds, LATENESS_SECONDS))} seconds"
     rows = events.withWatermark("ts", delay).select("src_ip", "prediction", "ts", F.unix_micros("ts").alias("ts_us"), "event_id")
     return rows.groupBy("src_ip", "prediction").applyInPandasWithState(
-        Cooldown(cooldown_seconds), "src_ip string, prediction string, ts_us long, id long", "last long", "append",
+        Cooldown(cooldown_seconds), "src_ip string, prediction string, ts_us long, id long", "alerts array<long>", "append",
         GroupStateTimeout.EventTimeTimeout)

@@ -222,3 +222,19 @@ def test_stream_decisions_over_many_files(spark):
     blocks = runs.drain(decisions.block_first_per_source(stream_over(spark, parted, df.schema, 4)), "b")
     want = {r["event_id"] for r in mitigation.block_first_per_source(df).where("blocked").collect()}
     assert blocks.count() == 200 and {r["event_id"] for r in blocks.where("blocked").collect()} == want
+
+
+def test_stream_alerts_with_late_events(spark):
+    """Bursts of a source in any order of files alert as in the batch; mixed events never twice within a cooldown."""
+    rng = random.Random(8)
+    bursts = [(s, 40 * k, rng.randrange(4)) for s in "abc" for k in range(12)]
+    placed = [((s, t + d), part) for s, t, part in bursts for d in (0, 4, 9)]
+    df = events(spark, [row for row, _ in placed])
+    part = F.element_at(F.array(*[F.lit(p) for _, p in placed]), F.col("event_id").cast("int") + 1)
+    got = runs.drain(decisions.alerts_after_cooldown(stream_over(spark, df.withColumn("part", part), df.schema, 4)), "late")
+    want = {r["id"] for r in alerts.alerts_after_cooldown(df).collect()}
+    assert len(want) == 36 and {r["id"] for r in got.collect()} == want
+
+    mixed = events(spark, [("a", rng.random() * 300) for _ in range(120)]).withColumn("part", (F.col("event_id") % 4).cast("int"))
+    times = sorted(r["ts_us"] for r in runs.drain(decisions.alerts_after_cooldown(stream_over(spark, mixed, df.schema, 4)), "mixed").collect())
+    assert len(times) > 8 and all(b - a >= 15_000_000 for a, b in zip(times, times[1:]))
