@@ -18,7 +18,11 @@ from sluice.llm.text import first_by_hash, short_batches
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg".split())
+RAW = frozenset("script style textarea iframe".split())
+DROPPED = frozenset("svg template noscript".split())
+BREAKS_SVG = frozenset(("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+                        "strong strike sub sup table tt u ul var").split())
+SVG_HTML = frozenset("foreignobject desc title".split())
 BLOCK = frozenset(("address article aside blockquote body button center caption dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
                    "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
                    "tfoot th thead title tr ul br").split())
@@ -41,37 +45,48 @@ class Leaf:
 
 
 def leaves(page: str) -> list[Leaf]:
-    """The blocks of text of a page in order. Comments, scripts, styles and other raw elements give none."""
+    """The blocks of text of a page in order. Comments, scripts, styles, drawings and templates give none."""
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
-    in_link = 0
+    in_link = dropped = 0
     links, at, end = 0, 0, len(page)
 
+    def here() -> tuple[str, ...]:
+        """Path of the text that is held: of the outermost dropped element if there is one."""
+        top = next(i for i, x in enumerate(stack) if x[0] in DROPPED) if dropped else -1
+        return stack[top][1] if stack else ()
+
     def flush() -> None:
         nonlocal links
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Leaf(stack[-1][1] if stack else (), text, min(1.0, links / len(text))))
+                out.append(Leaf(here(), text, min(1.0, links / len(text))))
             held.clear()
         links = 0
 
     def take(piece: str) -> None:
         nonlocal links
-        if piece:
+        if piece and not dropped:
             if "&" in piece:
                 piece = html.unescape(piece)
             held.append(piece)
             if in_link:
                 links += len(piece)
 
-    def pop_to(k: int) -> None:
-        nonlocal in_link
-        flush()
+    def cut(k: int) -> None:
+        nonlocal in_link, dropped
         in_link -= sum(name == "a" for name, _ in stack[k:])
+        if dropped:
+            dropped -= sum(name in DROPPED for name, _ in stack[k:])
         del stack[k:]
 
+    def pop_to(k: int) -> None:
+        if not dropped or not any(name in DROPPED for name, _ in stack[:k + 1]):
+            flush()
+        cut(k)
+
     while at < end:
         found = _token.search(page, at)
         if found is None:
@@ -85,25 +100,33 @@ def leaves(page: str) -> list[Leaf]:
         name = name.lower()
         if closing:
             if name in ("br", "p") and not any(n == name for n, _ in stack):
-                flush()
+                if not dropped:
+                    flush()
                 continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if name in BLOCK or any(n in BLOCK for n, _ in stack[k:]):
                         pop_to(k)
                     else:
-                        in_link -= sum(n == "a" for n, _ in stack[k:])
-                        del stack[k:]
+                        cut(k)
                     break
-                if name not in BLOCK and stack[k][0] in BLOCK:
+                if name not in BLOCK and name not in DROPPED and stack[k][0] in BLOCK:
                     break  # an inline end does not close blocks
             continue
+        if dropped and rest.rstrip().endswith("/"):
+            continue
+        if dropped and name in BREAKS_SVG:  # HTML inside an svg ends it
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "svg":
+                    cut(k)
+                elif stack[k][0] in SVG_HTML or stack[k][0] in BLOCK or stack[k][0] in DROPPED:
+                    break
         if name in RAW:
             close = re.compile(f"</{name}[\\s>/]", re.I).search(page, at)
             stop = page.find(">", close.start()) if close else -1
             at = end if stop < 0 else stop + 1
             continue
-        if name in BLOCK:
+        if name in BLOCK and not dropped:
             flush()
         if name in VOID:
             continue
@@ -112,14 +135,14 @@ def leaves(page: str) -> list[Leaf]:
                 if stack[k][0] == "p":
                     pop_to(k)
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k][0] in BLOCK or stack[k][0] in DROPPED:
                     break
         if name in SAME_ENDS:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in SAME_ENDS[name]:
                     pop_to(k)
                     break
-                if stack[k][0] in HOLDS[name]:
+                if stack[k][0] in HOLDS[name] or stack[k][0] in DROPPED:
                     break
         if rest.rstrip().endswith("/") and name not in BLOCK:
             continue
@@ -132,6 +155,7 @@ def leaves(page: str) -> list[Leaf]:
             path = path + tuple(names)
         if name == "a":
             in_link += 1
+        dropped += name in DROPPED
         stack.append((name, path))
     flush()
     return out

@@ -41,6 +41,20 @@ def test_unclosed_inline_does_not_leak_blocks():
     assert [(x.text, x.path) for x in found] == [("one", ("article", "p")), ("two", ("article", "p")), ("three", ("footer",))]
 
 
+def test_drawings_and_templates():
+    assert texts("<article><svg/><p>x</p></article>") == ["x"]
+    assert texts("<p>a<svg viewBox='0 0 1 1'><title>t</title><style/><path d='M0'/><text>no</text></svg>b</p><p>c") == ["ab", "c"]
+    assert texts("<svg><svg><text>no</text></svg><text>no</text></svg><p>x") == ["x"]
+    assert texts("<template><div>no<template>no</template>no<p>no</div></template><p>x") == ["x"]
+    assert texts("<p>a<noscript><img src=i><div>no</div></noscript>b") == ["ab"]
+    assert texts("<svg><foreignObject><p>no</p></foreignObject></svg><p>x") == ["x"]
+    for name in ("svg", "template", "noscript"):
+        assert texts(f"<div>a<{name}><g>no</div><p>x") == ["a", "x"]
+    assert texts("<article><svg><path><p>x</p></article><p>y") == ["x", "y"]
+    leaf = pages.leaves("<main>a<template><div class=c>no</main>")[0]
+    assert (leaf.text, leaf.path) == ("a", ("main",))
+
+
 def test_parsing_never_fails_and_is_linear():
     for t in odd_texts(100):
         pages.leaves(t)
