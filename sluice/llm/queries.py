@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import bitplanes, licences, metric_join, mixing, onebit, pages, pieces, quality, simhash, token_counts
+from sluice.llm import bitplanes, infill, licences, metric_join, mixing, onebit, pages, pieces, quality, simhash, token_counts
 from sluice.workdir import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licences", licences.oracle_sql())
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents")).select("doc_id", "licences", "n_rules", "n_sentences")
+
+
+@query("op13_fill_in_middle", infill.oracle_sql())
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                         digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
