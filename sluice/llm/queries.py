@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import bitplanes, infill, licences, metric_join, mixing, onebit, pages, pieces, quality, simhash, token_counts
+from sluice.llm import alignment, bitplanes, infill, licences, metric_join, mixing, onebit, pages, pieces, quality, simhash, token_counts
 from sluice.workdir import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents")).select("doc_id", "licences", "n_rules", "n_sentences")
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest_alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query("op13_fill_in_middle", infill.oracle_sql())
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
