@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import alignment, bitplanes, infill, licences, metric_join, mixing, onebit, pages, pieces, quality, simhash, token_counts
+from sluice.llm import alignment, bitplanes, infill, languages, licences, metric_join, mixing, onebit, pages, pieces, quality, simhash, token_counts
 from sluice.workdir import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest_alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@query("op12_language")
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = languages.fit_languages(docs, tokenizer_file("piece_bpe_32k.model"))
+    told = languages.predict_languages(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query("op13_fill_in_middle", infill.oracle_sql())
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
