@@ -104,7 +104,7 @@ def test_registered_extracts_the_article(spark):
 
 def test_other_layouts(spark, model):
     """Pages of layouts that no training page had a copy of: blocks are labelled as made, nearly always."""
-    given = spark.read.parquet("/root/testdata/check_s/pages.parquet").orderBy("page_id").limit(150).toPandas()
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(150).toPandas()
     made = pages.Layouts([" ".join(x.text for x in pages.leaves(h) if "article" in x.path) for h in given.html], seed=99)
     wrong = n = 0
     for h in given.html:

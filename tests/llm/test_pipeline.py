@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sluice.llm import mixing, quality
 from sluice.llm.queries import tokenizer_file
-from test_links import plain_groups
+from test_near_copies import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_stages_in_order_and_rows(spark):
     texts = {r.doc_id: r for r in docs.collect()}
     scores = trees.score(quality.matrix([r.text or "" for r in texts.values()]))
     good = {i: r for (i, r), s in zip(texts.items(), scores) if s >= 0.5}
-    kept = {component for _, _, component in plain_groups([(i, r.text) for i, r in good.items()])}
+    kept = plain_kept([(i, r.text) for i, r in good.items()])
     assert 0 < len(kept) < len(good) < len(texts)
 
     first = stage["quality"](spark, docs, SF)
