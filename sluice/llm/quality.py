@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,44 +28,106 @@ STATISTICS = [
 def statistics(text: str) -> list[float]:
     """The values of ``STATISTICS`` of one whole text; an empty text has finite ones too.
 
-    A long text is taken in parts, so that its words are never held together: sizes and the longest word are those of
-    all parts, other values their mean by length.
+    A long text is counted in parts and the counts are put together, words, pairs of words and lines by hash, so that
+    its words are never held together; what is measured does not depend on the length.
     """
     if len(text) <= PART:
-        return _statistics(text)
-    pieces = [(len(p), _statistics(p)) for p in parts(text)]
-    values, weights = np.array([v for _, v in pieces]), [n for n, _ in pieces]
-    out = np.average(values, axis=0, weights=weights)
-    out[:3] = np.log1p(np.expm1(values[:, :3]).sum(axis=0))
-    longest = STATISTICS.index("longest_word")
-    out[longest] = values[:, longest].max()
-    return out.tolist()
-
-
-def _statistics(text: str) -> list[float]:
-    data = text.encode("utf-8", "replace")
-    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    n = max(1, len(data))
+        return _measured([_tally(text)], *_lines([text]))
+    tallies, last = [], None
+    for part in parts(text):
+        tallies.append(_tally(part, last).hashed())
+        last = tallies[-1].last or last
+    return _measured(tallies, *_lines(_pieces(text)))
+
+
+@dataclass
+class Tally:
+    """Counts of a part of a text. ``seen`` counts its words; ``pairs`` are neighbours, the word before the part too."""
+
+    data: np.ndarray  # how often each byte occurs
+    words: int
+    letters: list[int]  # sum, sum of squares and largest of the lengths of words
+    short: int
+    seen: Counter
+    pairs: set
+    repeated: int
+    links: int
+    last: str | None
+
+    def hashed(self) -> Tally:
+        """The same with whole words and pairs replaced by arrays of hashes; kinds of words are counted before."""
+        self.kinds = self.kind_counts()
+        self.seen = (np.fromiter(map(hash, self.seen), np.int64, len(self.seen)), np.fromiter(self.seen.values(), np.int64, len(self.seen)))
+        self.pairs = np.fromiter(map(hash, self.pairs), np.int64, len(self.pairs))
+        return self
+
+    def kind_counts(self) -> list[int]:
+        """Words that end in a mark, that are upper case, that hold a digit, that begin upper case."""
+        seen = self.seen
+        return [sum(c for w, c in seen.items() if not w[-1].isalnum()), sum(c for w, c in seen.items() if w.isupper() and len(w) > 1),
+                sum(c for w, c in seen.items() if any(map(str.isdigit, w))), sum(c for w, c in seen.items() if w[0].isupper())]
+
+
+def _tally(text: str, before: str | None = None) -> Tally:
     words = text.split()
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
-    k = max(1, len(words))
-    seen = Counter(words)
-    lines = [line for line in text.split("\n") if line.strip()]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    follow = words if before is None else [before, *words]
+    return Tally(np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256), len(words),
+                 [int(lengths.sum()), int((lengths * lengths).sum()), int(lengths.max(initial=0))], int((lengths <= 3).sum()),
+                 Counter(words), set(zip(follow, follow[1:])), sum(map(str.__eq__, follow, follow[1:])),
+                 text.count("http://") + text.count("https://") + text.count("www."), words[-1] if words else None)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text cut after line ends."""
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at + PART)
+        end = len(text) if end < 0 else end + 1
+        yield text[at:end]
+        at = end
+
+
+def _lines(pieces: Iterable[str]) -> tuple[int, int]:
+    """Lines that are not blank, and how many different ones there are."""
+    n, different = 0, []
+    for piece in pieces:
+        lines = [line for line in piece.split("\n") if line.strip()]
+        n += len(lines)
+        different.append(set(lines))
+        if len(different) > 1 or len(piece) > PART:
+            different[-1] = np.fromiter(map(hash, different[-1]), np.int64, len(different[-1]))
+            if len(different) == 2 and isinstance(different[0], set):
+                different[0] = np.fromiter(map(hash, different[0]), np.int64, len(different[0]))
+    return n, len(different[0]) if len(different) == 1 else len(np.unique(np.concatenate(different))) if different else 0
+
+
+def _measured(tallies: list[Tally], n_lines: int, n_different: int) -> list[float]:
+    one = tallies[0]
+    if len(tallies) == 1 and isinstance(one.seen, Counter):
+        distinct, commonest, once = len(one.seen), max(one.seen.values(), default=0), sum(c == 1 for c in one.seen.values())
+        pairs, kinds = len(one.pairs), one.kind_counts()
+    else:
+        _, at = np.unique(np.concatenate([t.seen[0] for t in tallies]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([t.seen[1] for t in tallies]))
+        distinct, commonest, once = len(times), int(times.max(initial=0)), int((times == 1).sum())
+        pairs, kinds = len(np.unique(np.concatenate([t.pairs for t in tallies]))), np.sum([t.kinds for t in tallies], axis=0).tolist()
+    counts, words, short, links, repeated = (sum(getattr(t, f) for t in tallies) for f in ("data", "words", "short", "links", "repeated"))
+    size, k = int(counts.sum()), max(1, words)
+    n = max(1, size)
+    letters, squares = (sum(t.letters[i] for t in tallies) for i in (0, 1))
+    mean = letters / k
     shares = counts[counts > 0] / n
     marks = int(counts[_SENTENCE_MARKS].sum())
     return [
-        math.log1p(len(data)), math.log1p(len(words)), math.log1p(len(lines)),
+        math.log1p(size), math.log1p(words), math.log1p(n_lines),
         counts[_UPPER].sum() / max(1, counts[_UPPER].sum() + counts[_LOWER].sum()), counts[_DIGIT].sum() / n,
         counts[128:].sum() / n, marks / k, counts[_OTHER_MARKS].sum() / k, counts[33] / k,
-        (counts[32] + counts[9:14].sum()) / n, float(-(shares * np.log2(shares)).sum()) if data else 0.0,
-        float(lengths.mean()), float(lengths.std()), math.log1p(int(lengths.max())),
-        float((lengths <= 3).mean()) if words else 0.0, len(seen) / k, max(seen.values(), default=0) / k,
-        sum(c == 1 for c in seen.values()) / k, 1 - len(set(zip(words, words[1:]))) / max(1, len(words) - 1) if len(words) > 1 else 0.0,
-        1 - len(set(lines)) / len(lines) if lines else 0.0, k / max(1, len(lines)),
-        sum(c for w, c in seen.items() if not w[-1].isalnum()) / k, sum(c for w, c in seen.items() if w.isupper() and len(w) > 1) / k,
-        sum(c for w, c in seen.items() if any(map(str.isdigit, w))) / k, sum(map(str.__eq__, words, words[1:])) / k,
-        k / (1 + int(counts[46] + counts[33] + counts[63])), (text.count("http://") + text.count("https://") + text.count("www.")) / k,
-        sum(c for w, c in seen.items() if w[0].isupper()) / k,
+        (counts[32] + counts[9:14].sum()) / n, float(-(shares * np.log2(shares)).sum()) if size else 0.0,
+        mean, math.sqrt(max(0.0, squares / k - mean * mean)), math.log1p(max(t.letters[2] for t in tallies)),
+        short / k, distinct / k, commonest / k, once / k, 1 - pairs / (words - 1) if words > 1 else 0.0,
+        1 - n_different / n_lines if n_lines else 0.0, k / max(1, n_lines), kinds[0] / k, kinds[1] / k, kinds[2] / k, repeated / k,
+        k / (1 + int(counts[46] + counts[33] + counts[63])), links / k, kinds[3] / k,
     ]
 
 

@@ -64,13 +64,16 @@ def test_flat_trees_equal_plain_walk():
     assert ((trees.score(x) >= 0.5) == y).mean() > 0.95
 
 
-def test_long_texts_in_parts(monkeypatch):
-    text = " ".join(f"word{i % 70} ab." for i in range(4000))
-    whole = quality.statistics(text)
-    monkeypatch.setattr(quality, "PART", 5000)
-    monkeypatch.setattr(quality, "parts", lambda t: parts(t, 5000))
-    got = quality.statistics(text)
-    assert np.isfinite(got).all() and np.allclose(got[:2], whole[:2]) and np.allclose(got[3:9], whole[3:9], atol=1e-2)
+@pytest.mark.parametrize("part", [7, 100, 5000])
+def test_long_texts_in_parts(monkeypatch, part):
+    """Every statistic is the same however a text is cut, also for sections that are repeated."""
+    section = " ".join(f"word{i % 70}{'.' * (i % 9 == 0)}{chr(10) * (i % 11 == 0)}" for i in range(900))
+    for text in [(section + "\n") * 3, "again again " * 3000, *odd_texts(60), "A b\n" * 500, "x" * 400]:
+        whole = quality.statistics(text)
+        with monkeypatch.context() as m:
+            m.setattr(quality, "PART", part)
+            m.setattr(quality, "parts", lambda t: parts(t, part))
+            np.testing.assert_allclose(quality.statistics(text), whole, rtol=1e-9, atol=1e-12)
 
 
 def test_statistics_are_finite():
