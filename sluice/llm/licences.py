@@ -47,8 +47,86 @@ SENTENCES = [
     ("bsd-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("apache-title", "Apache License"),
+    ("apache-date", "Version 2.0, January 2004"),
+    ("gpl-title", "GNU GENERAL PUBLIC LICENSE"),
+    ("lgpl-title", "GNU LESSER GENERAL PUBLIC LICENSE"),
+    ("agpl-title", "GNU AFFERO GENERAL PUBLIC LICENSE"),
+    ("version-3-date", "Version 3, 29 June 2007"),
+    ("version-3-date", "Version 3, 19 November 2007"),
+    ("version-2-date", "Version 2, June 1991"),
+    ("version-2.1-date", "Version 2.1, February 1999"),
+    ("zlib-warranty", "This software is provided 'as-is', without any express or implied warranty"),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("boost-grant", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'),
 ]
 
+# SPDX identifiers of public licences and the names by which notices call them.
+NAMES = [
+    ("0BSD", ["Zero-Clause BSD License", "BSD Zero Clause License"]),
+    ("AFL-3.0", ["Academic Free License, version 3.0", "Academic Free License v3.0"]),
+    ("AGPL-3.0-only", ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3", "AGPL-3.0"]),
+    ("Apache-1.1", ["Apache License, Version 1.1", "Apache Software License, Version 1.1"]),
+    ("Apache-2.0", ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache License v2.0"]),
+    ("Artistic-2.0", ["Artistic License 2.0", "Artistic License, version 2.0"]),
+    ("BSD-2-Clause", ["BSD 2-Clause License", "Simplified BSD License", "FreeBSD License", "2-Clause BSD License"]),
+    ("BSD-3-Clause", ["BSD 3-Clause License", "New BSD License", "Revised BSD License", "3-Clause BSD License"]),
+    ("BSL-1.0", ["Boost Software License, Version 1.0", "Boost Software License 1.0"]),
+    ("CC-BY-3.0", ["Creative Commons Attribution 3.0 Unported License", "CC BY 3.0"]),
+    ("CC-BY-4.0", ["Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC-BY 4.0"]),
+    ("CC-BY-NC-4.0", ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"]),
+    ("CC-BY-NC-ND-4.0", ["Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC BY-NC-ND 4.0"]),
+    ("CC-BY-NC-SA-4.0", ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0"]),
+    ("CC-BY-ND-4.0", ["Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0"]),
+    ("CC-BY-SA-3.0", ["Creative Commons Attribution-ShareAlike 3.0 Unported License", "CC BY-SA 3.0"]),
+    ("CC-BY-SA-4.0", ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"]),
+    ("CC0-1.0", ["CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0 1.0"]),
+    ("CDDL-1.0", ["Common Development and Distribution License, Version 1.0", "Common Development and Distribution License (CDDL) Version 1.0"]),
+    ("CPL-1.0", ["Common Public License, Version 1.0", "Common Public License Version 1.0"]),
+    ("ECL-2.0", ["Educational Community License, Version 2.0"]),
+    ("EPL-1.0", ["Eclipse Public License, Version 1.0", "Eclipse Public License v1.0", "Eclipse Public License - v 1.0"]),
+    ("EPL-2.0", ["Eclipse Public License, Version 2.0", "Eclipse Public License v2.0", "Eclipse Public License - v 2.0"]),
+    ("EUPL-1.2", ["European Union Public Licence, Version 1.2", "European Union Public Licence v. 1.2"]),
+    ("GFDL-1.3-only", ["GNU Free Documentation License, Version 1.3"]),
+    ("GPL-2.0-only", ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2", "GPL-2.0"]),
+    ("GPL-3.0-only", ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3", "GPL-3.0"]),
+    ("ISC", ["ISC License"]),
+    ("LGPL-2.1-only", ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL-2.1"]),
+    ("LGPL-3.0-only", ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3", "LGPL-3.0"]),
+    ("LPPL-1.3c", ["LaTeX Project Public License, Version 1.3c"]),
+    ("MIT", ["MIT License", "MIT license", "Expat License"]),
+    ("MIT-0", ["MIT No Attribution License"]),
+    ("MPL-1.1", ["Mozilla Public License, version 1.1", "Mozilla Public License Version 1.1"]),
+    ("MPL-2.0", ["Mozilla Public License, version 2.0", "Mozilla Public License Version 2.0", "MPL 2.0"]),
+    ("MS-PL", ["Microsoft Public License", "Microsoft Public License (Ms-PL)"]),
+    ("NCSA", ["University of Illinois/NCSA Open Source License"]),
+    ("ODbL-1.0", ["Open Database License (ODbL) v1.0", "Open Data Commons Open Database License v1.0"]),
+    ("OFL-1.1", ["SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"]),
+    ("PostgreSQL", ["PostgreSQL License"]),
+    ("Python-2.0", ["Python Software Foundation License Version 2", "PSF License"]),
+    ("UPL-1.0", ["Universal Permissive License v 1.0", "Universal Permissive License (UPL), Version 1.0"]),
+    ("Unlicense", ["Unlicense"]),
+    ("WTFPL", ["Do What The Fuck You Want To Public License"]),
+    ("Zlib", ["zlib License", "zlib/libpng License"]),
+]
+#: What notices say about a licence, by its name; a name of several words also stands alone, as a title.
+FORMS = ["Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "Distributed under the {}",
+         "This project is licensed under the {}", "This project is licensed under the terms of the {}",
+         "This software is licensed under the {}", "This software is released under the {}", "This work is licensed under a {}"]
+
+
+def notices() -> list[tuple[str, str]]:
+    """Identifiers and sentences that follow from ``NAMES`` and ``FORMS``."""
+    out = []
+    for licence, names in NAMES:
+        out.append((f"notice {licence}", f"SPDX-License-Identifier: {licence}"))
+        for name in names:
+            out += [(f"notice {licence}", form.format(name)) for form in FORMS]
+            if name.count(" ") > 1:
+                out.append((f"notice {licence}", name))
+    return out
+
+
 #: Rules: licence and the identifiers that must follow one another. Longer rules come first and use up what they match.
 RULES = [
     ("MIT", ["mit-title", "mit-grant", "mit-warranty", "mit-liability"]),
@@ -76,7 +154,15 @@ RULES = [
     ("MPL-2.0", ["mpl-notice"]),
     ("ISC", ["isc-grant"]),
     ("Unlicense", ["unlicense"]),
-]
+    ("Apache-2.0", ["apache-title", "apache-date"]),
+    ("GPL-3.0-only", ["gpl-title", "version-3-date"]),
+    ("GPL-2.0-only", ["gpl-title", "version-2-date"]),
+    ("LGPL-3.0-only", ["lgpl-title", "version-3-date"]),
+    ("LGPL-2.1-only", ["lgpl-title", "version-2.1-date"]),
+    ("AGPL-3.0-only", ["agpl-title", "version-3-date"]),
+    ("Zlib", ["zlib-warranty", "zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
+] + [(licence, [f"notice {licence}"]) for licence, _ in NAMES]
 
 #: Known sentences follow one another if at most so many other sentences (a copyright line, a list number) are between.
 GAP = 3
@@ -92,14 +178,19 @@ def normal(sentence: str) -> str:
     return re.sub("[^0-9a-z]+", " ", sentence.lower()).strip()
 
 
+def sentences() -> list[tuple[str, str]]:
+    """All known sentences; those given whole come last and count where both kinds know one."""
+    return notices() + SENTENCES
+
+
 def codes() -> dict[str, str]:
     """A code of one width for each identifier."""
-    return {name: f"{i:03d}," for i, name in enumerate(dict.fromkeys(n for n, _ in SENTENCES))}
+    return {name: f"{i:03d}," for i, name in enumerate(dict.fromkeys(n for n, _ in sentences()))}
 
 
 def sentence_codes() -> dict[str, str]:
     code = codes()
-    return {normal(text): code[name] for name, text in SENTENCES}
+    return {normal(text): code[name] for name, text in sentences()}
 
 
 def rule_codes() -> list[tuple[str, str]]:
@@ -108,12 +199,20 @@ def rule_codes() -> list[tuple[str, str]]:
     return [(licence, "".join(code[n] for n in names)) for licence, names in sorted(RULES, key=lambda r: -len(r[1]))]
 
 
-def _identifiers(marked: Column) -> Column:
-    """The codes of known sentences in order, with a bar where more than ``GAP`` others are between."""
+def _sentences(marked: Column) -> Column:
+    return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def _is_known(sentence: str) -> str:
+    """SQL text, since a Column for each of many literals takes seconds to build. Normalised sentences hold no quotes."""
+    return f"{sentence} in ({', '.join(repr(k) for k in sentence_codes())})"
+
+
+def _identifiers(sentences: str) -> Column:
+    """The codes of the known sentences of a column in order, with a bar where more than ``GAP`` others are between."""
     known = sentence_codes()
-    sentences = F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
-    placed = F.filter(F.transform(sentences, lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: x["s"].isin(*known))
-    table = F.create_map(*(F.lit(v) for item in known.items() for v in item))
+    placed = F.expr(f"filter(transform(`{sentences}`, (s, i) -> struct(i as at, s as s)), x -> {_is_known('x.s')})")
+    table = F.map_from_arrays(F.split(F.lit("|".join(known)), "[|]"), F.split(F.lit("|".join(known.values())), "[|]"))
     first = F.struct(F.lit("").alias("row"), F.lit(None).cast("int").alias("at"))
     step = lambda acc, x: F.struct(F.concat(acc["row"], F.when(x["at"] - acc["at"] > GAP + 1, F.lit("|")).otherwise(F.lit("")),
                                             F.element_at(table, x["s"])).alias("row"), x["at"].alias("at"))
@@ -123,40 +222,39 @@ def _identifiers(marked: Column) -> Column:
 def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with licences (names found, sorted, joined by commas; empty if none), n_rules and n_sentences.
 
-    Sentences end at ``.``, ``!`` or ``?`` before white space; lines are read twice, once as ends of sentences and
-    once as wrapped (then only blank lines end one). The reading that knows more sentences counts (lines on ties):
-    n_sentences are its known sentences, n_rules its matched rules, and licences those of its rules and of notices
-    of one sentence in the other reading. Whole texts are read. Case, marks and spacing do not count; letters beyond
-    ASCII are taken as marks. Null and empty texts have none. Columns of ``docs`` named like the new ones are
-    replaced.
+    Blank lines cut a text into blocks. Sentences end at ``.``, ``!`` or ``?`` before white space and at the end of a
+    block; a block is read twice, with lines as ends of sentences and as wrapped, and the reading that knows more
+    sentences counts (lines on ties). So a list of notices and a wrapped licence in one text are both read.
+    n_sentences are the known sentences, n_rules the rules matched, and licences the names of these rules. Whole texts
+    are read. Case, marks and spacing do not count; letters beyond ASCII are taken as marks. Null and empty texts
+    have none. Columns of ``docs`` named like the new ones are replaced.
     """
     plain = F.translate(F.coalesce(docs[text].cast("string"), F.lit("")), _UPPER, _LOWER)
-    lines = F.replace(plain, F.lit("\n"), F.lit("\x01"))
-    wrapped = F.replace(F.regexp_replace(plain, _BLANK_LINE, "\x01"), F.lit("\n"), F.lit(" "))
-    marked = [F.regexp_replace(F.regexp_replace(t, _END, "\x01"), _NOT_PLAIN, " ") for t in (lines, wrapped)]
-    held = max(docs.columns, key=len)
-    a, b, f, g = (f"{held}_{k}" for k in "abfg")
-    rows = docs.withColumns({a: _identifiers(marked[0]), b: _identifiers(marked[1])}).withColumns({f: _matched(F.col(a)), g: _matched(F.col(b))})
-    size = lambda row: F.length(F.regexp_replace(row, "[^,]", "")).cast("long")
-    more = size(F.col(b)) > size(F.col(a))
-    pick = lambda x, y: F.when(more, y).otherwise(x)
-    names = F.concat(pick(F.col(f)["names"], F.col(g)["names"]), pick(F.col(g)["notices"], F.col(f)["notices"]))
+
+    def read(block: Column) -> Column:
+        marked = [F.regexp_replace(F.regexp_replace(F.replace(block, F.lit("\n"), F.lit(end)), _END, "\x01"), _NOT_PLAIN, " ") for end in ("\x01", " ")]
+        return F.struct(_sentences(marked[0]).alias("lines"), _sentences(marked[1]).alias("wrapped"))
+
+    longest = max(map(len, docs.columns))
+    row, found = "r" * (longest + 1), "f" * (longest + 1)
+    count = lambda some: f"size(filter({some}, s -> {_is_known('s')}))"
+    better = F.expr(f"flatten(transform(`{row}`, x -> if({count('x.wrapped')} > {count('x.lines')}, x.wrapped, x.lines)))")
+    rows = docs.withColumn(row, F.transform(F.split(plain, _BLANK_LINE), read)).withColumn(row, better)
+    rows = rows.withColumn(row, _identifiers(row)).withColumn(found, _matched(F.col(row)))
     return rows.withColumns({
-        "licences": F.array_join(F.array_sort(F.array_distinct(names)), ","), "n_rules": pick(F.col(f)["n"], F.col(g)["n"]),
-        "n_sentences": pick(size(F.col(a)), size(F.col(b)))}).drop(a, b, f, g)
+        "licences": F.array_join(F.array_sort(F.array_distinct(F.col(found)["names"])), ","), "n_rules": F.col(found)["n"],
+        "n_sentences": F.length(F.regexp_replace(F.col(row), "[^,]", "")).cast("long")}).drop(row, found)
 
 
 def _matched(row: Column) -> Column:
-    """names of matched rules, notices (names of matched rules of one sentence) and n, how many matched, in a row of codes."""
-    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern"), F.lit(pattern.count(",") == 1).alias("notice")) for name, pattern in rule_codes()))
-    none = F.array().cast("array<string>")
-    start = lambda row: F.struct(row.alias("row"), none.alias("names"), none.alias("notices"), F.lit(0).cast("long").alias("n"))
+    """names of matched rules and n, how many matched, in a row of codes."""
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern")) for name, pattern in rule_codes()))
+    start = lambda row: F.struct(row.alias("row"), F.array().cast("array<string>").alias("names"), F.lit(0).cast("long").alias("n"))
 
     def step(acc: Column, rule: Column) -> Column:
         left = F.replace(acc["row"], rule["pattern"], F.lit("#"))
         times = ((F.length(acc["row"]) - F.length(left)) / (F.length(rule["pattern"]) - 1)).cast("long")
-        add = lambda names, when: F.when(when, F.concat(names, F.array(rule["name"]))).otherwise(names)
-        return F.struct(left.alias("row"), add(acc["names"], times > 0).alias("names"), add(acc["notices"], (times > 0) & rule["notice"]).alias("notices"),
+        return F.struct(left.alias("row"), F.when(times > 0, F.concat(acc["names"], F.array(rule["name"]))).otherwise(acc["names"]).alias("names"),
                         (acc["n"] + times).alias("n"))
 
     return F.when(row == "", start(F.lit(""))).otherwise(F.aggregate(rules, start(row), step))
@@ -169,33 +267,21 @@ def oracle_sql() -> str:
     keys = "[" + ", ".join(map(quote, known)) + "]"
     vals = "[" + ", ".join(map(quote, known.values())) + "]"
     space = "[ \\t\\r\\f\\x0B\\x01]+"
-
-    def row(marked: str) -> str:
-        sentences = f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(s)), lambda s: s <> '')"
-        placed = f"list_filter(list_transform({sentences}, lambda s, i: {{'at': i, 'code': list_position({keys}, s)}}), lambda x: x.code is not null)"
-        return placed
-
-    def joined(placed: str) -> str:
-        bar = f"case when i > 1 and x.at - {placed}[greatest(i - 1, 1)].at > {GAP + 1} then '|' else '' end"
-        return f"coalesce(array_to_string(list_transform({placed}, lambda x, i: {bar} || {vals}[x.code]), ''), '')"
-
     mark = lambda t: f"regexp_replace(regexp_replace({t}, '[.!?]+({space}|\\z)', chr(1), 'g'), '[^0-9a-z\\x01]+', ' ', 'g')"
-    sql = f"""select doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents"""
-    sql = f"""select doc_id, {mark("replace(t, chr(10), chr(1))")} as ma,
-        {mark("replace(regexp_replace(t, '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(10), ' ')")} as mb from ({sql})"""
-    sql = f"select doc_id, {row('ma')} as pa, {row('mb')} as pb from ({sql})"
-    sql = f"select doc_id, {joined('pa')} as ra, {joined('pb')} as rb from ({sql})"
-    size = lambda r: f"(length({r}) - length(replace({r}, ',', '')))::bigint"
-    sql = f"""select doc_id, {size('ra')} as sa, {size('rb')} as sb, ra as ra0, rb as rb0, 0::bigint as na0, 0::bigint as nb0,
-        []::varchar[] as la0, []::varchar[] as lb0, []::varchar[] as oa0, []::varchar[] as ob0 from ({sql})"""
+    read = lambda end: f"list_filter(list_transform(string_split({mark(f'replace(b, chr(10), {end})')}, chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+    count = lambda some: f"len(list_filter({some}, lambda s: list_contains({keys}, s)))"
+    bar = f"case when i > 1 and x.at - p[greatest(i - 1, 1)].at > {GAP + 1} then '|' else '' end"
+    sql = f"""
+    with blocks as (select doc_id, list_transform(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '\\n[ \\t\\r]*\\n'),
+            lambda b: {{'l': {read('chr(1)')}, 'w': {read("' '")}}}) as b from documents),
+    told as (select doc_id, flatten(list_transform(b, lambda x: case when {count('x.w')} > {count('x.l')} then x.w else x.l end)) as s from blocks),
+    placed as (select doc_id, list_filter(list_transform(s, lambda x, i: {{'at': i, 'code': list_position({keys}, x)}}), lambda x: x.code is not null) as p from told),
+    rows as (select doc_id, coalesce(array_to_string(list_transform(p, lambda x, i: {bar} || {vals}[x.code]), ''), '') as r0 from placed),
+    step0 as (select doc_id, r0, (length(r0) - length(replace(r0, ',', '')))::bigint as n_sentences, 0::bigint as n, []::varchar[] as l from rows)"""
     for k, (name, pattern) in enumerate(rule_codes()):
-        times = lambda r, k=k, pattern=pattern: f"((length({r}{k}) - length(replace({r}{k}, {quote(pattern)}, '#'))) // {len(pattern) - 1})::bigint"
-        add = lambda to, r, k=k, name=name: f"case when {times(r)} > 0 then list_append({to}{k}, {quote(name)}) else {to}{k} end as {to}{k + 1}"  # noqa: E731,B023
-        kept = lambda to, k=k: f"{to}{k} as {to}{k + 1}"
-        ones = [add("oa", "ra"), add("ob", "rb")] if pattern.count(",") == 1 else [kept("oa"), kept("ob")]
-        sql = f"""select doc_id, sa, sb, replace(ra{k}, {quote(pattern)}, '#') as ra{k + 1}, replace(rb{k}, {quote(pattern)}, '#') as rb{k + 1},
-            na{k} + {times('ra')} as na{k + 1}, nb{k} + {times('rb')} as nb{k + 1}, {add('la', 'ra')}, {add('lb', 'rb')}, {', '.join(ones)} from ({sql})"""
-    k = len(rule_codes())
-    names = f"case when sb > sa then list_concat(lb{k}, oa{k}) else list_concat(la{k}, ob{k}) end"
-    return f"""select doc_id, coalesce(array_to_string(list_sort(list_distinct({names})), ','), '') as licences,
-        case when sb > sa then nb{k} else na{k} end as n_rules, case when sb > sa then sb else sa end as n_sentences from ({sql})"""
+        times = f"((length(r{k}) - length(replace(r{k}, {quote(pattern)}, '#'))) // {len(pattern) - 1})::bigint"
+        sql += f""",
+    step{k + 1} as (select doc_id, replace(r{k}, {quote(pattern)}, '#') as r{k + 1}, n_sentences, n + {times} as n,
+        case when {times} > 0 then list_append(l, {quote(name)}) else l end as l from step{k})"""
+    return f"""{sql}
+    select doc_id, coalesce(array_to_string(list_sort(list_distinct(l)), ','), '') as licences, n as n_rules, n_sentences from step{len(rule_codes())}"""

@@ -1,7 +1,6 @@
 """License scans against DuckDB and on licence texts as files carry them."""
 
 import duckdb
-import pytest
 from pyspark.sql import types as T
 
 from sluice.llm import licences
@@ -41,19 +40,27 @@ CASES = [
     (OF["bsd-source"] + ". " + "other. " * (licences.GAP + 1) + OF["bsd-binary"] + ".", "", 0, 2),
     ("word " * 50000 + "\n" + wrap(OF["mpl-notice"], 30) + ". 2.0.", "", 0, 0),
     ("word " * 50000 + "\n\n" + wrap(OF["mpl-notice"], 30) + ". 2.0.\n\nx", "MPL-2.0", 1, 1),
+    ("Released under the MIT License\nLicensed under the MIT License\nMIT License\nLicensed under MIT License\n\n" + wrap(OF["bsd-source"] + ". " + OF["bsd-binary"] + "."),
+     "BSD-2-Clause,MIT", 5, 6),
+    ("SPDX-License-Identifier: MIT", "MIT", 1, 1), ("Licensed under the Mozilla Public License, version 2.0.", "MPL-2.0", 1, 1),
+    ("Distributed under the BSD 3-Clause License.", "BSD-3-Clause", 1, 1), ("Licensed under GPLv3.", "GPL-3.0-only", 1, 1),
+    ("# SPDX-License-Identifier: Apache-2.0\n\nx", "Apache-2.0", 1, 1), ("Boost Software License, Version 1.0", "BSL-1.0", 1, 1),
+    ("Eclipse Public License - v 2.0", "EPL-2.0", 1, 1), ("  GNU GENERAL PUBLIC LICENSE\n     Version 3, 29 June 2007\n\n other", "GPL-3.0-only", 1, 2),
+    ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0", 1, 2),
+    (wrap(OF["zlib-warranty"] + ". x y. " + OF["zlib-grant"]), "Zlib", 1, 2),
     (None, "", 0, 0), ("", "", 0, 0), (" . ! \n\n", "", 0, 0),
 ]
 
 
-@pytest.mark.parametrize("k", range(len(CASES)))
-def test_cases(spark, k):
-    text, names, n_rules, n_sentences = CASES[k]
-    got = licences.scan_licences(spark.createDataFrame([(1, text, "old", "old")], DOCS)).first()
-    assert (got.licences, got.n_rules, got.n_sentences) == (names, n_rules, n_sentences)
+def test_cases(spark):
+    docs = spark.createDataFrame([(k, c[0], "old", "old") for k, c in enumerate(CASES)], DOCS)
+    got = {r.doc_id: (r.licences, r.n_rules, r.n_sentences) for r in licences.scan_licences(docs).collect()}
+    for k, (text, *want) in enumerate(CASES):
+        assert got[k] == tuple(want), (text or "")[:200]
 
 
 def test_equals_duckdb(spark, tmp_path):
-    sentences = [t for _, t in licences.SENTENCES]
+    sentences = [t for _, t in licences.SENTENCES] + [t for _, t in licences.notices()][::7]
     texts = [c[0] for c in CASES] + odd_texts(60) + [a + end + b for a, b in zip(sentences, sentences[1:]) for end in (". ", "\n", "\n\n", ".\n", "! x. y? ")] + [BSD]
     docs = spark.createDataFrame([(i if i % 13 else None, t, "old", "old") for i, t in enumerate(texts)], DOCS)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -68,4 +75,12 @@ def test_equals_duckdb(spark, tmp_path):
 def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "x", "", "")], DOCS)
     plan = licences.scan_licences(docs)._jdf.queryExecution().executedPlan().toString()
-    assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Exchange", "Generate"))
+    assert not any(word in plan for word in ("EvalPython", "InPandas", "InArrow", "Exchange", "Generate "))
+
+
+def test_every_sentence_has_one_meaning():
+    met = {}
+    for name, text in licences.sentences():
+        assert met.setdefault(licences.normal(text), name) == name or (name, text) in licences.SENTENCES, text
+    assert len(licences.NAMES) >= 40 and len({n for n, _ in licences.RULES}) >= 45
+    assert len(licences.codes()) < 1000
