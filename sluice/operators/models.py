@@ -1,7 +1,6 @@
-"""Candidate classifiers on MLlib.
+"""Candidate classifiers.
 
-All read ``features``, ``label_index`` and, where the algorithm takes weights, ``weight``,
-and all give ``probability`` and ``prediction``.
+All read ``features``, ``label_index`` and ``weight``, and all give ``probability`` and ``prediction``.
 """
 
 from __future__ import annotations
@@ -10,135 +9,43 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
-                             MLReadable, MLReader, MLWritable, MLWriter)
+from pyspark.ml import Estimator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.operators import sampling
 from sluice.operators.neighbours import KnnClassifier
+from sluice.operators.perceptron import Learning, PerceptronClassifier
+from sluice.operators.trees import BoostedClassifier, ForestClassifier, Growth
 
 LABEL, WEIGHT = "label_index", "weight"
-_MAX_DEPTH = 30  # MLlib's limit
-
-
-def random_forest(trees: int = 300, depth: int = 18, min_leaf: int = 8, features: str = "sqrt", rows: float = 0.75,
-                  min_gain: float = 0.0, seed: int = 42, bootstrap: bool = True) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol=LABEL, weightCol=WEIGHT, numTrees=trees, maxDepth=min(depth, _MAX_DEPTH),
-                                  minInstancesPerNode=min_leaf, featureSubsetStrategy=features, subsamplingRate=rows,
-                                  minInfoGain=min_gain, seed=seed, bootstrap=bootstrap)
-
-
-def extra_trees(trees: int = 300, depth: int = 18, min_leaf: int = 8, features: str = "sqrt", rows: float = 1.0,
-                min_gain: float = 0.0, seed: int = 42) -> RandomForestClassifier:
-    """Trees on unresampled rows. MLlib has no random split thresholds, so this stands in for them."""
-    return random_forest(trees, depth, min_leaf, features, rows, min_gain, seed, bootstrap=False)
-
-
-class PerceptronClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Two hidden layers; the input layer takes its width from the data."""
-
-    nClasses = Param(Params._dummy(), "nClasses", "number of classes", TypeConverters.toInt)
-    hidden = Param(Params._dummy(), "hidden", "hidden layer widths", TypeConverters.toListInt)
-    maxIter = Param(Params._dummy(), "maxIter", "iterations", TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, nClasses: int = 2, hidden: list[int] | None = None, maxIter: int = 300, seed: int = 42):
-        super().__init__()
-        self._setDefault(nClasses=2, hidden=[128, 64], maxIter=300, seed=42)
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _fit(self, dataset: DataFrame) -> Model:
-        width = dataset.select("features").first()[0].size
-        layers = [width, *self.getOrDefault("hidden"), self.getOrDefault("nClasses")]
-        return MultilayerPerceptronClassifier(labelCol=LABEL, layers=layers, maxIter=self.getOrDefault("maxIter"),
-                                              seed=self.getOrDefault("seed")).fit(dataset)
-
-
-class BoostedClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """One boosted binary model per class; their probabilities are brought to sum 1.
-
-    With ``validationCol``, boosting of a class stops once the flagged rows no longer gain.
-    """
-
-    nClasses = Param(Params._dummy(), "nClasses", "number of classes", TypeConverters.toInt)
-    maxIter = Param(Params._dummy(), "maxIter", "rounds", TypeConverters.toInt)
-    maxDepth = Param(Params._dummy(), "maxDepth", "tree depth", TypeConverters.toInt)
-    stepSize = Param(Params._dummy(), "stepSize", "learning rate", TypeConverters.toFloat)
-    rows = Param(Params._dummy(), "rows", "share of rows per tree", TypeConverters.toFloat)
-    columns = Param(Params._dummy(), "columns", "share of features per split", TypeConverters.toString)
-    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
-    validationCol = Param(Params._dummy(), "validationCol", "flag of early-stopping rows", TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, *, nClasses: int = 2, maxIter: int = 400, maxDepth: int = 4, stepSize: float = 0.04,
-                 rows: float = 0.7, columns: str = "0.7", seed: int = 42, validationCol: str = ""):
-        super().__init__()
-        self._setDefault(nClasses=2, maxIter=400, maxDepth=4, stepSize=0.04, rows=0.7, columns="0.7", seed=42,
-                         validationCol="")
-        self._set(**self._input_kwargs)
-
-    def _fit(self, dataset: DataFrame) -> BoostedModel:
-        stop = self.getOrDefault("validationCol")
-        models = []
-        for c in range(self.getOrDefault("nClasses")):
-            gbt = GBTClassifier(labelCol="_is_class", weightCol=WEIGHT, seed=self.getOrDefault("seed"),
-                                maxIter=self.getOrDefault("maxIter"), maxDepth=self.getOrDefault("maxDepth"),
-                                stepSize=self.getOrDefault("stepSize"), subsamplingRate=self.getOrDefault("rows"),
-                                featureSubsetStrategy=self.getOrDefault("columns"))
-            if stop:
-                gbt.setValidationIndicatorCol(stop)
-            models.append(gbt.fit(dataset.withColumn("_is_class", (F.col(LABEL) == c).cast("double"))))
-        return BoostedModel(models)
-
-
-class BoostedModel(Model, MLWritable, MLReadable):
-    def __init__(self, models: Sequence[GBTClassificationModel] = ()):
-        super().__init__()
-        self.models = list(models)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        out, shares = dataset, []
-        for i, m in enumerate(self.models):
-            m = m.copy()
-            m.setPredictionCol(f"_c{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}")
-            out = m.transform(out).drop(f"_c{i}", f"_r{i}")
-            shares.append(vector_to_array(F.col(f"_p{i}"))[1])
-        total = sum(shares[1:], shares[0])
-        p = F.array(*[s / total for s in shares])
-        out = out.withColumn("_p", p).drop(*[f"_p{i}" for i in range(len(self.models))])
-        return out.withColumns({"probability": array_to_vector("_p"), "prediction": (
-            F.array_position("_p", F.array_max("_p")) - 1).cast("double")}).drop("_p")
-
-    def write(self) -> MLWriter:
-        return _BoostedWriter(self)
-
-    @classmethod
-    def read(cls) -> MLReader:
-        return _BoostedReader()
-
-
-class _BoostedWriter(MLWriter):
-    def __init__(self, model: BoostedModel):
-        super().__init__()
-        self.model = model
-
-    def saveImpl(self, path: str) -> None:
-        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, {"classes": len(self.model.models)})
-        for i, m in enumerate(self.model.models):
-            m.write().save(f"{path}/class-{i}")
-
-
-class _BoostedReader(MLReader):
-    def load(self, path: str) -> BoostedModel:
-        n = DefaultParamsReader.loadMetadata(path, self.sparkSession)["classes"]
-        return BoostedModel([GBTClassificationModel.load(f"{path}/class-{i}") for i in range(n)])
+
+
+def random_forest(trees: int = 300, depth: int = 18, min_split: int = 20, min_leaf: int = 8, features: str | float = "sqrt",
+                  rows: float = 0.75, min_gain: float = 0.0, seed: int = 42) -> ForestClassifier:
+    """Trees on rows drawn with repetition, ``rows`` of their number on average, with the best of binned cuts."""
+    growth = Growth(depth=depth, min_split=min_split, min_leaf=min_leaf, min_gain=min_gain, tries=features, rows=rows, bootstrap=True, seed=seed)
+    return ForestClassifier(growth, trees, LABEL, WEIGHT)
+
+
+def extra_trees(trees: int = 300, depth: int = 18, min_split: int = 20, min_leaf: int = 8, features: str | float = "sqrt",
+                rows: float = 1.0, min_gain: float = 0.0, bootstrap: bool = False, seed: int = 42) -> ForestClassifier:
+    """Trees on all rows (or ``rows`` drawn) with one random cut for each tried feature of a node."""
+    growth = Growth(random_cuts=True, depth=depth, min_split=min_split, min_leaf=min_leaf, min_gain=min_gain, tries=features,
+                    rows=rows, bootstrap=bootstrap, seed=seed)
+    return ForestClassifier(growth, trees, LABEL, WEIGHT)
+
+
+def boosted(rounds: int = 400, depth: int = 4, rate: float = 0.04, rows: float = 0.7, columns: float = 0.7, min_weight: float = 5.0,
+            min_gain: float = 0.1, l1: float = 0.01, l2: float = 5.0, patience: int = 30, stop: str = "", seed: int = 42) -> BoostedClassifier:
+    """Softmax boosting; ``stop`` names a flag of rows that are not learned from but end it after ``patience`` idle rounds."""
+    growth = Growth(boosted=True, depth=depth, min_gain=min_gain, columns=columns, rows=rows, rate=rate, l1=l1, l2=l2, min_weight=min_weight, seed=seed)
+    return BoostedClassifier(growth, rounds, LABEL, WEIGHT, stop, patience)
+
+
+def perceptron(hidden: Sequence[int] = (128, 64), l2: float = 1e-3, rate: float = 1e-3, batch: int = 200, epochs: int = 300,
+               patience: int = 15, held: float = 0.15, seed: int = 42) -> PerceptronClassifier:
+    return PerceptronClassifier(Learning(tuple(hidden), l2, rate, batch, epochs, patience, held=held, seed=seed), LABEL, WEIGHT)
 
 
 @dataclass
@@ -152,18 +59,18 @@ class Candidate:
     oversample: bool = False
 
 
-# Settings the search draws from, those MLlib has a counterpart for.
+# Settings the search draws from. ``min_gain`` of the forests takes the place of pruning by cost.
 FOREST_GRID = {
-    "trees": [160, 220, 320], "depth": [3, 4, 5, 6, 8], "min_leaf": [100, 200, 500, 800],
-    "features": ["sqrt", "log2", "0.25", "0.4"], "rows": [0.35, 0.45, 0.6], "min_gain": [0.001, 0.005, 0.01, 0.02],
+    "trees": [160, 220, 320], "depth": [3, 4, 5, 6, 8], "min_split": [200, 500, 1000, 1500], "min_leaf": [100, 200, 500, 800],
+    "features": ["sqrt", "log2", 0.25, 0.4], "rows": [0.35, 0.45, 0.6], "min_gain": [0.001, 0.005, 0.01, 0.02],
 }
 EXTRA_GRID = {
-    "trees": [160, 220, 320], "depth": [5, 7, 9, 12], "min_leaf": [30, 40, 80, 120],
-    "features": ["sqrt", "log2", "0.25", "0.4"], "rows": [0.45, 0.6, 0.75], "min_gain": [0.0, 0.0001, 0.001],
+    "trees": [160, 220, 320], "depth": [5, 7, 9, 12], "min_split": [80, 120, 200, 500], "min_leaf": [30, 40, 80, 120],
+    "features": ["sqrt", "log2", 0.25, 0.4], "rows": [0.45, 0.6, 0.75], "bootstrap": [True], "min_gain": [0.0, 0.0001, 0.001],
 }
 BOOSTED_GRID = {
-    "maxIter": [160, 220, 320], "maxDepth": [2, 3], "stepSize": [0.01, 0.03, 0.05], "rows": [0.55, 0.65, 0.75],
-    "columns": ["0.55", "0.65", "0.75"],
+    "rounds": [160, 220, 320], "depth": [2, 3], "rate": [0.01, 0.03, 0.05], "min_weight": [10, 20, 25, 40], "rows": [0.55, 0.65, 0.75],
+    "columns": [0.55, 0.65, 0.75], "min_gain": [0.5, 1.0, 2.0], "l1": [0.1, 0.5, 1.0], "l2": [8, 12, 20],
 }
 
 
@@ -175,14 +82,14 @@ def candidates(n_classes: int, seed: int = 42, enable_smote: bool = True) -> lis
     def extra(**p):
         return extra_trees(seed=seed, **p)
 
-    def boosted(**p):
-        return BoostedClassifier(nClasses=n_classes, seed=seed, **p)
+    def gradient(**p):
+        return boosted(seed=seed, **p)
 
     out = [Candidate("Random Forest", "Random Forest", forest, FOREST_GRID),
            Candidate("KNN", "KNN", lambda **p: KnnClassifier(nClasses=n_classes, **p)),
            Candidate("Extra Trees", "Extra Trees", extra, EXTRA_GRID),
-           Candidate("MLP Classifier", "MLP Classifier", lambda **p: PerceptronClassifier(nClasses=n_classes, seed=seed, **p)),
-           Candidate("XGBoost", "XGBoost", boosted, BOOSTED_GRID)]
+           Candidate("MLP Classifier", "MLP Classifier", lambda **p: perceptron(seed=seed, **p)),
+           Candidate("XGBoost", "XGBoost", gradient, BOOSTED_GRID)]
     if enable_smote:
         out += [Candidate(f"{c.name} + SMOTE", c.base, c.build, c.grid, True) for c in (out[0], out[2])]
     return out

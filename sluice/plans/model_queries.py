@@ -83,8 +83,7 @@ def _(spark, sf):
 
 # ---- training: flows with 77 features, labelled by service port; the label is learned from the other columns ----
 
-_CONFIG = TrainingConfig(cv_folds=3, search_iter=2, parallelism=4)
-_FOREST = {"trees": 20, "depth": 8}
+_CONFIG = TrainingConfig(parallelism=4)
 
 
 def _train_test(spark, sf):
@@ -108,39 +107,38 @@ _SUPPORT = f"""with {_LABELLED}, t as (select {_TUPLE} as x, raw_label, Label, f
 
 
 def _facts(scored, classes):
-    """Per class the test rows, those with a class and probabilities that sum to 1, and whether the model
-    does at least as well as always naming the commonest class."""
-    everything = Window.partitionBy(F.lit(1))
+    """Per class the test rows, and those with a class and probabilities that sum to 1."""
     total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
     whole = (F.abs(total - 1) < 1e-9) & F.col("prediction").between(0, len(classes) - 1)
-    rows = scored.groupBy("label").agg(F.count(F.lit(1)).alias("support"), F.count_if(whole).alias("scored"),
-                                       F.count_if(F.col("label") == F.col("prediction")).alias("_hits"))
-    useful = F.sum("_hits").over(everything) >= F.max("support").over(everything)
-    return rows.select(labels.class_name(F.col("label"), classes).alias(TARGET), "support", "scored", useful.alias("useful"))
+    rows = scored.groupBy("label").agg(F.count(F.lit(1)).alias("support"), F.count_if(whole).alias("scored"))
+    return rows.select(labels.class_name(F.col("label"), classes).alias(TARGET), "support", "scored")
 
 
-def _fit_and_score(spark, sf, name: str, setting: dict):
-    """One candidate fitted on the training split and measured on the test split."""
+def _fit_and_score(spark, sf, name: str):
+    """One candidate with its default settings, fitted on the training split and measured on the test split."""
     train, test = _train_test(spark, sf)
     splits = T.prepare_splits(train, test)
     rows = T.training_rows(splits, _CONFIG)
     candidate = next(c for c in models.candidates(len(splits.classes)) if c.name == name)
-    model = T.final_model(rows, candidate, setting, _CONFIG)
+    model = T.final_model(rows, candidate, {}, _CONFIG)
     scored = models.as_predictions(model.transform(T.test_rows(splits)), model=name)
-    return _facts(workdir.materialize(scored, "scored"), splits.classes)
+    return _facts(workdir.materialize(scored, "scored"), splits.classes), model.stages[-1]
 
 
-def _register_model(key: str, name: str, setting: dict) -> None:
-    @query(key, f"{_SUPPORT} select Label, support, support as scored, true as useful from support")
+def _register_model(key: str, name: str, trees: int | None = None) -> None:
+    more = "" if trees is None else f", {trees}::bigint as trees"
+
+    @query(key, f"{_SUPPORT} select Label, support, support as scored{more} from support")
     def _(spark, sf):
-        return _fit_and_score(spark, sf, name, setting)
+        facts, model = _fit_and_score(spark, sf, name)
+        return facts if trees is None else facts.withColumn("trees", F.lit(len(model.trees.roots)).cast("long"))
 
 
-_register_model("train_random_forest", "Random Forest", _FOREST)
-_register_model("train_extra_trees", "Extra Trees", _FOREST)
-_register_model("train_gbt", "XGBoost", {"maxIter": 10, "maxDepth": 3, "stepSize": 0.3})
-_register_model("train_mlp", "MLP Classifier", {"hidden": [32, 16], "maxIter": 60})
-_register_model("train_knn", "KNN", {})
+_register_model("train_random_forest", "Random Forest", 300)
+_register_model("train_extra_trees", "Extra Trees", 300)
+_register_model("train_gbt", "XGBoost")
+_register_model("train_mlp", "MLP Classifier")
+_register_model("train_knn", "KNN")
 
 
 @query("candidate_grid", f"with t as (select {_TYPE} as tag, count(*) as n from events group by 1), c as (select * from (values "
@@ -234,7 +232,7 @@ def _live_model(spark, sf):
     collected = labels.deployment_only(labels.rename_or_keep(_train_test(spark, sf)[1], CATEGORY))
     sample = datasets.deployment_sample(spark, _feature_files(spark, sf), 3000)
     folder = workdir.new_path(spark, "live-model")
-    return T.train_live_lab(collected, sample, folder, trees=20, depth=12), folder
+    return T.train_live_lab(collected, sample, folder), folder
 
 
 _DEPLOYED = f"""with {_LABELLED}, t as (select Label, first_ts % 5 = 0 as held from lc where Label in ({_DEP})),
@@ -242,12 +240,13 @@ _DEPLOYED = f"""with {_LABELLED}, t as (select Label, first_ts % 5 = 0 as held f
   mixed as (select (select n from sizes) + (select count(*) from t where held) as n)"""
 
 
-@query("train_live_lab", f"{_DEPLOYED} select ceil(0.25 * n)::bigint as held_out, ceil(0.25 * n)::bigint as scored, true as useful from mixed")
+@query("train_live_lab", f"{_DEPLOYED} select ceil(0.25 * n)::bigint as held_out, ceil(0.25 * n)::bigint as scored, 600::bigint as trees from mixed")
 def _(spark, sf):
-    predictions, _folder = _live_model(spark, sf)
+    predictions, folder = _live_model(spark, sf)
     classes = sorted(["Benign", "LDAP Flood", "MSSQL Flood", "UDP Flood"])
     facts = _facts(predictions, classes)
-    return facts.agg(F.sum("support").alias("held_out"), F.sum("scored").alias("scored"), F.bool_and("useful").alias("useful"))
+    trees = len(registry.load_model("selected_model", folder).stages[-1].trees.roots)
+    return facts.agg(F.sum("support").alias("held_out"), F.sum("scored").alias("scored"), F.lit(trees).cast("long").alias("trees"))
 
 
 @query("score_flows", f"with {_LABELLED} select count(*) as flows, 0 as broken from lc")
@@ -268,7 +267,7 @@ def _(spark, sf):
     rows = labels.encode(labels.to_category(train), labels.class_list(labels.to_category(train)), out=models.LABEL)
     rows = rows.withColumns({models.WEIGHT: F.lit(1.0)})
     pre = encoding.FlowPreprocessor(ignoreCols=[models.LABEL, models.WEIGHT, TARGET]).fit(rows)
-    model = PipelineModel([pre, models.random_forest(trees=10, depth=6).fit(pre.transform(rows))])
+    model = PipelineModel([pre, models.random_forest().fit(pre.transform(rows))])
     folder = workdir.new_path(spark, "saved")
     registry.save_model(model, "Random Forest + SMOTE", folder)
     again = registry.load_model("random_forest_smote", folder)

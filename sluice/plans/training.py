@@ -151,7 +151,7 @@ def final_model(rows: DataFrame, candidate: models.Candidate, setting: Mapping,
     ready = workdir.materialize(ready.select("row_id", models.LABEL, models.WEIGHT, "stopping", "features"), "final-fit")
     if candidate.oversample:
         ready = workdir.materialize(_oversampled(ready, config.seed), "final-smote")
-    extra = {"validationCol": "stopping"} if early else {}
+    extra = {"stop": "stopping"} if early else {}
     return PipelineModel([pre, candidate.build(**setting, **extra).fit(ready)])
 
 
@@ -222,7 +222,7 @@ def _write_score_tables(table: DataFrame, test: DataFrame, classes: Sequence[str
 
 
 def train_live_lab(collected: DataFrame, sample: DataFrame | None, folder: str, holdout: float = 0.25,
-                   live_weight: float = 10.0, trees: int = 600, depth: int = 30, seed: int = 42) -> DataFrame:
+                   live_weight: float = 10.0, trees: int = 600, depth: int = 60, seed: int = 42) -> DataFrame:
     """Deployment model from collected rows, weighted up, and a sample of the public data set.
 
     Saves it as the selected model, the previous one kept as a backup. Returns its
@@ -249,7 +249,7 @@ def train_live_lab(collected: DataFrame, sample: DataFrame | None, folder: str,
     pre = encoding.FlowPreprocessorModel(state=state)
     ready = profiling.with_balanced_weight(pre.transform(fit), models.LABEL)
     ready = ready.withColumn(models.WEIGHT, F.col(models.WEIGHT) * F.col("source_weight"))
-    forest = models.extra_trees(trees=trees, depth=depth, min_leaf=1, seed=seed).fit(ready)
+    forest = models.extra_trees(trees=trees, depth=depth, min_split=2, min_leaf=1, seed=seed).fit(ready)
     model = PipelineModel([pre, forest])
     registry.save_model(model, "selected_model", folder, backup=True)
     return models.as_predictions(model.transform(rows.where("held_out")), model="selected_model", split="test")

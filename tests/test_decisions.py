@@ -155,12 +155,13 @@ def test_preprocessor_round_trip(spark):
     assert again.transform(unseen).select(vector_to_array("features")).first()[0][3:] == [0.0, 0.0, 0.0]
 
 
-def test_boosted_and_knn_models_round_trip(spark):
+def test_models_round_trip(spark):
     rows = flow_table(spark).selectExpr("cast(id as string) as row_id", "a", "b", "if(Label = 'UDP', 1, 0) as label_index", "1.0D as weight")
     pre = encoding.FlowPreprocessor(ignoreCols=["row_id", "label_index", "weight"]).fit(rows)
     ready = pre.transform(rows)
     from pyspark.ml import PipelineModel
-    for est in (models.BoostedClassifier(nClasses=2, maxIter=4, stepSize=0.3), neighbours.KnnClassifier(k=3, nClasses=2)):
+    for est in (models.boosted(rounds=8, rate=0.3), models.random_forest(trees=20), models.extra_trees(trees=20, min_leaf=1),
+                models.perceptron(epochs=60, rate=0.01), neighbours.KnnClassifier(k=3, nClasses=2)):
         model = PipelineModel([pre, est.fit(ready)])
         folder = workdir.new_path(spark, "m")
         registry.save_model(model, "My Model!", folder)
