@@ -7,8 +7,9 @@ blocks of the step, chosen by hash, give the sums of their gradients, and the su
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -256,3 +257,11 @@ class PerceptronClassifier(Estimator):
         theta = spark.range(0, 1, 1, 1).mapInArrow(run, "theta array<double>").first()["theta"]
         sent.unpersist()
         return PerceptronModel(Network(widths, np.array(theta)))
+
+    def learner(self) -> Callable:
+        """Learns from (blocks, classes) at hand, for many fits in one job."""
+        return partial(learn_network, self.learning)
+
+
+def learn_network(learning: Learning, blocks: list[Block], classes: int) -> Callable[[np.ndarray], np.ndarray]:
+    return train_held(blocks, (blocks[0].x.shape[1], *learning.hidden, classes), learning).probabilities

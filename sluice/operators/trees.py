@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -621,6 +622,22 @@ def fit_boosted(rows: DataFrame, growth: Growth, rounds: int, label: str, weight
 # ---- estimators ----
 
 
+def learn_forest(growth: Growth, trees: int, bins: int, blocks: list[Block], classes: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A forest from blocks at hand, as a function from rows to class probabilities."""
+    features = blocks[0].x.shape[1]
+    growth = replace(growth, tries=number_of_tries(growth.tries, features))
+    edges = None if growth.random_cuts else quantile_edges(np.concatenate([b.x for b in blocks]), bins)
+    measure = over(blocks)
+    made = join([grow([t], growth, classes, features, measure, edges) for t in range(trees)])
+    return TreesModel(made, classes).probabilities
+
+
+def learn_boosted(growth: Growth, rounds: int, patience: int, bins: int, blocks: list[Block], classes: int) -> Callable[[np.ndarray], np.ndarray]:
+    edges = quantile_edges(np.concatenate([b.x for b in blocks]), bins)
+    made = boost(_Held([to_row(b, 0) for b in blocks], classes), growth, rounds, patience, classes, blocks[0].x.shape[1], edges)
+    return TreesModel(made, classes, True).probabilities
+
+
 class TreesModel(Model, MLWritable, MLReadable):
     """Adds probability and prediction: the mean of the trees' class shares, or the softmax of their sums."""
 
@@ -689,6 +706,10 @@ class ForestClassifier(Estimator):
     def _fit(self, dataset: DataFrame) -> TreesModel:
         return TreesModel(*fit_forest(dataset, self.growth, self.trees, self.label, self.weight, whole=self.whole))
 
+    def learner(self) -> Callable:
+        """Learns from (blocks, classes) at hand, for many fits in one job."""
+        return partial(learn_forest, self.growth, self.trees, 32)
+
 
 class BoostedClassifier(Estimator):
     """Softmax boosting with L1 and L2, rows drawn a round, features drawn a tree, and early stopping."""
@@ -700,3 +721,7 @@ class BoostedClassifier(Estimator):
 
     def _fit(self, dataset: DataFrame) -> TreesModel:
         return TreesModel(*fit_boosted(dataset, self.growth, self.rounds, self.label, self.weight, self.stop, self.patience, whole=self.whole), True)
+
+    def learner(self) -> Callable:
+        """Learns from (blocks, classes) at hand, for many fits in one job."""
+        return partial(learn_boosted, self.growth, self.rounds, self.patience, 64)

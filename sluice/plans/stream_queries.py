@@ -103,7 +103,7 @@ def _(spark, sf):
 
     csv, folder = _csv_folder(spark, sf), workdir.new_path(spark, "live")
     columns = spark.read.option("header", True).csv(csv).columns
-    stream = runs.read_flow_csv(spark, csv, columns, files_per_trigger=2)
+    stream = runs.read_flow_csv(spark, csv, columns)
     runs.start_batches(stream, live.WindowDetector(folder, score), workdir.new_path(spark, "live-checkpoint")).awaitTermination()
     events = eventlog.read_events(spark, f"{folder}/events")
     return events.groupBy("src_ip").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("is_attack") == "true").alias("attacks"),

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice import workdir
 from sluice.functions.copies import number_copies
 from sluice.functions.scalars import col
-from sluice.operators import cleaning, dedup, encoding, labels, metrics, models, neighbours, profiling, sampling, selection
+from sluice.operators import cleaning, dedup, encoding, labels, metrics, models, neighbours, profiling, sampling, selection, trees
 from sluice.schemas import FEATURES, TARGET, TrainingConfig
 from sluice.sources import eventlog, registry
 
@@ -102,11 +103,57 @@ class Fold:
         return self._oversampled
 
 
+def _fold_blocks(folds: Sequence[Fold], oversample: bool) -> list[dict] | None:
+    """Blocks of the rows each fold learns from, of its training and its held-out rows; None if all are too many to be sent."""
+    out, left = [], trees.WHOLE
+    for fold in folds:
+        held = {}
+        for name, rows in (("learn", fold.rows(oversample)), ("fit", fold.fit), ("held", fold.held)):
+            if name == "fit" and not oversample:
+                held[name] = held["learn"]
+                continue
+            table = trees.Table.of(trees.blocks_of(rows, models.LABEL, models.WEIGHT), left)
+            if table.held is None:
+                return None
+            left -= table.rows * table.features
+            held[name] = table.held
+        out.append(held)
+    return out
+
+
+def _predict_together(held: list[dict], learners: Sequence, folds: Sequence[int], spark: SparkSession) -> DataFrame:
+    """Predictions of every learner on every fold in one job: each task fits one learner on one fold and scores both parts."""
+    classes = 1 + max(int(trees.from_row(r).y.max()) for h in held for rows in h.values() for r in rows)
+    sent = spark.sparkContext.broadcast((held, list(learners), list(folds), classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, learners, folds, classes = sent.value
+        for batch in batches:
+            for job in batch["id"].to_pylist():
+                setting, at = divmod(job, len(folds))
+                score = learners[setting]([trees.from_row(r) for r in held[at]["learn"]], classes)
+                for part in ("held", "fit"):
+                    for block in map(trees.from_row, held[at][part]):
+                        p, n = score(block.x), len(block.y)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([setting] * n, pa.int32()), pa.array([folds[at]] * n, pa.int32()), pa.array([part] * n), pa.array(block.y, pa.int32()),
+                             pa.array(p.argmax(axis=1), pa.int32()), pa.array(list(p), pa.list_(pa.float64()))],
+                            ["setting", "fold", "part", "label", "prediction", "probability"])
+
+    jobs = len(learners) * len(folds)
+    return spark.range(0, jobs, 1, jobs).mapInArrow(run, "setting int, fold int, part string, label int, prediction int, probability array<double>")
+
+
 def cross_predict(folds: Sequence[Fold], candidate: models.Candidate, settings: Sequence[Mapping],
                   config: TrainingConfig) -> DataFrame:
     """Predictions of every setting on every fold, for held-out and training rows, as one table."""
     spark = folds[0].held.sparkSession
     path = workdir.new_path(spark, "cv-predictions")
+    if hasattr(candidate.build(**settings[0]), "learner"):
+        held = _fold_blocks(folds, candidate.oversample)
+        if held is not None:
+            _predict_together(held, [candidate.build(**s).learner() for s in settings], [f.fold for f in folds], spark).write.parquet(path)
+            return spark.read.parquet(path)
 
     def run(job: tuple[int, Mapping, Fold]) -> None:
         i, setting, fold = job
@@ -222,7 +269,7 @@ def _write_score_tables(table: DataFrame, test: DataFrame, classes: Sequence[str
 
 
 def train_live_lab(collected: DataFrame, sample: DataFrame | None, folder: str, holdout: float = 0.25,
-                   live_weight: float = 10.0, trees: int = 600, depth: int = 60, seed: int = 42) -> DataFrame:
+                   live_weight: float = 10.0, n_trees: int = 600, depth: int = 60, seed: int = 42) -> DataFrame:
     """Deployment model from collected rows, weighted up, and a sample of the public data set.
 
     Saves it as the selected model, the previous one kept as a backup. Returns its
@@ -249,7 +296,7 @@ def train_live_lab(collected: DataFrame, sample: DataFrame | None, folder: str,
     pre = encoding.FlowPreprocessorModel(state=state)
     ready = profiling.with_balanced_weight(pre.transform(fit), models.LABEL)
     ready = ready.withColumn(models.WEIGHT, F.col(models.WEIGHT) * F.col("source_weight"))
-    forest = models.extra_trees(trees=trees, depth=depth, min_split=2, min_leaf=1, seed=seed).fit(ready)
+    forest = models.extra_trees(trees=n_trees, depth=depth, min_split=2, min_leaf=1, seed=seed).fit(ready)
     model = PipelineModel([pre, forest])
     registry.save_model(model, "selected_model", folder, backup=True)
     return models.as_predictions(model.transform(rows.where("held_out")), model="selected_model", split="test")

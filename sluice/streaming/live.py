@@ -1,7 +1,9 @@
 """Detection on a stream of capture windows: extractor rows in; events, first blocks and failures out.
 
-Each micro-batch is one or more windows. What a batch writes has its number, so a batch that is run again after a
-failure replaces what the first try left. A window that cannot be processed is logged and left out.
+Each micro-batch is one window (a file; give the source one file a trigger). What a batch writes has its number, so a
+batch that is run again after a failure replaces what the first try left. A window whose own rows cannot be processed is
+logged and left out. Any other fault (lost executors, storage, a model that cannot be read) ends the run before the
+batch is committed, and the next start takes the window again.
 """
 
 from __future__ import annotations
@@ -9,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException,
+                            IllegalArgumentException, NumberFormatException, PythonException)
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice import workdir
@@ -19,6 +22,10 @@ from sluice.sources import eventlog
 
 Score = Callable[[DataFrame], DataFrame]
 
+#: Faults that the rows of a window cause, and that would come again however often they are processed.
+ROW_FAULTS = (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
+              NumberFormatException, PythonException, ValueError, TypeError, KeyError, ArithmeticError)
+
 
 @dataclass
 class WindowDetector:
@@ -33,7 +40,7 @@ class WindowDetector:
         try:
             events = workdir.materialize(self._events(batch), "window-events")
             blocked = self._first_blocks(events, batch_id)
-        except Exception as error:  # any fault of one window must not end the stream
+        except ROW_FAULTS as error:
             row = [(batch_id, type(error).__name__, str(error)[:2000])]
             batch.sparkSession.createDataFrame(row, "batch long, error string, message string").write.mode("overwrite").json(
                 self._path("failures", batch_id))

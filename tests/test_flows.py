@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.operators import features, flows
 from sluice.schemas import FEATURES, PACKET_SCHEMA, FlowParams
 from sluice.sources import eventlog
-from sluice.streaming import live
+from sluice.streaming import live, runs
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -185,3 +185,27 @@ def test_a_failed_window_is_logged_and_left_out(spark, tmp_path):
     assert sorted((e["prediction"], e["blocked"]) for e in events) == [("UDP Flood", "false"), ("UDP Flood", "true")]
     failures = spark.read.option("recursiveFileLookup", True).json(f"{tmp_path}/failures").collect()
     assert [(f["batch"], f["error"]) for f in failures] == [(1, "ValueError")]
+
+
+def test_a_fault_of_the_cluster_loses_no_window(spark, tmp_path):
+    """A store that fails once ends the stream; started again, it takes the same window and the ones after it."""
+    rows = spark.createDataFrame([(f"10.0.0.{i}", "10.0.0.9", "53", "7", "6") for i in range(3)], ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"])
+    rows.repartition(3).write.option("header", True).csv(f"{tmp_path}/csv")
+    files = len(list((tmp_path / "csv").glob("part-*")))
+    faults = [OSError("store is away")]
+
+    def score(df):
+        if faults:
+            raise faults.pop()
+        return df.withColumn("probability", F.array(*[F.lit(0.0)] * 5, F.lit(1.0), F.lit(0.0)))
+
+    def run():
+        stream = runs.read_flow_csv(spark, f"{tmp_path}/csv", rows.columns)
+        runs.start_batches(stream, live.WindowDetector(f"{tmp_path}/out", score), f"{tmp_path}/checkpoint").awaitTermination()
+
+    with pytest.raises(Exception, match="store is away"):
+        run()
+    run()
+    events = eventlog.read_events(spark, f"{tmp_path}/out/events").collect()
+    assert files >= 2 and sorted(e["src_ip"] for e in events) == ["10.0.0.0", "10.0.0.1", "10.0.0.2"]
+    assert not (tmp_path / "out" / "failures").exists()
