@@ -74,25 +74,31 @@ class TokenPair:
                         for i in range(self.b.vocab_size()) for p in [self.b.id_to_piece(i)]]
         self.a_length, self.b_length = (np.array([len(x) for x in some], np.int64) for some in (self.a_bytes, self.b_bytes))
         self.digits = Digits(max(len(self.a_bytes), len(self.b_bytes)))
-        self.table = PieceTable(self._encode)
-
-    def _encode(self, some: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        a = self.a.encode_batch_fast([" " + u for u in some], add_special_tokens=False)
-        out = []
-        for u, x, y in zip(some, a, self.b.encode(some, num_threads=1)):
-            whole = (" " + u).encode()
-            same = b"".join(map(self.a_bytes.__getitem__, x.ids)) == whole == b"".join(map(self.b_bytes.__getitem__, y))
-            out.append((np.array(x.ids, np.int32).tobytes(), np.array(y, np.int32).tobytes(), same))
-        return out
+        self.table = PieceTable(self._encode, limit=500_000)
+
+    def _encode(self, some: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
+        """Ids of both sides of each unit, and whether the bytes of both are those of the unit after a space."""
+        whole = [(" " + u).encode() for u in some]
+        size, joined = np.fromiter(map(len, whole), np.int64, len(whole)), b"".join(whole)
+        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in some], add_special_tokens=False)]
+        sides, same = [], np.ones(len(some), bool)
+        for lists, shown, length in ((a, self.a_bytes, self.a_length), (self.b.encode(some, num_threads=1), self.b_bytes, self.b_length)):
+            upto = np.append(0, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
+            ids = np.fromiter(chain.from_iterable(lists), np.int32, upto[-1])
+            ends = np.append(0, np.cumsum(length[ids]))[upto]
+            if not ((np.diff(ends) == size).all() and b"".join(map(shown.__getitem__, ids)) == joined):
+                same &= [b"".join(map(shown.__getitem__, x)) == w for x, w in zip(lists, whole)]
+            packed, cut = ids.tobytes(), (4 * upto).tolist()
+            sides.append([packed[i:j] for i, j in zip(cut, cut[1:])])
+        return zip(*sides, same.tolist())
 
     def encode(self, lists: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
         """For each list of units the ids of both sides, and whether the bytes of each unit are those of both."""
         known = self.table.learn(lists).__getitem__
         out = []
         for some in lists:
-            found = list(map(known, some))
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), np.int32),
-                        np.frombuffer(b"".join([f[1] for f in found]), np.int32), all(f[2] for f in found)))
+            a, b, same = zip(*map(known, some))
+            out.append((np.frombuffer(b"".join(a), np.int32), np.frombuffer(b"".join(b), np.int32), all(same)))
         return out
 
     def same_bytes(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
