@@ -8,8 +8,10 @@ from compare import connect, differences
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
-# Queries that train models or run all of a batch take minutes; tools/check.py runs them, with all others.
-SLOW = {"batch_run_tables", "final_fit_select", "random_search", "score_flows", "train_live_lab", "train_extra_trees", "train_gbt"}
+# Queries that train models or run all of a batch take minutes; tools/check.py runs them, with all others. The same models
+# are fitted on less in test_trees.py.
+SLOW = {"batch_run_tables", "final_fit_select", "random_search", "score_flows", "train_live_lab", "train_extra_trees", "train_gbt",
+        "train_random_forest"}
 
 
 @pytest.fixture(scope="module")
