@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from sluice.functions.columns import exact_medians
 from sluice.functions.scalars import col, finite, floating_columns, is_infinite, numeric_columns, to_finite
 from sluice.schemas import EXTRACTOR_COLUMNS, FEATURES, TARGET, TIME_FEATURES
 
-# Rounds of narrowing end once so few values are left around the middle.
-MIDDLE_VALUES = 250_000
-
 
 def _all_columns(df: DataFrame, changed: Mapping[str, Column]) -> DataFrame:
     """One projection over all columns (chained withColumn would nest)."""
@@ -33,90 +30,6 @@ def count_infinite(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("infinite"))
 
 
-@dataclass
-class _Search:
-    """Where the two middle values of one column are known to lie."""
-
-    n: int
-    below: int = 0
-    inside: int = 0
-    lo: float = float("-inf")
-    hi: float = float("inf")
-    margin: float = 4e-4
-    bracketed: bool = False
-    settled: bool = False
-
-    @property
-    def ranks(self) -> tuple[int, int]:
-        return (self.n - 1) // 2, self.n // 2
-
-
-def exact_medians(df: DataFrame, columns: Sequence[str], middle_values: int = MIDDLE_VALUES) -> dict[str, float | None]:
-    """Median per column over valid values, the mean of the middle two; None if there are none.
-
-    Approximate quantiles bracket the middle; the exact middle is then picked among the few values inside. The
-    first bracket comes with the counts, in one pass; brackets that miss the middle or hold more than
-    ``middle_values`` values are narrowed again.
-    """
-    columns = list(columns)
-    if not columns:
-        return {}
-    values = df.select(*[finite(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
-    margin = _Search(0).margin
-    first = values.agg(*[a for i in range(len(columns)) for a in (F.count(f"v{i}"), F.percentile_approx(
-        f"v{i}", [0.5 - margin, 0.5 + margin], 10_000))]).first()
-    found = {i: _Search(first[2 * i], inside=first[2 * i]) for i in range(len(columns)) if first[2 * i]}
-    _check(values, found, [first[2 * i + 1] for i in found])
-    while wide := {i: s for i, s in found.items() if not s.settled and (not s.bracketed or s.inside > middle_values)}:
-        _narrow(values, wide)
-    return {c: m for c, m in zip(columns, _middles(values, found, len(columns)))}
-
-
-def _narrow(values: DataFrame, wide: Mapping[int, _Search]) -> None:
-    asks = []
-    for i, s in wide.items():
-        at = (s.ranks[0] - s.below) / s.inside
-        quantiles = [max(0.0, at - s.margin), min(1.0, at + s.margin + 1.0 / s.inside)]
-        asks.append(F.percentile_approx(F.when(F.col(f"v{i}").between(s.lo, s.hi), F.col(f"v{i}")),
-                                        quantiles, 10_000).alias(f"v{i}"))
-    _check(values, wide, values.agg(*asks).first())
-
-
-def _check(values: DataFrame, searches: Mapping[int, _Search], brackets: Sequence) -> None:
-    """Counts what lies below and inside each bracket and keeps it if it holds the middle."""
-    checks = []
-    for (i, s), (lo, hi) in zip(searches.items(), brackets):
-        v = F.col(f"v{i}")
-        checks += [F.count(F.when(v < lo, 1)), F.count(F.when(v.between(lo, hi), 1))]
-    tallies = iter(values.agg(*checks).first() if checks else ())
-    for s, (lo, hi) in zip(searches.values(), brackets):
-        below, inside = next(tallies), next(tallies)
-        if not (below <= s.ranks[0] and s.ranks[1] < below + inside):
-            s.margin *= 4  # the bracket missed the middle
-            continue
-        # A bracket that no longer shrinks holds few distinct values, each with many copies.
-        s.settled = lo == hi or (s.bracketed and inside >= s.inside)
-        s.below, s.inside, s.lo, s.hi, s.margin, s.bracketed = below, inside, lo, hi, 4e-4, True
-
-
-def _middles(values: DataFrame, found: Mapping[int, _Search], n_columns: int) -> list[float | None]:
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"), F.lit(s.lo).alias("lo"),
-                               F.lit(s.hi).alias("hi")) for i, s in found.items()])
-    inside = (values.select(F.explode(F.filter(pairs, lambda p: p["v"].between(p["lo"], p["hi"]))).alias("p"))
-              .groupBy("p.i", "p.v").agg(F.count(F.lit(1)).alias("n")))
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
-    ranked = inside.select("i", "v", (upto - F.col("n")).alias("first"), upto.alias("end"))
-    wanted = F.lit(False)
-    for i, s in found.items():
-        for r in s.ranks:
-            rank = r - s.below
-            wanted = wanted | ((F.col("i") == i) & (F.col("first") <= rank) & (F.col("end") > rank))
-    rows: dict[int, list] = {}
-    for r in ranked.where(wanted).collect():
-        rows.setdefault(r["i"], []).append(r["v"])
-    return [(min(rows[i]) + max(rows[i])) / 2 if i in rows else None for i in range(n_columns)]
-
-
 def fit_medians(train: DataFrame, columns: Sequence[str] | None = None) -> dict[str, float]:
     """Medians of the training split; 0 for a column without valid values."""
     columns = numeric_columns(train, [TARGET]) if columns is None else columns

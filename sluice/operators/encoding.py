@@ -12,6 +12,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice import workdir
+from sluice.functions.columns import column_facts
 from sluice.functions.scalars import col, finite, numeric_columns
 from sluice.operators import cleaning, dedup, labels, profiling, sampling, selection
 from sluice.schemas import TARGET
@@ -19,10 +20,7 @@ from sluice.schemas import TARGET
 
 def fit_minmax(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Smallest and largest valid value per column."""
-    aggs = [a for i, c in enumerate(columns) for a in (
-        F.min(finite(col(c).cast("double"))).alias(f"lo{i}"), F.max(finite(col(c).cast("double"))).alias(f"hi{i}"))]
-    row = df.agg(*aggs).first() if aggs else ()
-    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
+    return {c: (f.finite_lo, f.finite_hi) for c, f in column_facts(df, columns).items()}
 
 
 def scaled(value: Column, lo: float, hi: float) -> Column:
@@ -81,8 +79,8 @@ class FlowPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         columns = [c for c in columns if c not in leakage]
         # Several passes follow; they read these columns as written here, not what made them.
         dataset = workdir.materialize(dataset.select(*[col(c) for c in columns]), "preprocess-fit")
-        extremes = selection.extremes(dataset, columns)
-        constant = [c for c in columns if extremes[c].is_constant]
+        facts = column_facts(dataset, columns)
+        constant = [c for c in columns if facts[c].is_constant]
         columns = [c for c in columns if c not in constant]
         numeric = [c for c in numeric_columns(dataset) if c in columns]
         text = [c for c in columns if c not in numeric]
@@ -96,8 +94,8 @@ class FlowPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         if not numeric and not text:
             raise ValueError("no usable features remain after preprocessing")
         # Filling with the median, a value between the extremes, leaves the extremes as they are.
-        ranges = {c: (medians[c], medians[c]) if extremes[c].finite_lo is None
-                  else (extremes[c].finite_lo, extremes[c].finite_hi) for c in numeric}
+        ranges = {c: (medians[c], medians[c]) if facts[c].finite_lo is None
+                  else (facts[c].finite_lo, facts[c].finite_hi) for c in numeric}
         state = {
             "dropped": {"leakage": leakage, "constant": constant, "high_correlation": correlated},
             "numeric": numeric, "text": text, "medians": {c: float(medians[c]) for c in numeric},

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from sluice.functions.scalars import col, finite, floating_columns, is_infinite, numeric_columns
+from sluice.functions.columns import ColumnFacts, column_facts
+from sluice.functions.scalars import col, numeric_columns
 from sluice.operators import dedup
 from sluice.schemas import TARGET
 
@@ -26,70 +27,50 @@ def dtype_counts(df: DataFrame) -> DataFrame:
     return cells.groupBy("dtype").agg(F.count(F.lit(1)).alias("columns"), F.sum("cells").alias("cells"))
 
 
-def _clean(df: DataFrame, c: str) -> Column:
-    """Value as counted by a distinct count: NaN is missing, infinities are values."""
-    return F.when(~F.isnan(col(c)), col(c)) if c in floating_columns(df) else col(c)
-
-
 def low_cardinality(df: DataFrame, columns: Sequence[str], below: int) -> dict[str, int]:
-    """Distinct non-null values of the columns that have fewer than ``below``.
-
-    A sketch of d values never reads much above d, so a column it puts well above the
-    limit needs no exact count; exact sets are built for the others, where they are small.
-    """
-    columns = list(columns)
-    if not columns:
-        return {}
-    sketch = df.agg(*[F.approx_count_distinct(_clean(df, c), 0.02).alias(f"c{i}")
-                      for i, c in enumerate(columns)]).first()
-    small = [c for c, n in zip(columns, sketch) if n <= below * 1.1 + 2]
-    if not small:
-        return {}
-    exact = df.agg(*[F.size(F.collect_set(_clean(df, c))).alias(f"c{i}") for i, c in enumerate(small)]).first()
-    return {c: n for c, n in zip(small, exact) if n < below}
+    """Distinct non-null values of the columns that have fewer than ``below``. NaN is missing, infinities are values."""
+    facts = column_facts(df, columns, limit=below)
+    return {c: f.distinct for c, f in facts.items() if f.distinct < below}
 
 
 def column_classes(df: DataFrame, below: int = 10) -> tuple[list[str], list[str]]:
     """(categorical, numerical): numbers with fewer than ``below`` distinct values count as categories."""
+    return _classes(df, column_facts(df, numeric_columns(df), limit=below), below)
+
+
+def _classes(df: DataFrame, facts: Mapping[str, ColumnFacts], below: int) -> tuple[list[str], list[str]]:
     numeric = numeric_columns(df)
-    few = low_cardinality(df, numeric, below)
-    text = [c for c in df.columns if c not in numeric]
-    return text + [c for c in numeric if c in few], [c for c in numeric if c not in few]
+    few = [c for c in numeric if facts[c].distinct < below]
+    return [c for c in df.columns if c not in numeric] + few, [c for c in numeric if c not in few]
 
 
 def missing_and_infinite(df: DataFrame) -> DataFrame:
     """Missing and infinite cells over all columns, in one pass."""
-    floats = floating_columns(df)
-    missing, infinite = F.lit(0), F.lit(0)
-    for c in df.columns:
-        absent = col(c).isNull() | F.isnan(col(c)) if c in floats else col(c).isNull()
-        missing = missing + absent.cast("int")
-        if c in floats:
-            infinite = infinite + F.coalesce(is_infinite(col(c)).cast("int"), F.lit(0))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing"),
-                  F.coalesce(F.sum(infinite), F.lit(0)).alias("infinite"))
-
-
-def summary(**splits: DataFrame) -> DataFrame:
-    """The data report in long form: (split, metric, item, value)."""
+    facts = column_facts(df).values()
+    cells = max((f.rows for f in facts), default=0), sum(f.missing for f in facts), sum(f.infinite for f in facts)
+    return df.sparkSession.createDataFrame([cells], "rows long, missing long, infinite long")
+
+
+def summary(below: int = 10, **splits: DataFrame) -> DataFrame:
+    """The data report in long form: (split, metric, item, value).
+
+    One pass tells the facts of all columns; repeated rows and labels are counted by an aggregate each.
+    """
     out = None
     for split, df in splits.items():
-        cells = missing_and_infinite(df).selectExpr(
-            "stack(3, 'rows', rows, 'missing', missing, 'infinite', infinite) as (metric, value)")
-        dup = dedup.duplicate_count(df).selectExpr("'duplicates' as metric", "duplicates as value")
+        facts = column_facts(df, limit=below)
+        categorical, numerical = _classes(df, facts, below)
+        plain = [("rows", max((f.rows for f in facts.values()), default=0)), ("missing", sum(f.missing for f in facts.values())),
+                 ("infinite", sum(f.infinite for f in facts.values())), ("columns", len(df.columns)),
+                 ("categorical_columns", len(categorical)), ("numerical_columns", len(numerical))]
         types = sorted(Counter(t for _, t in df.dtypes).items())
-        categorical, numerical = column_classes(df)
-        facts = [("columns", len(df.columns)), ("categorical_columns", len(categorical)),
-                 ("numerical_columns", len(numerical))]
-        shape = df.sparkSession.createDataFrame(facts, "metric string, value long")
-        plain = cells.unionByName(dup).unionByName(shape).select(
-            "metric", F.lit("").alias("item"), F.col("value").cast("double"))
+        known = [(m, "", float(v)) for m, v in plain] + [("dtype_columns", t, float(n)) for t, n in types]
+        part = df.sparkSession.createDataFrame(known, "metric string, item string, value double")
+        dup = dedup.duplicate_count(df).selectExpr("'duplicates' as metric", "'' as item", "cast(duplicates as double) as value")
         dist = label_distribution(df)
         dist = dist.selectExpr("stack(2, 'label_rows', cast(count as double), 'label_percent', percent) as (metric, value)",
                                f"{TARGET} as item").select("metric", "item", "value")
-        dtypes = df.sparkSession.createDataFrame([("dtype_columns", t, float(n)) for t, n in types],
-                                                 "metric string, item string, value double")
-        part = plain.unionByName(dist).unionByName(dtypes).withColumn("split", F.lit(split))
+        part = part.unionByName(dup).unionByName(dist).withColumn("split", F.lit(split))
         out = part if out is None else out.unionByName(part)
     return out
 

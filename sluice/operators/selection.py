@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluice.functions.scalars import col, finite, floating_columns, numeric_columns
+from sluice.functions.columns import column_facts
+from sluice.functions.scalars import col, finite
 from sluice.operators import cleaning
 
 # Column names that give the answer away, matched on the normalised name.
@@ -46,42 +46,14 @@ def group_column(df: DataFrame) -> str | None:
     return next((c for k, c in enumerate(names) if row[2 * k] != row[2 * k + 1]), None)
 
 
-@dataclass(frozen=True)
-class Extremes:
-    """Smallest and largest value of a column, infinities included (lo, hi) and left out (finite_*)."""
-
-    lo: object
-    hi: object
-    missing: int
-    finite_lo: float | None = None
-    finite_hi: float | None = None
-
-    @property
-    def is_constant(self) -> bool:
-        """At most one value, null counting as one."""
-        return self.lo is None or (self.lo == self.hi and self.missing == 0)
-
-
-def extremes(df: DataFrame, columns: Sequence[str]) -> dict[str, Extremes]:
-    """Per column, in one pass: equal extremes tell a single value without a distinct count."""
-    floats, numbers, aggs = floating_columns(df), set(numeric_columns(df)), []
-    for i, c in enumerate(columns):
-        v = F.when(~F.isnan(col(c)), col(c)) if c in floats else col(c)
-        f = finite(col(c).cast("double")) if c in numbers else F.lit(None).cast("double")
-        parts = F.min(v), F.max(v), F.count(F.when(v.isNull(), 1)), F.min(f), F.max(f)
-        aggs += [p.alias(f"c{i}_{j}") for j, p in enumerate(parts)]
-    row = df.agg(*aggs).first() if aggs else ()
-    return {c: Extremes(*row[5 * i:5 * i + 5]) for i, c in enumerate(columns)}
-
-
 def single_value_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns with exactly one non-null value; a column of nulls only is kept."""
-    return [c for c, e in extremes(df, columns).items() if e.lo is not None and e.lo == e.hi]
+    return [c for c, f in column_facts(df, columns).items() if f.distinct == 1]
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns with at most one value, null counting as a value."""
-    return [c for c, e in extremes(df, columns).items() if e.is_constant]
+    return [c for c, f in column_facts(df, columns).items() if f.is_constant]
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import copies, ranking, scalars
+from sluice.functions import columns
 from sluice.operators import cleaning, dedup, encoding, labels, metrics, profiling, sampling, selection
 from sluice.schemas import EXTRACTOR_COLUMNS, FEATURES, TIME_FEATURES, TrainingConfig
 
@@ -209,3 +210,33 @@ def test_addresses(spark):
     assert noise == [True, True, False, True, False, False, True, False, False]
     valid = [r[0] for r in df.select(scalars.valid_ipv4(F.col("ip"))).collect()]
     assert valid == [True, True, True, False, False, False, False, False, True]
+
+
+def test_column_facts_of_every_type(spark):
+    df = spark.sql("""select * from values
+      (1, 1.5D, cast(2.50 as decimal(5,2)), 'a', true, date'2020-01-01', array(1, 2), null),
+      (null, double('NaN'), null, null, null, null, null, null),
+      (2, double('inf'), 2.50, repeat('long', 5000), true, date'2020-01-02', array(1, 2), null),
+      (3, -0.0D, 7.25, repeat('long', 5000), true, null, array(), null),
+      (9007199254740993, 0.0D, 7.25, '', true, null, array(3), null) as t(`w.n`, d, m, s, b, day, arr, void)""").repartition(3)
+    facts = columns.column_facts(df, limit=3)
+    assert {c: (f.missing, f.infinite, f.distinct) for c, f in facts.items()} == {
+        "w.n": (1, 0, 4), "d": (1, 1, 3), "m": (1, 0, 2), "s": (1, 0, 3), "b": (1, 0, 1), "day": (3, 0, 2), "arr": (1, 0, 3), "void": (5, 0, 0)}
+    assert (facts["d"].finite_lo, facts["d"].finite_hi, facts["m"].finite_hi, facts["s"].finite_lo) == (0.0, 1.5, 7.25, None)
+    assert all(f.rows == 5 for f in facts.values()) and facts["void"].is_constant and not facts["b"].is_constant
+    assert {f.rows for f in columns.column_facts(df.limit(0)).values()} == {0}
+
+
+def test_ordered_bits_keep_order_and_value():
+    x = np.array([-INF, -1e300, -2.5, -5e-324, 0.0, 5e-324, 1.0, np.nextafter(1.0, 2.0), 1e300, INF])
+    bits = columns.ordered_bits(x)
+    assert (np.diff(bits) > 0).all() and [columns.from_ordered_bits(int(b)) for b in bits] == list(x)
+    assert columns.ordered_bits(np.array([-0.0]))[0] == columns.ordered_bits(np.array([0.0]))[0]
+
+
+def test_medians_of_merged_counts(spark, monkeypatch):
+    monkeypatch.setattr(columns, "PENDING", 4)
+    rng = np.random.default_rng(7)
+    a = np.concatenate([rng.normal(size=700), -rng.lognormal(3, 4, 801)])
+    df = spark.createDataFrame([(float(v),) for v in a], "a double").repartition(5)
+    assert columns.exact_medians(df, ["a"], middle_values=3) == {"a": np.median(a)}
