@@ -136,13 +136,23 @@ def read_file(source, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
 # Characters that lower-case and normalise one by one and whose kind (letter, digit, mark, white space) is plain.
 _LETTERS, _SPACES = "a-z\xdf-\xf6\xf8-\xff", "\t-\r "
 _strange = re.compile(f"[^!-~A-Z\xc0-\xd6\xd8-\xde\u2010-\u2027{_LETTERS}{_SPACES}]|<[|]")
-#: The tokenizer's own pattern (a fixed value) on lower-cased texts of such characters.
+#: What the file of such a tokenizer says before its model, a fixed value.
+_PLAN = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: Its pattern on lower-cased texts of such characters.
 _runs = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_SPACES}{_LETTERS}0-9]+")
 
 
 class WordIds:
     """Ids (as bytes) of texts for a tokenizer that lower-cases, drops white space and never joins words across it.
 
+    ``apart`` tells whether the file describes such a tokenizer; for any other one whole texts go through the library.
     Texts of plain characters are cut into the tokenizer's own pieces; letters go straight to its model, other pieces
     through all of it. Texts with other characters or with what begins a special string go through it word by word.
     Each distinct piece or word is encoded when first met; the tables are emptied at a bound.
@@ -153,6 +163,13 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.apart = (all(spec.get(k) == v for k, v in _PLAN.items()) and spec.get("post_processor") is None and spec["model"]["type"] == "BPE"
+                      and not spec["model"].get("dropout") and not any(
+                          t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in spec.get("added_tokens") or []))
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         shown = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
         model = tokenizer.model
@@ -165,9 +182,11 @@ class WordIds:
                 return whole(run)
             return array("I", [t.id for t in model.tokenize(run if run.isascii() else run.translate(shown))]).tobytes()
 
-        self.pieces, self.words = Known(piece, most, longest), Known(whole, most // 4, longest)
+        self.whole, self.pieces, self.words = whole, Known(piece, most, longest), Known(whole, most // 4, longest)
 
     def encode(self, text: str) -> bytes:
+        if not self.apart:
+            return self.whole(text)
         if _strange.search(text):
             return b"".join(map(self.words.__getitem__, bare_words(text)))
         return b"".join(map(self.pieces.__getitem__, _runs.findall(text.lower())))
@@ -195,16 +214,17 @@ def _word_ids(path: str) -> WordIds:
 
 
 def encode_words(table: WordIds, texts: list[str], end_id: int | None) -> list[np.ndarray]:
-    """Ids of whole texts; long ones are taken in parts."""
+    """Ids of whole texts; long ones are taken in parts where words are encoded apart."""
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    return [np.frombuffer(b"".join(map(table.encode, parts(text))) + end, "<u4") for text in texts]
+    return [np.frombuffer(b"".join(map(table.encode, parts(text) if table.apart else [text])) + end, "<u4") for text in texts]
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, block: int = BLOCK,
               text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode ``text`` of all ``docs``, write token files in ascending order of ``key``; returns their manifest.
 
-    ``tokenizer`` drops white space, so words are encoded apart, once per worker. Documents are dealt by range of
+    Words are encoded apart, once per worker, if the file of ``tokenizer`` tells that it drops white space; any other
+    tokenizer of the library gets whole texts. Documents are dealt by range of
     ``key`` (ties by text, null keys first) and each task streams its sorted range to one file in ``folder``, a
     place that pyarrow's file systems and all executors reach. File names carry a random part and the manifest
     (file, part, n_docs, n_ids) names only files that were closed by tasks whose rows Spark kept: a repeated task

@@ -50,18 +50,31 @@ def test_cuts_lose_nothing():
         assert [w for p in text.parts(t, 5) for w in text.led_words(p)] == text.led_words(t)
 
 
-def test_counts_equal_library(byte_bpe):
-    table = token_counts._json_lengths(tokenizer_file("byte_bpe_50k.json"))
+def test_counts_equal_library(byte_bpe, word_bpe, sp):
     texts = odd_texts(3000)
-    want = [len(e) for e in byte_bpe.encode_batch(texts, add_special_tokens=False)]
-    assert token_counts._counts(table, texts) == want
-    assert [sum(token_counts._by_words(table, [p])[0] for p in text.parts(t, 7)) for t in texts] == want
+    for file, cuts, want in (("byte_bpe_50k.json", True, [len(e) for e in byte_bpe.encode_batch(texts, add_special_tokens=False)]),
+                             ("word_bpe_49k.json", False, [len(e) for e in word_bpe.encode_batch(texts, add_special_tokens=False)]),
+                             ("piece_bpe_32k.model", False, [len(i) for i in sp.encode(texts)])):
+        lengths = token_counts.lengths_of(tokenizer_file(file))
+        assert lengths.cuts == cuts
+        assert lengths.count(texts) == want
+        assert lengths.count(texts, batch_bytes=50, part=7) == want
+
+
+def test_batches_hold_even_bytes():
+    pieces = ["\u20ac" * 4, "a", "", "b" * 30, "cc", "\u20ac", "d" * 9]
+    batches = list(token_counts.byte_batches(pieces, 12))
+    assert sorted(at for some in batches for at in some) == list(range(7))
+    assert all(len(some) == 1 or sum(len(pieces[at].encode()) for at in some) <= 12 for some in batches)
+    assert [len(some) for some in batches] == [4, 1, 1, 1]
+    assert list(token_counts.byte_batches([], 12)) == []
 
 
 def test_small_table_gives_the_same(byte_bpe):
     table = text.PieceTable(lambda some: [len(e) for e in byte_bpe.encode_batch(some, add_special_tokens=False)], limit=3, longest=2, batch_bytes=5)
     texts = odd_texts(50)
-    assert [token_counts._counts(table, [t])[0] for t in texts] == [len(e) for e in byte_bpe.encode_batch(texts, add_special_tokens=False)]
+    lists = [text.led_words(t) for t in texts]
+    assert [sum(map(table.learn([words]).__getitem__, words)) for words in lists] == [len(e) for e in byte_bpe.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_word_ids_equal_library(word_bpe):
@@ -71,6 +84,16 @@ def test_word_ids_equal_library(word_bpe):
     assert [x.tolist() for x in bitplanes.encode_words(table, texts, 1)] == want
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_any_tokenizer(file, byte_bpe, word_bpe):
+    library = byte_bpe if file.startswith("byte") else word_bpe
+    table = bitplanes._word_ids(tokenizer_file(file))
+    assert table.apart == file.startswith("word")
+    texts = ["Hello World", *odd_texts(300)]
+    got = bitplanes.encode_words(table, texts, None)
+    assert [x.tolist() for x in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_piece_ids_equal_library(sp):
     words = pieces.MarkedWords(tokenizer_file("piece_bpe_32k.model"))
     assert words.separable
