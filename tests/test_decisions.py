@@ -37,16 +37,31 @@ def test_cooldown_example(spark):
     assert sorted(r["id"] for r in got.collect()) == [0, 3, 6]
 
 
-@pytest.mark.parametrize("chunks", [2, 3, 240])
-def test_cooldown_equals_the_walk_across_chunks(spark, monkeypatch, chunks):
-    """One source with most events, chunks only a few cooldowns long."""
-    monkeypatch.setattr(alerts, "CHUNK_COOLDOWNS", chunks)
-    rng, t, rows = random.Random(chunks), 0.0, []
+@pytest.mark.parametrize("rows_a_chunk, fan_in", [(40, 2), (150, 3), (900, 16), (10 ** 6, 16)])
+def test_cooldown_equals_the_walk_across_chunks(spark, monkeypatch, rows_a_chunk, fan_in):
+    """One source with most events, in chunks that hold from a part of a cooldown to all events."""
+    monkeypatch.setattr(alerts, "CHUNK_ROWS", rows_a_chunk)
+    monkeypatch.setattr(alerts, "FAN_IN", fan_in)
+    rng, t, rows = random.Random(rows_a_chunk), 0.0, []
     for _ in range(4000):
         t += rng.choice([0, 0.001, 0.5, 1, 3, 14.999, 15, 40]) * rng.choice([0, 0, 1])
-        rows.append(("hot" if rng.random() < 0.8 else rng.choice("abc"), round(t, 3)))
-    got = {r["id"] for r in alerts.alerts_after_cooldown(events(spark, rows)).collect()}
-    assert got == greedy(rows, 15)
+        rows.append(("hot" if rng.random() < 0.8 else rng.choice(["a", "b", None]), round(t, 3)))
+    got = [r["id"] for r in alerts.alerts_after_cooldown(events(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(rows, 15)
+
+
+@pytest.mark.parametrize("step", [0.01, 5, 15, 16])
+def test_cooldown_of_even_events_whose_chains_never_meet(spark, monkeypatch, step):
+    monkeypatch.setattr(alerts, "CHUNK_ROWS", 60)
+    monkeypatch.setattr(alerts, "FAN_IN", 2)
+    rows = [("hot", round(i * step, 3)) for i in range(2000)]
+    assert {r["id"] for r in alerts.alerts_after_cooldown(events(spark, rows)).collect()} == greedy(rows, 15)
+
+
+def test_cooldown_without_events_or_times(spark):
+    assert alerts.alerts_after_cooldown(events(spark, [("a", 1)]).limit(0)).count() == 0
+    no_time = events(spark, [("a", 1), ("a", 2)]).withColumn("ts", F.when(F.col("event_id") == 1, F.col("ts")))
+    assert [r["id"] for r in alerts.alerts_after_cooldown(no_time).collect()] == [1]
 
 
 def test_block_retries_until_success(spark):
