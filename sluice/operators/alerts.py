@@ -132,8 +132,8 @@ def _silences(key: Sequence[str], cooldown: int) -> Callable[[pd.DataFrame, pd.D
     return run
 
 
-def _mark(key: Sequence[str], cooldown: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+def _mark(key: Sequence[str], cooldown: int) -> Callable[..., pd.DataFrame]:
+    def run(pdf: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
         columns = [*key, "ts_us", "id"]
         if pdf.empty:
             return pdf[columns]
@@ -141,7 +141,7 @@ def _mark(key: Sequence[str], cooldown: int) -> Callable[[pd.DataFrame, pd.DataF
         ts, starts, n = pdf["ts_us"].to_numpy(), _key_starts(pdf, key), len(pdf)
         nxt = _next_alert(ts, starts, cooldown)
         at = starts.copy()
-        if len(before):
+        if before is not None and len(before):
             end = starts[1] if len(starts) > 1 else n
             first = int(np.searchsorted(ts[:end], int(before["since"].iloc[0])))
             at = np.append(first, at[1:]) if first < end else at[1:]
@@ -179,20 +179,22 @@ def alerts_after_cooldown(events: DataFrame, key: Sequence[str] = ("src_ip", "pr
     # The position holds the chunk in its upper bits; it is written, since ranges differ from one run to the next.
     placed = (times.repartitionByRange(chunks, *key, "ts_us").sortWithinPartitions(*key, "ts_us")
               .withColumn("pos", F.monotonically_increasing_id()).withColumn("chunk", F.shiftright("pos", 33)))
+    marked = schema(ts_us=long, id=types["id"])
+    if chunks == 1:  # nothing comes from a chunk before
+        mark = _mark(key, cooldown)
+        return placed.groupBy("chunk").applyInPandas(lambda pdf: mark(pdf), marked)
+    placed = workdir.materialize(placed, "alert-chunks")
+    levels = [workdir.materialize(placed.groupBy("chunk").applyInPandas(_chunk_function(key, cooldown), steps_schema), "alert-steps")]
+    while chunks > FAN_IN:
+        chunks = -(-chunks // FAN_IN)
+        blocks = _in_blocks(levels[-1]).groupBy(*key, "block").applyInPandas(_composed(key, cooldown), steps_schema)
+        levels.append(workdir.materialize(blocks, "alert-steps"))
     since = events.sparkSession.createDataFrame([], since_schema)
-    if chunks > 1:
-        placed = workdir.materialize(placed, "alert-chunks")
-        levels = [workdir.materialize(placed.groupBy("chunk").applyInPandas(_chunk_function(key, cooldown), steps_schema), "alert-steps")]
-        while chunks > FAN_IN:
-            chunks = -(-chunks // FAN_IN)
-            blocks = _in_blocks(levels[-1]).groupBy(*key, "block").applyInPandas(_composed(key, cooldown), steps_schema)
-            levels.append(workdir.materialize(blocks, "alert-steps"))
-        for steps in reversed(levels):
-            known = since.withColumnRenamed("chunk", "block").groupBy(*key, "block")
-            by_block = _in_blocks(steps).groupBy(*key, "block")
-            since = workdir.materialize(by_block.cogroup(known).applyInPandas(_silences(key, cooldown), since_schema), "alert-silence")
-    return placed.groupBy("chunk").cogroup(since.groupBy("chunk")).applyInPandas(
-        _mark(key, cooldown), schema(ts_us=long, id=types["id"]))
+    for steps in reversed(levels):
+        known = since.withColumnRenamed("chunk", "block").groupBy(*key, "block")
+        by_block = _in_blocks(steps).groupBy(*key, "block")
+        since = workdir.materialize(by_block.cogroup(known).applyInPandas(_silences(key, cooldown), since_schema), "alert-silence")
+    return placed.groupBy("chunk").cogroup(since.groupBy("chunk")).applyInPandas(_mark(key, cooldown), marked)
 
 
 def _in_blocks(steps: DataFrame) -> DataFrame:
