@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from sluice import workdir
 from sluice.functions.scalars import col
-from sluice.operators import detection, encoding, labels, metrics as M, models, neighbours as N
+from sluice.operators import cleaning, detection, encoding, labels, metrics as M, models, neighbours as N
 from sluice.plans import batch, bindings as B, training as T
 from sluice.plans.registry import query
-from sluice.plans.flow_queries import FSQL
-from sluice.plans.source_queries import _DEP, _LABELLED, _feature_files, _stage, labelled_features
+from sluice.plans.flow_queries import FLOW, FSQL
+from sluice.plans.source_queries import _DEP, _LABELLED, _csv_folder, _feature_files, _stage, labelled_features
 from sluice.schemas import CATEGORY, FEATURES, TARGET, TrainingConfig
-from sluice.sources import datasets, registry
+from sluice.sources import datasets, eventlog, registry
+from sluice.streaming import live, runs
 
 # ---- k-NN over three whole-number features of the events; the class is the event type ----
 
@@ -271,3 +272,32 @@ def _(spark, sf):
     both = again.transform(model.transform(rows).select(*rows.columns, F.col("prediction").alias("_saved"), F.col("probability").alias("_p")))
     differs = (F.col("_saved") != F.col("prediction")) | (F.col("_p") != F.col("probability"))
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(differs).alias("differing"))
+
+
+@query("stream_live_model", f"""with {FLOW}, per as (select src_ip, count(*) as events from flow group by src_ip)
+  select src_ip, events, 0 as differing, 0 as untold from per""")
+def _(spark, sf):
+    """Windows scored by a saved model: the stream decides as the batch does, and each block is told once."""
+    train, _test = _train_test(spark, sf)
+    train = labels.to_category(train)
+    classes = labels.class_list(train)
+    rows = labels.encode(train, classes, out=models.LABEL).withColumn(models.WEIGHT, F.lit(1.0))
+    pre = encoding.FlowPreprocessor(ignoreCols=[models.LABEL, models.WEIGHT, TARGET]).fit(rows)
+    folder = workdir.new_path(spark, "live-saved")
+    registry.save_model(PipelineModel([pre, models.random_forest().fit(pre.transform(rows))]), "selected_model", folder)
+
+    csv, out = _csv_folder(spark, sf), workdir.new_path(spark, "live-out")
+    stream = runs.read_flow_csv(spark, csv, spark.read.option("header", True).csv(csv).columns)
+    detector = live.WindowDetector(out, live.SavedModel(folder), classes=classes)
+    runs.start_batches(stream, detector, workdir.new_path(spark, "live-checkpoint")).awaitTermination()
+
+    scored = T.score_flows(registry.load_model("selected_model", folder), cleaning.normalise_flow_rows(datasets.flow_csv(spark, csv)))
+    decided = detection.decide_by_threshold(detection.score(scored, classes))
+    batch = decided.groupBy(F.col("raw.src_ip").alias("src_ip"), "prediction").agg(F.count(F.lit(1)).alias("n"))
+    log = eventlog.read_events(spark, f"{out}/events")
+    found = log.groupBy("src_ip", "prediction").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("blocked") == "true").alias("blocks"))
+    told = (spark.read.option("recursiveFileLookup", True).parquet(f"{out}/alerts")
+            .groupBy("src_ip", "prediction").agg(F.count(F.lit(1)).alias("alerts")))
+    both = batch.join(found, ["src_ip", "prediction"], "full").join(told, ["src_ip", "prediction"], "full").fillna(0)
+    return both.groupBy("src_ip").agg(F.sum("m").alias("events"), F.sum(F.abs(F.col("n") - F.col("m"))).alias("differing"),
+                                      F.sum(F.abs(F.col("blocks") - F.col("alerts"))).alias("untold"))

@@ -187,6 +187,30 @@ def test_a_failed_window_is_logged_and_left_out(spark, tmp_path):
     assert [(f["batch"], f["error"]) for f in failures] == [(1, "ValueError")]
 
 
+@pytest.mark.parametrize("alert_on, cooldown, told", [
+    ("attack", 3600, [("10.0.0.1", 0), ("10.0.0.2", 2)]),
+    ("attack", 0.001, [("10.0.0.1", 0), ("10.0.0.1", 2), ("10.0.0.2", 2)]),
+    ("block", 0.001, [("10.0.0.1", 0), ("10.0.0.2", 2)])])
+def test_alerts_are_silent_over_windows(spark, tmp_path, alert_on, cooldown, told):
+    """Of three windows the second fails; the silence of the first lasts over it, and a batch run again tells no more."""
+    def rows(*sources):
+        return spark.createDataFrame([(s, "10.0.0.9", "53", "7", "6") for s in sources], ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"])
+
+    def score(df):
+        if failing:
+            raise ValueError("bad rows")
+        return df.withColumn("probability", F.array(*[F.lit(0.0)] * 5, F.lit(1.0), F.lit(0.0)))
+
+    detector = live.WindowDetector(str(tmp_path), score, cooldown_seconds=cooldown, alert_on=alert_on)
+    for batch, failing in ((0, False), (1, True), (2, False), (2, False)):
+        detector(rows("10.0.0.1", "10.0.0.1", *["10.0.0.2"] * (batch > 0)), batch)
+    out = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/alerts")
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/alerts/(\d+)/", 1).cast("int")
+    found = out.select("src_ip", number.alias("batch"), "message").collect()
+    assert sorted((r["src_ip"], r["batch"]) for r in found) == told
+    assert found[0]["message"].startswith("Attack type: UDP Flood")
+
+
 def test_a_fault_of_the_cluster_loses_no_window(spark, tmp_path):
     """A store that fails once ends the stream; started again, it takes the same window and the ones after it."""
     rows = spark.createDataFrame([(f"10.0.0.{i}", "10.0.0.9", "53", "7", "6") for i in range(3)], ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"])
