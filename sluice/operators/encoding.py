@@ -6,15 +6,16 @@ from collections.abc import Mapping, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluice import workdir
 from sluice.functions.columns import column_facts
 from sluice.functions.scalars import col, finite, numeric_columns
-from sluice.operators import cleaning, dedup, labels, profiling, sampling, selection
+from sluice.operators import cleaning, dedup, labels, profiling, sampling, selection, vocabulary
 from sluice.schemas import TARGET
 
 
@@ -33,19 +34,20 @@ def apply_minmax(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> Da
                        for c in df.columns])
 
 
-# One-hot columns are made for vocabularies; a text column with more values has no place among them.
+# More one-hot columns than this, in all, are slots of sparse vectors and never reach the driver.
 MOST_CATEGORIES = 10_000
 
 
 def fit_categories(df: DataFrame, columns: Sequence[str], most: int = MOST_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted categories per column. More than ``most`` in all are refused, before they reach the driver."""
+    """Sorted categories per column, for one expression each. More than ``most`` in all are refused, before they reach
+    the driver; ``vocabulary`` encodes any number of them."""
     out: dict[str, list[str]] = {c: [] for c in columns}
     if columns:
         pairs = F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in columns])
         found = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("v").isNotNull()).distinct()
         rows = found.limit(most + 1).collect()
         if len(rows) > most:
-            raise ValueError(f"more than {most} categories in columns {list(columns)}; drop or group free text first")
+            raise ValueError(f"more than {most} categories in columns {list(columns)}; encode them by vocabulary.onehot_vector")
         for r in sorted(rows):
             out[r["c"]].append(r["v"])
     return out
@@ -59,17 +61,23 @@ def onehot_columns(categories: Mapping[str, Sequence[str]]) -> dict[str, Column]
 
 class FlowPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Learns, from the rows it is fitted on only: leakage-like, constant and highly
-    correlated columns to drop, medians, ranges, most frequent values and categories."""
+    correlated columns to drop, medians, ranges, most frequent values and categories.
+
+    Columns whose categories exceed ``mostCategories`` in all have them in a table (``vocabularyPath``, by default in
+    the shared folder), to which a saved model refers; their features come last, as slots of a sparse vector.
+    """
 
     correlationThreshold = Param(Params._dummy(), "correlationThreshold", "drop above this |r|", TypeConverters.toFloat)
     ignoreCols = Param(Params._dummy(), "ignoreCols", "columns that are not features", TypeConverters.toListString)
     outputCol = Param(Params._dummy(), "outputCol", "vector column", TypeConverters.toString)
+    mostCategories = Param(Params._dummy(), "mostCategories", "categories kept in the model itself", TypeConverters.toInt)
+    vocabularyPath = Param(Params._dummy(), "vocabularyPath", "where the table of further categories is kept", TypeConverters.toString)
 
     @keyword_only
     def __init__(self, *, correlationThreshold: float = 0.9, ignoreCols: list[str] | None = None,
-                 outputCol: str = "features"):
+                 outputCol: str = "features", mostCategories: int = MOST_CATEGORIES, vocabularyPath: str | None = None):
         super().__init__()
-        self._setDefault(correlationThreshold=0.9, ignoreCols=[], outputCol="features")
+        self._setDefault(correlationThreshold=0.9, ignoreCols=[], outputCol="features", mostCategories=MOST_CATEGORIES, vocabularyPath="")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, dataset: DataFrame) -> FlowPreprocessorModel:
@@ -96,14 +104,35 @@ class FlowPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         # Filling with the median, a value between the extremes, leaves the extremes as they are.
         ranges = {c: (medians[c], medians[c]) if facts[c].finite_lo is None
                   else (facts[c].finite_lo, facts[c].finite_hi) for c in numeric}
+        narrow, wide, table = self._categories(dataset, text)
         state = {
             "dropped": {"leakage": leakage, "constant": constant, "high_correlation": correlated},
-            "numeric": numeric, "text": text, "medians": {c: float(medians[c]) for c in numeric},
+            "numeric": numeric, "text": [c for c in text if c in narrow], "medians": {c: float(medians[c]) for c in numeric},
             "ranges": {c: [float(v) for v in r] for c, r in ranges.items()},
-            "modes": cleaning.most_frequent(dataset, text), "categories": fit_categories(dataset, text),
+            "modes": cleaning.most_frequent(dataset, text), "categories": narrow,
+            "wide": wide, "vocabulary": table,
         }
         return FlowPreprocessorModel(state=state, outputCol=self.getOrDefault("outputCol"))
 
+    def _categories(self, dataset: DataFrame, text: Sequence[str]) -> tuple[dict[str, list[str]], dict[str, int], str]:
+        """Sorted categories of the columns with few, sizes of the others, and where the table of these is."""
+        if not text:
+            return {}, {}, ""
+        values = workdir.materialize(vocabulary.distinct_values(dataset, text), "categories")
+        counts, room = vocabulary.sizes(values), self.getOrDefault("mostCategories")
+        narrow: dict[str, list[str]] = {}
+        for c in sorted(text, key=lambda c: counts.get(c, 0)):
+            if counts.get(c, 0) <= room:
+                narrow[c], room = [], room - counts.get(c, 0)
+        for r in sorted(values.where(F.col("column").isin(list(narrow))).collect()):
+            narrow[r["column"]].append(r["value"])
+        wide = {c: counts[c] for c in text if c not in narrow}
+        path = ""
+        if wide:
+            path = self.getOrDefault("vocabularyPath") or workdir.new_path(dataset.sparkSession, "vocabulary")
+            vocabulary.number_values(values.where(F.col("column").isin(list(wide))), path)
+        return narrow, wide, path
+
 
 class FlowPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     state = Param(Params._dummy(), "state", "fitted columns and values", TypeConverters.identity)
@@ -126,18 +155,43 @@ class FlowPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable)
             value = finite(col(c).try_cast("double")) if c in df.columns else F.lit(None).cast("double")
             out[c] = scaled(F.coalesce(value, F.lit(s["medians"][c])), *s["ranges"][c])
         for c in s["text"]:
-            value = col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
-            filled = F.coalesce(value, F.lit(s["modes"].get(c)))
+            filled = self._filled(df, c)
             out |= {f"{c}_{v}": F.coalesce((filled == v).cast("double"), F.lit(0.0)) for v in s["categories"][c]}
         return out
 
+    def _filled(self, df: DataFrame, column: str) -> Column:
+        value = col(column).cast("string") if column in df.columns else F.lit(None).cast("string")
+        return F.coalesce(value, F.lit(self.getOrDefault("state")["modes"].get(column)))
+
+    def feature_table(self, spark: SparkSession) -> DataFrame:
+        """(slot, name) of all features, whatever their number."""
+        s = self.getOrDefault("state")
+        names = list(s["numeric"]) + [f"{c}_{v}" for c in s["text"] for v in s["categories"][c]]
+        out, begin = spark.createDataFrame(list(enumerate(names)), "slot long, name string"), len(names)
+        for c, n in s.get("wide", {}).items():
+            of = vocabulary.read(spark, s["vocabulary"]).where(F.col("column") == c)
+            out = out.unionByName(of.select((F.col("position") + begin).alias("slot"), F.concat(F.lit(f"{c}_"), "value").alias("name")))
+            begin += n
+        return out
+
     def feature_names(self) -> list[str]:
         s = self.getOrDefault("state")
+        if s.get("wide"):
+            raise ValueError(f"the categories of {list(s['wide'])} are in a table; see feature_table")
         return list(s["numeric"]) + [f"{c}_{v}" for c in s["text"] for v in s["categories"][c]]
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        vector = array_to_vector(F.array(*self.feature_columns(dataset).values()))
-        return dataset.withColumn(self.getOrDefault("outputCol"), vector)
+        out, s = self.getOrDefault("outputCol"), self.getOrDefault("state")
+        columns = list(self.feature_columns(dataset).values())
+        wide = s.get("wide", {})
+        if not wide:
+            return dataset.withColumn(out, array_to_vector(F.array(*columns)))
+        names = {c: f"_onehot_{i}" for i, c in enumerate(wide)}
+        rows = dataset.withColumn("_dense", array_to_vector(F.array(*columns))) if columns else dataset
+        rows = vocabulary.with_vectors(rows, vocabulary.read(dataset.sparkSession, s["vocabulary"]),
+                                       {c: self._filled(dataset, c) for c in wide}, wide, names)
+        parts = ["_dense"] * bool(columns) + list(names.values())
+        return VectorAssembler(inputCols=parts, outputCol=out).transform(rows).drop(*parts)
 
 
 def preprocess_static(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str],

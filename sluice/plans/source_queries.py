@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice import workdir
 from sluice.functions.scalars import col
-from sluice.operators import cleaning, encoding, features as FE, flows as FL, metrics
+from sluice.operators import cleaning, encoding, features as FE, flows as FL, metrics, vocabulary
 from sluice.plans import bindings as B
 from sluice.plans.detect_queries import EVENTS_CTE, events
 from sluice.plans.flow_queries import FLOW, FSQL
@@ -337,6 +339,22 @@ def _(spark, sf):
     return ev.select("event_id", *[c.alias(n) for n, c in encoding.onehot_columns(known).items()])
 
 
+_WIDE = ("l_orderkey", "l_partkey")
+
+
+@query("encode_onehot_wide", " union all ".join(f"""select '{c}' as field, v as value, row_number() over (order by v) - 1 as position, n::double as rows
+  from (select cast({c} as varchar) as v, count(*) as n from lineitem where {c} is not null group by 1) t""" for c in _WIDE))
+def _(spark, sf):
+    """Keys as categories, more than expressions could hold: the sum of all vectors has the rows of each value in its slot."""
+    lines = B.table(spark, sf, "lineitem").select(*_WIDE)
+    known = vocabulary.fit(lines, _WIDE)
+    vectors = vocabulary.onehot_vector(lines, _WIDE, known)
+    slots = vectors.select(Summarizer.sum(F.col("features")).alias("v")).select(F.posexplode(vector_to_array("v")).alias("slot", "rows"))
+    first = vocabulary.sizes(known)[_WIDE[0]]
+    slot = F.col("position") + F.when(F.col("column") == _WIDE[1], first).otherwise(0)
+    return known.withColumn("slot", slot).join(slots, "slot").select(F.col("column").alias("field"), "value", "position", "rows")
+
+
 def _mixed(df):
     """Features with every kind of column the preprocessor handles."""
     return df.select("l_orderkey", "l_linenumber", *B.FEATURE_COLS, F.col("f_qty").alias("Src Port"),
@@ -368,7 +386,6 @@ _KIND = "case when l_linenumber % 3 <> 0 then 'k' || l_linenumber end"
   select l_orderkey, l_linenumber, {', '.join(f"round((coalesce({_PVAL[c]}, m_{c}) - lo_{c}) / (hi_{c} - lo_{c}), 9) as {c}" for c in _PNUM)},
   {', '.join(f"case when kind = 'k{i}' then 1.0::double else 0.0::double end as kind_k{i}" for i in (1, 2, 4, 5, 7))} from t, m""")
 def _(spark, sf):
-    from pyspark.ml.functions import vector_to_array
     model = _preprocessor(spark, sf)
     out = model.transform(_mixed(B.raw_test(spark, sf))).select("l_orderkey", "l_linenumber", vector_to_array("features").alias("v"))
     return out.select("l_orderkey", "l_linenumber", *[F.round(F.col("v")[i], 9).alias(n) for i, n in enumerate(model.feature_names())])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import copies, ranking, scalars
 from sluice.functions import columns
-from sluice.operators import cleaning, dedup, encoding, labels, metrics, profiling, sampling, selection
+from sluice.operators import cleaning, dedup, encoding, labels, metrics, profiling, sampling, selection, vocabulary
 from sluice.schemas import EXTRACTOR_COLUMNS, FEATURES, TIME_FEATURES, TrainingConfig
 
 INF, NAN = float("inf"), float("nan")
@@ -203,6 +203,38 @@ def test_free_text_is_no_category(spark):
     assert len(encoding.fit_categories(df, ["c"])["c"]) == 30
 
 
+def test_many_categories_are_slots_of_a_sparse_vector(spark):
+    """Half of all rows hold one value; nulls and unknown values give zeros."""
+    df = spark.range(40_000).selectExpr("id", "if(id % 2 = 0, 'hot', concat('v', id)) as a", "if(id % 5 = 0, null, concat('w', id % 7)) as b")
+    vocab = vocabulary.fit(df, ["a", "b"])
+    assert vocabulary.sizes(vocab) == {"a": 20_001, "b": 7}
+    of = {(r["column"], r["value"]): r["position"] for r in vocab.collect()}
+    for c in "ab":
+        assert [of[c, v] for v in sorted(v for d, v in of if d == c)] == list(range(vocabulary.sizes(vocab)[c]))
+    more = df.unionByName(spark.createDataFrame([(-1, "new", None)], df.schema))
+    rows = vocabulary.onehot_vector(more, ["a", "b"], vocab).where("id < 300").collect()
+    assert len(rows) == 301
+    for r in rows:
+        want = [of["a", r["a"]]] if r["a"] != "new" else []
+        want += [20_001 + of["b", r["b"]]] if r["b"] is not None else []
+        assert r["features"].size == 20_008 and r["features"].indices.tolist() == want and set(r["features"].values) <= {1.0}
+
+
+@pytest.mark.parametrize("most", [100, 10, 3])
+def test_preprocessor_gives_the_same_with_categories_in_a_table(spark, tmp_path, most):
+    df = spark.range(200).selectExpr("id", "id % 13 + 0.5 as x", "if(id % 9 = 0, null, concat('p', id % 4)) as a", "concat('q', id % 11) as b")
+    model = encoding.FlowPreprocessor(ignoreCols=["id"], mostCategories=most).fit(df)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    model = encoding.FlowPreprocessorModel.load(str(tmp_path / "m"))
+    mode = model.getOrDefault("state")["modes"]["a"]
+    names = {r["slot"]: r["name"] for r in model.feature_table(spark).collect()}
+    assert sorted(names) == list(range(16)) and sorted(model.getOrDefault("state")["wide"]) == {100: [], 10: ["b"], 3: ["a", "b"]}[most]
+    new = df.unionByName(spark.createDataFrame([(900, 2.0, "other", "other")], "id long, x double, a string, b string"), allowMissingColumns=True)
+    for r in model.transform(new).collect():
+        on = {names[int(i)] for i in r["features"].toArray().nonzero()[0]} - {"x"}
+        assert on == (set() if r["id"] == 900 else {f"a_{r['a'] or mode}", f"b_{r['b']}"})
+
+
 def test_addresses(spark):
     ips = ["239.1.1.1", "10.0.0.255", "223.0.0.1", "ff02::fb", "bad.255", "10.0.0.256", " 10.0.0.255", None, "01.2.3.255"]
     df = spark.createDataFrame([(i,) for i in ips], "ip string")
