@@ -49,7 +49,7 @@ def _next_alert(ts: np.ndarray, starts: np.ndarray, cooldown: int) -> np.ndarray
     gaps = np.minimum(np.diff(ts, prepend=ts[:1]), cooldown)
     gaps[starts] = cooldown
     line = np.cumsum(gaps)
-    nxt = np.searchsorted(line, line + cooldown, side="left")
+    nxt = np.maximum(np.searchsorted(line, line + cooldown, side="left"), np.arange(1, n + 1))
     ends = np.append(starts[1:], n)
     return np.where(nxt < np.repeat(ends, ends - starts), nxt, n)
 

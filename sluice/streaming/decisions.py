@@ -6,6 +6,7 @@ import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -49,13 +50,23 @@ class Cooldown:
             state.remove()
             return
         alerts = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        kept = []
-        for ts, eid in zip(rows["ts_us"].tolist(), rows["event_id"].tolist()):
-            at = bisect_right(alerts, ts)
-            if (at == 0 or ts - alerts[at - 1] >= self.cooldown) and (at == len(alerts) or alerts[at] - ts >= self.cooldown):
-                alerts.insert(at, ts)
-                kept.append((*key, ts, eid))
+        taken = [(pdf["ts_us"].to_numpy(), pdf["event_id"].to_numpy()) for pdf in batches]
+        ts, ids = (np.concatenate(columns) for columns in zip(*taken))
+        order = np.lexsort((ids, ts))
+        ts, ids = ts[order], ids[order]
+        kept, i = [], 0
+        while i < len(ts):  # one step an alert: the events that it silences are passed by a search
+            now = int(ts[i])
+            at = bisect_right(alerts, now)
+            if at and now - alerts[at - 1] < self.cooldown:
+                over = alerts[at - 1]
+            elif at < len(alerts) and alerts[at] - now < self.cooldown:
+                over = alerts[at]
+            else:
+                alerts.insert(at, now)
+                kept.append((*key, now, int(ids[i])))
+                over = now
+            i = max(i + 1, int(np.searchsorted(ts, over + self.cooldown)))
         if alerts:
             # Once the watermark is past the cooldown no event can fall into it any more.
             now = state.getCurrentWatermarkMs()

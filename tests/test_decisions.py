@@ -58,6 +58,13 @@ def test_cooldown_of_even_events_whose_chains_never_meet(spark, monkeypatch, ste
     assert {r["id"] for r in alerts.alerts_after_cooldown(events(spark, rows)).collect()} == greedy(rows, 15)
 
 
+def test_without_cooldown_every_time_alerts(spark, monkeypatch):
+    monkeypatch.setattr(alerts, "CHUNK_ROWS", 3)
+    rows = [("a", t) for t in (0, 1, 1, 2, 3, 4, 5)] + [("b", 1)]
+    got = alerts.alerts_after_cooldown(events(spark, rows), cooldown_seconds=0)
+    assert sorted(r["id"] for r in got.collect()) == [0, 1, 3, 4, 5, 6, 7]
+
+
 def test_cooldown_without_events_or_times(spark):
     assert alerts.alerts_after_cooldown(events(spark, [("a", 1)]).limit(0)).count() == 0
     no_time = events(spark, [("a", 1), ("a", 2)]).withColumn("ts", F.when(F.col("event_id") == 1, F.col("ts")))
