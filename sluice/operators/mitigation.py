@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.functions import scalars as S
@@ -92,8 +94,8 @@ def _records(df: DataFrame, ip: str, backend: str, simulation: bool, command: Co
                      able.alias("executable"), command.alias("command"), message.alias("message"))
 
 
-def dropped_addresses(lines: DataFrame, text: str = "value") -> DataFrame:
-    """First IPv4 address of each listing line that names the DROP target."""
+def dropped_addresses(lines: DataFrame, text: str = "value", is_address: Callable[[Column], Column] = S.valid_ipv4) -> DataFrame:
+    """First address of each listing line that names the DROP target; by default an address is a valid IPv4 one."""
     words = F.split(F.col(text), r"\s+")
-    found = F.get(F.filter(words, S.valid_ipv4), F.lit(0))
+    found = F.get(F.filter(words, is_address), F.lit(0))
     return lines.where(F.col(text).contains("DROP")).withColumn("ip", found).where(F.col("ip").isNotNull())
