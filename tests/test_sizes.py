@@ -1,10 +1,11 @@
 """Faults that show only on tables larger than sf0.01, on small tables made to have them."""
 
-import pytest
-
 import __spark_entry__ as entry
 from compare import connect, differences
-from sluice.operators import mitigation
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import types as T
+
+from sluice.operators import mitigation, vocabulary
 
 SQL, QUERIES = entry.oracle_sql(), entry.queries()
 
@@ -17,3 +18,23 @@ def test_sources_numbered_past_255(spark, tmp_path):
     assert differences(spark, QUERIES["drop_rules_parse"], SQL["drop_rules_parse"], str(tmp_path), con) is None
     lines = spark.createDataFrame([("1 DROP all -- 10.0.0.1200 192.168.56.1",)], "value string")
     assert [r.ip for r in mitigation.dropped_addresses(lines).collect()] == ["192.168.56.1"]
+
+
+def test_slots_of_wide_vectors_are_summed_sparsely(spark):
+    """Vectors of two thousand million slots: a dense sum of them would take 16 GB."""
+    wide = 2_000_000_000
+    rows = [(Vectors.sparse(wide, {0: 1.0, wide - 1: 2.0}),), (Vectors.sparse(wide, {wide - 1: 3.0}),), (Vectors.sparse(wide, {}),),
+            (Vectors.dense([4.0, 0.0]),), (Vectors.dense([]),), (None,)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("features", VectorUDT())]))
+    got = {r.slot: r["sum"] for r in vocabulary.slot_sums(df).collect()}
+    assert got == {0: 5.0, 1: 0.0, wide - 1: 5.0}
+
+
+def test_wide_vectors_have_no_name_for_each_slot(spark):
+    """Names of slots are metadata, which the driver holds."""
+    df = spark.createDataFrame([("a",), ("b",), (None,), ("z",)], "k string")
+    known = vocabulary.fit(df.where("k <> 'z'"), ["k"])
+    out = vocabulary.onehot_vector(df, ["k"], known)
+    assert not out.schema["features"].metadata
+    assert {r.k: r.features for r in out.collect()} == {
+        "a": Vectors.sparse(2, {0: 1.0}), "b": Vectors.sparse(2, {1: 1.0}), None: Vectors.sparse(2, {}), "z": Vectors.sparse(2, {})}
