@@ -38,3 +38,26 @@ def test_wide_vectors_have_no_name_for_each_slot(spark):
     assert not out.schema["features"].metadata
     assert {r.k: r.features for r in out.collect()} == {
         "a": Vectors.sparse(2, {0: 1.0}), "b": Vectors.sparse(2, {1: 1.0}), None: Vectors.sparse(2, {}), "z": Vectors.sparse(2, {})}
+
+
+def test_final_fits_leave_no_candidate_or_search_out(monkeypatch):
+    """The query itself takes too long for a test; this holds what it asks for."""
+    from sluice.plans import model_queries
+
+    class Asked(Exception):
+        pass
+
+    def asked(*given, **more):
+        raise Asked(len(given), more)
+
+    monkeypatch.setattr(model_queries.T, "train_and_rank", asked)
+    monkeypatch.setattr(model_queries, "_train_test", lambda spark, sf: (None, None))
+    monkeypatch.setattr(model_queries.workdir, "new_path", lambda spark, name: name)
+    try:
+        QUERIES["final_fit_select"].__closure__[0].cell_contents(None, "")
+    except Asked as e:
+        assert e.args == (4, {})
+    else:
+        raise AssertionError("nothing was fitted")
+    for name in ("Random Forest", "KNN", "Extra Trees", "MLP Classifier", "XGBoost", "Random Forest + SMOTE", "Extra Trees + SMOTE"):
+        assert f"'{name}'" in SQL["final_fit_select"]
