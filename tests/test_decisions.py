@@ -142,6 +142,41 @@ def test_neighbours_are_exact(spark, monkeypatch, block):
         assert got[f"q{i:04d}"] == [f"r{j:04d}" for j in np.lexsort((np.arange(len(refs)), d[i]))[:7]]
 
 
+def test_neighbours_of_copies_without_oneself(spark, monkeypatch):
+    """Whole numbers with many ties and copies, several cells and turns: as all pairs, ties by id, oneself left out."""
+    monkeypatch.setattr(neighbours, "QUERIES_PER_TASK", 40)
+    rng = np.random.default_rng(5)
+    m = np.concatenate([rng.integers(0, 9, (400, 3)), np.full((150, 3), 4)]).astype(float)
+    grp = rng.integers(0, 2, len(m))
+    rows = [(f"g{g}", f"{i:04d}", [float(x) for x in v], i % 3) for i, (g, v) in enumerate(zip(grp, m))]
+    rows += [("g0", "nan", [float("nan")] * 3, 0), ("g1", "inf", [float("inf")] * 3, 0)]
+    points = spark.createDataFrame(rows, "grp string, id string, vec array<double>, tag int")
+    got = {r["id"]: [(n["rid"], n["dist"]) for n in r["near"]] for r in
+           neighbours.nearest(points, points, 5, exclude_self=True, block_rows=20).collect()}
+    assert len(got) == len(m)
+    for i in range(len(m)):
+        d = np.where((grp == grp[i]) & (np.arange(len(m)) != i), np.sqrt(((m - m[i]) ** 2).sum(axis=1)), np.inf)
+        assert got[f"{i:04d}"] == [(f"{j:04d}", d[j]) for j in np.lexsort((np.arange(len(m)), d))[:5]]
+
+
+def test_distances_of_a_query_do_not_grow_with_the_rows(monkeypatch):
+    plain, seen = neighbours._squared, []
+
+    def counted(a, b):
+        seen.append(len(a) * len(b))
+        return plain(a, b)
+
+    monkeypatch.setattr(neighbours, "_squared", counted)
+    rng, per_query = np.random.default_rng(6), []
+    for n in (4_000, 32_000):
+        seen.clear()
+        m = rng.integers(0, 3_000, (n, 3)).astype(float)
+        query, row, dist = neighbours._Block(m, np.arange(n), 11).nearest(m[::20], np.full(len(m[::20]), np.inf))
+        assert len(query) == 11 * len(m[::20]) and (np.bincount(query[dist == 0]) >= 1).all()
+        per_query.append(sum(seen) / len(m[::20]))
+    assert per_query[1] < 1.5 * per_query[0] and per_query[1] < 3_000
+
+
 def test_smote_fills_up_between_neighbours(spark):
     rng = np.random.default_rng(4)
     rows = [(0, f"a{i}", [float(v) for v in rng.normal(0, 1, 2)]) for i in range(60)]
