@@ -7,16 +7,15 @@ gives the sum, and with a backward pass the pieces' expected counts, from which
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
-from ahocorasick import Automaton
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.llm.pieces import MARK
@@ -31,11 +30,15 @@ _UNIT = 1 << 16
 
 _letters = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _piece = regex.compile(r"[\p{L}\p{M}]+")
+#: The same runs in texts without characters from U+0300 on, where marks begin.
+_near_letters = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x300) if regex.match(r"\p{L}", chr(c))) + "]+")
+_far = re.compile("[\u0300-\U0010ffff]")
 
 
 def letter_words(text: str) -> list[str]:
     """Runs of letters (and marks on them) of a text, lower-cased, cut every ``LONGEST`` letters."""
-    found = _letters.findall(text.lower())
+    low = text.lower()
+    found = (_letters if _far.search(low) else _near_letters).findall(low)
     if max(map(len, found), default=0) <= LONGEST:
         return found
     return [w[i:i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
@@ -55,6 +58,72 @@ def has_letter(text: str) -> bool:
     return _letters.search(text) is not None
 
 
+class Trie:
+    """Finds all pieces in a text, for all of its places at once: a step down for each letter, by a table of (node, letter)."""
+
+    def __init__(self, ids: dict[str, int]):
+        letters = sorted(set("".join(ids)))
+        self.letter = np.zeros(ord(letters[-1]) + 2, np.int64)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letters, self.longest = len(letters) + 1, max(map(len, ids))
+        number, child = {c: i for i, c in enumerate(letters, 1)}, {}
+        piece = [-1]
+        for name, i in ids.items():
+            node = 0
+            for c in name:
+                key = node * self.letters + number[c]
+                if key not in child:
+                    child[key] = len(piece)
+                    piece.append(-1)
+                node = child[key]
+            piece[node] = i
+        self.piece = np.array(piece)
+        self.bits = max(4, (8 * len(child)).bit_length())
+        self.keys, self.child = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
+        keys, nodes = np.array(list(child)), np.array(list(child.values()))
+        at = self._slot(keys)
+        while len(keys):  # those that find their slot free take it, one each; the others try the next
+            free = np.flatnonzero(self.keys[at] < 0)
+            taken = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[taken]], self.child[at[taken]] = keys[taken], nodes[taken]
+            left = np.delete(np.arange(len(keys)), taken)
+            keys, nodes, at = keys[left], nodes[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _down(self, keys: np.ndarray) -> np.ndarray:
+        """Child of each (node, letter), 0 where there is none."""
+        slot, out = self._slot(keys), np.zeros(len(keys), np.int64)
+        held = self.keys[slot]
+        same = held == keys
+        out[same] = self.child[slot[same]]
+        rest = np.flatnonzero(~same & (held >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[rest]]
+            same = held == keys[rest]
+            out[rest[same]] = self.child[slot[rest[same]]]
+            rest = rest[~same & (held >= 0)]
+        return out
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of its last letter, id) of each piece that occurs."""
+        letter = np.append(self.letter[np.minimum(codes, len(self.letter) - 1)], np.zeros(self.longest, np.int64))
+        at, node, ends, ids = np.arange(len(codes)), np.zeros(len(codes), np.int64), [], []
+        for depth in range(self.longest):
+            here = letter[at + depth]
+            some = here > 0
+            at, node = at[some], self._down(node[some] * self.letters + here[some])
+            some = node > 0
+            at, node = at[some], node[some]
+            piece = self.piece[node]
+            hit = piece >= 0
+            ends.append(at[hit] + depth)
+            ids.append(piece[hit])
+        return np.concatenate(ends), np.concatenate(ids)
+
+
 class Vocabulary:
     """Pieces a word can be cut into, and the byte pieces that stand for characters no piece has."""
 
@@ -70,10 +139,7 @@ class Vocabulary:
         self.letters = np.array([len(n) for n in names])
         self.longest = max(map(len, self.ids))
         self.characters = np.array([ord(n) for n in self.ids if len(n) == 1], np.uint32)
-        self.finder = Automaton()
-        for name, i in self.ids.items():
-            self.finder.add_word(name, i)
-        self.finder.make_automaton()
+        self.trie = Trie(self.ids)
         #: Before anything is learned a piece is as likely as its rank among all says; ids stand in order of rank.
         rank = np.zeros(self.size)
         used = sorted([*self.ids.values(), *self.of_byte.values()])
@@ -98,14 +164,14 @@ def lattice(words: list[str], vocabulary: Vocabulary) -> Lattice:
     width, joined = int(length.max(initial=1)), "".join(f"{MARK}{w}\n" for w in words)
     begin = np.cumsum(length + 1) - length - 1
     word = np.repeat(np.arange(len(words)), length + 1)
-    found = np.fromiter(chain.from_iterable(vocabulary.finder.iter(joined)), np.int64).reshape(-1, 2)
-    of, piece = word[found[:, 0]], found[:, 1]
-    end, size = found[:, 0] - begin[of] + 1, vocabulary.letters[piece]
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    last, piece = vocabulary.trie.find(codes)
+    of = word[last]
+    end, size = last - begin[of] + 1, vocabulary.letters[piece]
     place = (end * (vocabulary.longest + 1) + size).astype(np.uint16)
     order = np.argsort(place, kind="stable")
     cuts = np.flatnonzero(np.diff(place[order], prepend=0))
     steps = [(int(end[some[0]]), int(size[some[0]]), of[some], piece[some]) for some in np.split(order, cuts)[1:]]
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     known, strange = np.ones((len(words), width), bool), []
     for at in np.flatnonzero(~(np.isin(codes, vocabulary.characters) | (codes == 10))):
         w = int(word[at])

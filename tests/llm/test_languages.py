@@ -112,3 +112,16 @@ def test_more_rounds_and_clashing_columns(spark):
     got = languages.predict_languages(docs, model)
     assert got.columns == ["doc_id", "text", "lang", "lang_pred", "other", "score"]
     assert all(r.lang == r.lang_pred and r.other == "kept" for r in got.collect())
+
+
+def test_all_pieces_are_found_at_all_places():
+    pieces = {p: i for i, p in enumerate(["a", "ab", "abc", "bc", "b", "▁a", "▁", "ét", "日本", "bcab"])}
+    text = "▁abcabc\n▁été x日本日\U0001f600\x00ab\n"
+    ends, ids = languages.Trie(pieces).find(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    expected = {(at + len(p) - 1, i) for p, i in pieces.items() for at in range(len(text)) if text.startswith(p, at)}
+    assert len(ends) == len(expected) and set(zip(ends.tolist(), ids.tolist())) == expected
+
+
+def test_words_of_texts_with_and_without_far_characters():
+    for text in ("naïve ²³ ªº ĳ x_1 ǅʰ", "İstanbul é́t a͏b ﬁ", "ру́с 日本 a1b"):
+        assert languages.letter_words(text) == languages._letters.findall(text.lower())
