@@ -197,6 +197,18 @@ def flow_table(spark, n=600):
         "if(id % 4 = 0, null, concat('t', id % 3)) as t", "if(id % 100 < 50, 'Benign', 'UDP') as Label", "id")
 
 
+def test_static_path_splits_rows_written_before(spark, monkeypatch):
+    """The hold-out reads its rows several times, so they come from a table and not from the removal of duplicates."""
+    from sluice.operators import sampling
+    from sluice.plans import bindings as B
+    marked, seen = sampling.mark_holdout, []
+    monkeypatch.setattr(sampling, "mark_holdout", lambda df, *rest: seen.append(df) or marked(df, *rest))
+    sf = "/root/testdata/sf0.001"
+    encoding.preprocess_static(B.raw_train(spark, sf), B.raw_test(spark, sf), ["l_orderkey", "l_linenumber"], B.FEATURE_COLS)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
 def test_preprocessor_round_trip(spark):
     df = flow_table(spark)
     model = encoding.FlowPreprocessor(ignoreCols=["Label", "id"]).fit(df)
