@@ -1,4 +1,4 @@
-"""Block and alert decisions over a stream of events; state per source, or per source and attack."""
+"""Block and alert decisions over a stream of events; state per source, or per bucket of sources and attacks."""
 
 from __future__ import annotations
 
@@ -39,21 +39,37 @@ def block_first_per_source(events: DataFrame, threshold: float = ATTACK_THRESHOL
 LATENESS_SECONDS = 600.0
 
 
+#: Calls that one trigger makes; a call costs milliseconds, however few keys and events it takes.
+BUCKETS = 256
+
+
 class Cooldown:
-    """State: times of the alerts that an event may still fall beside, ascending."""
+    """Keys of a bucket in one call. State: the keys and, one after another, the times of their alerts that an event may still fall beside."""
 
     def __init__(self, seconds: float):
         self.cooldown = FlowParams.micros(seconds)
 
-    def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def __call__(self, _bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        alerts = list(state.get[0]) if state.exists else []
-        taken = [(pdf["ts_us"].to_numpy(), pdf["event_id"].to_numpy()) for pdf in batches]
-        ts, ids = (np.concatenate(columns) for columns in zip(*taken))
-        order = np.lexsort((ids, ts))
-        ts, ids = ts[order], ids[order]
+        known = self._known(state)
+        rows = pd.concat(list(batches), ignore_index=True)
+        ts, ids = rows["ts_us"].to_numpy(), rows["event_id"].to_numpy()
+        codes, values = zip(*(pd.factorize(rows[c], use_na_sentinel=False) for c in ("src_ip", "prediction")))
+        of = codes[0].astype(np.int64) * len(values[1]) + codes[1]
+        order = np.lexsort((ids, ts, of))
+        ts, ids, of = ts[order], ids[order], of[order]
+        begins = np.flatnonzero(np.diff(of, prepend=-1))
+        kept = []
+        for a, b in zip(begins, np.append(begins[1:], len(of))):
+            key = tuple(v[i] if isinstance(v[i], str) else None for v, i in zip(values, divmod(int(of[a]), len(values[1]))))
+            kept += [(*key, *alert) for alert in self._alerts(ts[a:b], ids[a:b], known.setdefault(key, []))]
+        self._remember(known, state)
+        yield pd.DataFrame(kept, columns=["src_ip", "prediction", "ts_us", "id"])
+
+    def _alerts(self, ts: np.ndarray, ids: np.ndarray, alerts: list[int]) -> list[tuple[int, int]]:
+        """(time, id) of a key's new alerts, which are added to those it had, ascending."""
         kept, i = [], 0
         while i < len(ts):  # one step an alert: the events that it silences are passed by a search
             now = int(ts[i])
@@ -64,16 +80,29 @@ class Cooldown:
                 over = alerts[at]
             else:
                 alerts.insert(at, now)
-                kept.append((*key, now, int(ids[i])))
+                kept.append((now, int(ids[i])))
                 over = now
             i = max(i + 1, int(np.searchsorted(ts, over + self.cooldown)))
-        if alerts:
-            # Once the watermark is past the cooldown no event can fall into it any more.
-            now = state.getCurrentWatermarkMs()
-            over = -(-(alerts[-1] + self.cooldown) // 1000)
-            state.update(([t for t in alerts[:-1] if t + self.cooldown > now * 1000] + alerts[-1:],))
-            state.setTimeoutTimestamp(max(over, now + 1))
-        yield pd.DataFrame(kept, columns=["src_ip", "prediction", "ts_us", "id"])
+        return kept
+
+    @staticmethod
+    def _known(state: GroupState) -> dict[tuple, list[int]]:
+        if not state.exists:
+            return {}
+        sources, predictions, many, times = state.get
+        ends = np.cumsum(many, dtype=np.int64)
+        return {key: list(times[end - n:end]) for key, n, end in zip(zip(sources, predictions), many, ends)}
+
+    def _remember(self, known: dict[tuple, list[int]], state: GroupState) -> None:
+        # Once the watermark is past the cooldown no event can fall into it any more.
+        now = state.getCurrentWatermarkMs()
+        live = {key: some for key, times in known.items() if (some := [t for t in times if t + self.cooldown > now * 1000])}
+        if not live:
+            state.remove()
+            return
+        state.update(([k[0] for k in live], [k[1] for k in live], [len(t) for t in live.values()], [t for some in live.values() for t in some]))
+        over = -(-(max(some[-1] for some in live.values()) + self.cooldown) // 1000)
+        state.setTimeoutTimestamp(max(over, now + 1))
 
 
 def alerts_after_cooldown(events: DataFrame, cooldown_seconds: float = ALERT_COOLDOWN_SECONDS,
@@ -85,6 +114,7 @@ def alerts_after_cooldown(events: DataFrame, cooldown_seconds: float = ALERT_COO
     """
     delay = delay or f"{math.ceil(max(cooldown_seconds, LATENESS_SECONDS))} seconds"
     rows = events.withWatermark("ts", delay).select("src_ip", "prediction", "ts", F.unix_micros("ts").alias("ts_us"), "event_id")
-    return rows.groupBy("src_ip", "prediction").applyInPandasWithState(
-        Cooldown(cooldown_seconds), "src_ip string, prediction string, ts_us long, id long", "alerts array<long>", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("src_ip", "prediction"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").applyInPandasWithState(
+        Cooldown(cooldown_seconds), "src_ip string, prediction string, ts_us long, id long",
+        "src_ip array<string>, prediction array<string>, many array<long>, alerts array<long>", "append", GroupStateTimeout.EventTimeTimeout)

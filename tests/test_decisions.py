@@ -308,3 +308,17 @@ def test_stream_alerts_with_late_events(spark):
     mixed = events(spark, [("a", rng.random() * 300) for _ in range(120)]).withColumn("part", (F.col("event_id") % 4).cast("int"))
     times = sorted(r["ts_us"] for r in runs.drain(decisions.alerts_after_cooldown(stream_over(spark, mixed, df.schema, 4)), "mixed").collect())
     assert len(times) > 8 and all(b - a >= 15_000_000 for a, b in zip(times, times[1:]))
+
+
+def test_alerts_of_many_keys_take_few_calls(spark):
+    """Keys share calls and state: two of one bucket, and one without a source, keep their own silences over triggers."""
+    rows = [(f"s{i % 300}" if i % 300 else None, 7.0 * (i // 300)) for i in range(1500)]
+    df = events(spark, rows).withColumn("part", (F.col("event_id") / 600).cast("int"))
+    query = runs.start_table(decisions.alerts_after_cooldown(stream_over(spark, df, df.schema, 3)),
+                             workdir.new_path(spark, "many"), workdir.new_path(spark, "many-checkpoint"))
+    query.awaitTermination()
+    told = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert 0 < max(told) <= decisions.BUCKETS < 300
+    got = runs.drain(decisions.alerts_after_cooldown(stream_over(spark, df, df.schema, 3)), "many").collect()
+    assert {r["id"] for r in got} == greedy(rows, 15) and len(got) == 600
+    assert sum(r["src_ip"] is None for r in got) == 2
