@@ -61,3 +61,23 @@ def test_final_fits_leave_no_candidate_or_search_out(monkeypatch):
         raise AssertionError("nothing was fitted")
     for name in ("Random Forest", "KNN", "Extra Trees", "MLP Classifier", "XGBoost", "Random Forest + SMOTE", "Extra Trees + SMOTE"):
         assert f"'{name}'" in SQL["final_fit_select"]
+
+
+def test_packets_become_flows_once_for_all_files(spark, monkeypatch):
+    """Scoring reads the flows by family, in two more forms, and as they are; each read made them from all packets before."""
+    from sluice.plans import source_queries
+
+    asked = []
+
+    def flows(spark, sf):
+        asked.append(sf)
+        return spark.createDataFrame([("Benign", 1.0), ("UDP", 2.0), ("LDAP", 3.0)], "Label string, `Flow Duration` double").where(
+            source_queries.F.udf(lambda x: read.add(1) or True, "boolean")("Label"))
+
+    read = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(source_queries, "labelled_features", flows)
+    path = source_queries._feature_files(spark, "made-up")
+    assert source_queries._staged_features(spark, "made-up").count() == 3
+    assert asked == ["made-up"] and read.value == 3
+    assert spark.read.parquet(f"{path}/Short-training.parquet").count() == 3
+    assert spark.read.parquet(f"{path}/UDP-training.parquet").collect()[0]["Flow Duration"] == 2.0
